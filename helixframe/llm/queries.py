@@ -6,13 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embeddings import op2_query
+from .gif import op9_query
+from .licenses import op7_query
 from .mixing import op1_query
 from .packing import op3_query
+from .pii import op6_query
 from .simhash import op10_query
+from .token_counts import op8_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_query,
+    "op2_pivot_join": op2_query,
     "op3_pack_windows": op3_query,
+    "op6_weak_pii": op6_query,
+    "op7_license_rules": op7_query,
+    "op8_length_histogram": op8_query,
+    "op9_gif": op9_query,
     "op10_simhash_anchors": op10_query,
 }
 
