@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embeddings import op2_query
 from .gif import op9_query
+from .language_id import op4_query
 from .licenses import op7_query
 from .mixing import op1_query
 from .packing import op3_query
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_query,
     "op2_pivot_join": op2_query,
     "op3_pack_windows": op3_query,
+    "op4_kneser_ney": op4_query,
     "op6_weak_pii": op6_query,
     "op7_license_rules": op7_query,
     "op8_length_histogram": op8_query,
