@@ -15,12 +15,14 @@ from .packing import op3_query
 from .pii import op6_query
 from .simhash import op10_query
 from .token_counts import op8_query
+from .toxicity import op5_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mix": op1_query,
     "op2_pivot_join": op2_query,
     "op3_pack_windows": op3_query,
     "op4_kneser_ney": op4_query,
+    "op5_fuzzy_toxicity": op5_query,
     "op6_weak_pii": op6_query,
     "op7_license_rules": op7_query,
     "op8_length_histogram": op8_query,
