@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import count
+from itertools import count, filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -41,43 +41,117 @@ WORDS_KEPT = 400_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+#: The pattern by which byte-level BPE vocabularies of this family cut a text, a published constant.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _fast_twin(path: str):
+    """The same vocabulary as ranks for a faster encoder, and for each id whether it begins with a space; None for other kinds of tokenizer."""
+    import json
+
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex", True) or spec.get("normalizer") or model.get("dropout"):
+        return None
+    byte_of, special = _byte_of(), {t["content"] for t in spec.get("added_tokens", [])}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    made = [model["vocab"].get(a + b, -1) for a, b in merges]
+    if made != sorted(set(made)) or (made and made[0] < 0):
+        return None  # merges out of the ids' order
+    starts = np.zeros(max(ranks.values()) + 1, bool)
+    for token, i in ranks.items():
+        starts[i] = token[:1] == b" "
+    return tiktoken.Encoding("twin", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}), starts
+
+
 class WordCache:
     """Ids of a text as little-endian unsigned 32-bit bytes, word by word.
 
     The tokenizer's first step never joins characters across a single space that is followed by
     a non-space: the space goes with what follows.  So a text is cut before such spaces, and each
     distinct part is tokenized once.  A text in which white space follows a space, or one
-    that may hold a special token, is tokenized as a whole.
+    that may hold a special token, is tokenized as a whole by the tokenizer itself.  New words are encoded
+    together by a faster encoder of the same vocabulary where the tokenizer is of a kind that has one; each
+    cache first holds that one against the tokenizer on its first words, and drops it if any id differs.
     """
 
-    unsafe = re.compile(r" [\s\x00]|<\||\x00| $")
+    wide = re.compile(r" \s")
+    ascii_pairs = tuple(" " + c for c in " \t\n\v\f\r\x1c\x1d\x1e\x1f")
 
     def __init__(self, path: str, kept: int = WORDS_KEPT):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # of words after a space
+        self.first: dict[str, bytes] = {}  # of words that begin a text
+        self.twin, self.trusted = _fast_twin(path), False
 
     def _encode(self, parts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
+    def _after_space(self, words: list[str]) -> list[bytes]:
+        if self.twin is None:
+            return self._encode([" " + w for w in words])
+        encoder, starts = self.twin
+        ids = encoder.encode_to_numpy(" " + " ".join(words), disallowed_special=()).astype("<u4")
+        bounds = np.flatnonzero(starts[ids]) * 4
+        data = ids.tobytes()
+        if len(bounds) != len(words):
+            return self._encode([" " + w for w in words])
+        found = [data[a:b] for a, b in zip(bounds.tolist(), [*bounds[1:].tolist(), len(data)], strict=True)]
+        if not self.trusted:
+            some = range(0, len(words), max(1, len(words) // 500))
+            if self._encode([" " + words[i] for i in some]) != [found[i] for i in some]:
+                self.twin = None
+                return self._after_space(words)
+            self.trusted = True
+        return found
+
+    def unsafe(self, text: str) -> bool:
+        """Whether a text must be encoded as a whole."""
+        if text[:1] == " " or text[-1:] == " " or "<|" in text:
+            return True
+        if text.isascii():
+            return any(pair in text for pair in self.ascii_pairs)
+        return self.wide.search(text) is not None
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.kept:
-            self.known.clear()
-        known, cut, whole = self.known, {}, []
+            self.known = dict(islice(self.known.items(), self.kept // 2))  # the oldest words are the most frequent ones
+        if len(self.first) > self.kept:
+            self.first.clear()
+        out, cut, whole = [b""] * len(texts), {}, []
+        new: set[str] = set()
+        begin: set[str] = set()
         for i, t in enumerate(texts):
-            if self.unsafe.search(t):
+            if self.unsafe(t):
                 whole.append(i)
-            else:
+            elif t:
                 words = t.split(" ")
-                cut[i] = [words[0], *[" " + w for w in words[1:]]] if words[0] else [" " + w for w in words[1:]]
-        new = list({w for ws in cut.values() for w in ws if w not in known})
-        for k in range(0, len(new), 10_000):
-            known.update(zip(new[k : k + 10_000], self._encode(new[k : k + 10_000]), strict=True))
-        out = [b""] * len(texts)
-        for i, ws in cut.items():
-            out[i] = b"".join([known[w] for w in ws])
-        for i, e in zip(whole, self._encode([texts[i] for i in whole]) if whole else [], strict=True):
+                begin.add(words[0])
+                cut[i] = words
+                new.update(filterfalse(self.known.__contains__, islice(words, 1, None)))
+        fresh = list(new)
+        for k in range(0, len(fresh), 20_000):
+            part = fresh[k : k + 20_000]
+            self.known.update(zip(part, self._after_space(part), strict=True))
+        fresh = [w for w in begin if w not in self.first]
+        self.first.update(zip(fresh, self._encode(fresh), strict=True))
+        get = self.known.__getitem__
+        for i, words in cut.items():
+            out[i] = self.first[words[0]] + b"".join(map(get, islice(words, 1, None)))
+        for i, e in zip(whole, self._encode([texts[i] for i in whole]), strict=True):
             out[i] = e
         return out
 
