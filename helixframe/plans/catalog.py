@@ -1,10 +1,418 @@
-"""Queries over the driver's tables, one for each relational kernel, each with its SQL."""
+"""Queries over the driver's tables, one for each relational kernel, each with its SQL.
+
+The driver's tables hold no sequencing data, so columns stand in for the caller's: line items for
+reads or observations, quantities for qualities, return flags for alleles, events for sites along
+a user's coordinate.  Every query runs over whole tables.
+"""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import phred
+from ..operators import intervals as iv
+from ..operators import relational as rel
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with ``sec``, whole seconds since the first of January 2024, and ``gq``, a quality of 0 to 99 from the value."""
+    sec = F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)")
+    return table(spark, sf_dir, "events").withColumn("sec", sec.cast("long")).withColumn("gq", F.least(F.floor("value"), F.lit(99)).cast("long"))
+
+
+EVENTS = "(SELECT *, date_diff('second', TIMESTAMP '2024-01-01 00:00:00', ts) AS sec, least(floor(value), 99)::BIGINT AS gq FROM events)"
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE (l_linenumber & 1) = 0 AND l_quantity >= 20 AND l_quantity < 45")
+def read_filter(spark, sf_dir):
+    """Flag bits and a quality range."""
+    df = table(spark, sf_dir, "lineitem")
+    return df.filter(rel.usable_flag(F.col("l_linenumber"), 1) & rel.usable_quality(F.col("l_quantity"), 20, 45)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) <= 3")
+def per_start_cap(spark, sf_dir):
+    """At most K rows of a key."""
+    df = table(spark, sf_dir, "lineitem")
+    return rel.capped(df, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], 3).select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
+
+
+@query(f"""
+WITH s AS (SELECT user_id, sec AS s, sec + 3600 AS e FROM {EVENTS}),
+m AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM s),
+i AS (SELECT *, sum(CASE WHEN s < far THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
+SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n_merged FROM i GROUP BY user_id, island""")
+def interval_coalescing(spark, sf_dir):
+    """Half-open intervals merged where they overlap."""
+    df = events(spark, sf_dir).select("user_id", F.col("sec").alias("s"), (F.col("sec") + 3600).alias("e"))
+    return iv.coalesced(df, ["user_id"], "s", "e")
+
+
+@query(f"""
+WITH r AS (SELECT event_id AS region_id, user_id, sec - 600 AS rs, sec + 600 AS re FROM {EVENTS} WHERE event_type = 'purchase'),
+p AS (SELECT event_id, user_id, sec AS ps, sec + 60 AS pe FROM {EVENTS})
+SELECT region_id, event_id, r.user_id, ps, rs FROM r JOIN p ON r.user_id = p.user_id AND ps <= re AND rs <= pe""")
+def region_read_overlap(spark, sf_dir):
+    """Overlap join by bins."""
+    ev = events(spark, sf_dir)
+    regions = ev.filter("event_type = 'purchase'").select(F.col("event_id").alias("region_id"), "user_id", (F.col("sec") - 600).alias("rs"), (F.col("sec") + 600).alias("re"))
+    reads = ev.select("event_id", "user_id", F.col("sec").alias("ps"), (F.col("sec") + 60).alias("pe"))
+    return iv.overlap_join(reads, regions, ["user_id"], ("ps", "pe"), ("rs", "re"), width=3600).select("region_id", "event_id", "user_id", "ps", "rs")
+
+
+@query(f"""
+WITH r AS (SELECT user_id, sec - 900 AS rs, sec + 900 AS re FROM {EVENTS} WHERE event_type = 'error')
+SELECT event_id, user_id, sec FROM {EVENTS} e WHERE EXISTS (SELECT 1 FROM r WHERE r.user_id = e.user_id AND e.sec BETWEEN rs AND re)""")
+def locus_in_target(spark, sf_dir):
+    """Positions inside any target interval: a semi join by bins."""
+    ev = events(spark, sf_dir)
+    targets = ev.filter("event_type = 'error'").select("user_id", (F.col("sec") - 900).alias("rs"), (F.col("sec") + 900).alias("re"))
+    return iv.overlap_join(ev, targets, ["user_id"], ("sec", "sec"), ("rs", "re"), how="left_semi", width=3600).select("event_id", "user_id", "sec")
+
+
+@query("SELECT l_partkey, CASE WHEN l_returnflag = 'R' THEN 0 ELSE 1 END AS cls, l_quantity::INT AS qual, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def quality_histogram(spark, sf_dir):
+    """Counts by site, evidence class and quality."""
+    df = table(spark, sf_dir, "lineitem")
+    return rel.quality_histogram(df, ["l_partkey"], F.when(F.col("l_returnflag") == "R", 0).otherwise(1), F.col("l_quantity"))
+
+
+JLS = "(greatest({a}, {b}) + CASE WHEN abs({a} - {b}) < 8 THEN log10(1 + pow(10.0, -floor(abs({a} - {b}) / 0.0001 + 0.5) * 0.0001)) ELSE 0 END)"
+LIKELIHOOD_SQL = f"""
+WITH b AS (SELECT l_partkey, l_returnflag = 'R' AS var, log10(1 - pow(10.0, -l_quantity / 10)) AS ok, -0.1 * l_quantity - log10(3.0) AS err FROM lineitem WHERE l_quantity >= 11),
+c AS (SELECT l_partkey, CASE WHEN var THEN err ELSE ok END AS r, CASE WHEN var THEN ok ELSE err END AS a FROM b),
+l AS (SELECT l_partkey, count(*) AS depth, sum(r) AS l0, sum({JLS.format(a='r', b='a')} - log10(2.0)) AS l1, sum(a) AS l2 FROM c GROUP BY 1)"""
+
+
+@query(LIKELIHOOD_SQL + " SELECT l_partkey, depth::BIGINT AS depth, round(l0, 6) AS l0, round(l1, 6) AS l1, round(l2, 6) AS l2 FROM l")
+def site_genotype_likelihoods(spark, sf_dir):
+    """Hom-ref, het and hom-alt likelihoods from the histogram."""
+    lk = rel.site_likelihoods(quality_histogram(spark, sf_dir), ["l_partkey"])
+    return lk.select("l_partkey", "depth", *[F.round(x, 6).alias(x) for x in ("l0", "l1", "l2")])
+
+
+@query(
+    LIKELIHOOD_SQL
+    + """, p AS (SELECT l_partkey, floor(-10 * (l0 - greatest(l0, l1, l2)) + 0.5) AS p0, floor(-10 * (l1 - greatest(l0, l1, l2)) + 0.5) AS p1, floor(-10 * (l2 - greatest(l0, l1, l2)) + 0.5) AS p2 FROM l),
+q AS (SELECT l_partkey, p0, p0 / -10 + (lgamma(0.01) + lgamma(12.0)) / ln(10.0) AS a, p1 / -10 + (lgamma(1.01) + lgamma(11.0)) / ln(10.0) + log10(2.0) AS b, p2 / -10 + (lgamma(2.01) + lgamma(10.0)) / ln(10.0) AS c FROM p),
+w AS (SELECT *, greatest(a, b, c) AS m FROM q)
+SELECT l_partkey, round(CASE WHEN p0 = 0 OR a >= m THEN 0.0 ELSE 1 - pow(10.0, a - m) / (pow(10.0, a - m) + pow(10.0, b - m) + pow(10.0, c - m)) END, 6) AS activity FROM w"""
+)
+def activity_posterior(spark, sf_dir):
+    """Probability that a site is variant."""
+    lk = rel.site_likelihoods(quality_histogram(spark, sf_dir), ["l_partkey"])
+    return lk.select("l_partkey", F.round(rel.activity(F.col("l0"), F.col("l1"), F.col("l2")), 6).alias("activity"))
+
+
+DAILY = f"(SELECT user_id, floor(sec / 3600)::BIGINT AS pos, count(*)::DOUBLE / 10 AS v FROM {EVENTS} GROUP BY 1, 2)"
+WEIGHTS = "(SELECT d, exp(-(d * d) / (2 * 9.0)) / (SELECT sum(exp(-(x * x) / (2 * 9.0))) FROM range(-8, 9) t(x)) AS w FROM range(-8, 9) t(d))"
+
+
+def _hourly(spark, sf_dir):
+    return events(spark, sf_dir).groupBy("user_id", F.floor(F.col("sec") / 3600).cast("long").alias("pos")).agg((F.count("*").cast("double") / 10).alias("v"))
+
+
+@query(f"SELECT user_id, pos + d AS pos, round(sum(v * w), 9) AS profile FROM {DAILY} JOIN {WEIGHTS} ON true GROUP BY 1, 2")
+def kernel_smoothing(spark, sf_dir):
+    """Values spread by a Gaussian kernel."""
+    out = rel.smoothed(_hourly(spark, sf_dir), ["user_id"], "pos", F.col("v"), reach=8, sigma=3.0)
+    return out.select("user_id", F.col("pos").cast("long").alias("pos"), F.round("profile", 9).alias("profile"))
+
+
+@query(f"""
+WITH s AS (SELECT user_id, pos + d AS pos, sum(v * w) AS profile FROM {DAILY} JOIN {WEIGHTS} ON true GROUP BY 1, 2),
+t AS (SELECT *, (profile > 0.02)::INT AS active FROM s),
+u AS (SELECT *, CASE WHEN lag(active) OVER o = active AND lag(pos) OVER o = pos - 1 THEN 0 ELSE 1 END AS new FROM t WINDOW o AS (PARTITION BY user_id ORDER BY pos)),
+x AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY pos) AS island FROM u)
+SELECT user_id, active, min(pos) AS start, max(pos) AS "end", round(max(profile), 9) AS peak FROM x GROUP BY user_id, island, active""")
+def active_sessions(spark, sf_dir):
+    """Runs of adjacent positions on one side of the activity threshold."""
+    profile = rel.smoothed(_hourly(spark, sf_dir), ["user_id"], "pos", F.col("v"), reach=8, sigma=3.0).withColumn("pos", F.col("pos").cast("long"))
+    return rel.threshold_sessions(profile, ["user_id"], "pos", "profile", 0.02).withColumn("peak", F.round("peak", 9))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, sec, CASE WHEN gq <= 60 THEN gq WHEN gq < 70 THEN 60 WHEN gq < 80 THEN 70 WHEN gq < 90 THEN 80 WHEN gq < 99 THEN 90 ELSE 99 END AS band, gq, event_id FROM {EVENTS}),
+h AS (SELECT user_id, floor(sec / 43200)::BIGINT AS site, min(gq) AS gq, count(*) AS dp, min(event_id) AS pl FROM {EVENTS} GROUP BY 1, 2),
+b AS (SELECT *, CASE WHEN gq < 20 THEN 0 WHEN gq < 40 THEN 20 WHEN gq < 60 THEN 40 ELSE 60 END AS band FROM h),
+n AS (SELECT *, CASE WHEN lag(band) OVER o = band AND site - lag(site) OVER o <= 1 THEN 0 ELSE 1 END AS new FROM b WINDOW o AS (PARTITION BY user_id ORDER BY site)),
+i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY site) AS block FROM n)
+SELECT user_id, band, min(site) AS start, max(site) AS "end", count(*) AS n_sites, min(gq) AS min_gq, floor(median(dp) + 0.5)::BIGINT AS median_dp, min(dp) AS min_dp, min(pl) AS pl FROM i GROUP BY user_id, block, band""")
+def gvcf_banding(spark, sf_dir):
+    """Contiguous sites of one quality band as blocks."""
+    sites = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("sec") / 43200).cast("long").alias("site")).agg(F.min("gq").alias("gq"), F.count("*").alias("dp"), F.min("event_id").alias("pl"))
+    return rel.banded(sites.withColumn("stop", F.col("site")), ["user_id"], "site", "stop", "gq", "dp", ["pl"], bounds=(20, 40, 60))
+
+
+@query("SELECT l_partkey, l_suppkey % 7 AS allele, max(l_discount * -10 - l_tax) AS lk FROM lineitem GROUP BY 1, 2")
+def marginalisation(spark, sf_dir):
+    """An allele's likelihood is its best haplotype's."""
+    df = table(spark, sf_dir, "lineitem").withColumn("allele", F.col("l_suppkey") % 7).withColumn("h", F.col("l_discount") * -10 - F.col("l_tax"))
+    return rel.marginalised(df, ["l_partkey"], "allele", "h")
+
+
+ALLELES = "(SELECT l_partkey, l_suppkey % 7 AS allele, max(round(l_discount * -10 - l_tax, 6)) AS lk FROM lineitem GROUP BY 1, 2)"
+
+
+def _alleles(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("allele", F.col("l_suppkey") % 7).withColumn("h", F.round(F.col("l_discount") * -10 - F.col("l_tax"), 6))
+    return rel.marginalised(df, ["l_partkey"], "allele", "h")
+
+
+@query(f"""
+WITH r AS (SELECT *, max(lk) OVER (PARTITION BY l_partkey) AS top FROM {ALLELES}),
+p AS (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY CASE WHEN allele = 0 AND top - lk < 0.2 THEN 1 ELSE 0 END DESC, lk DESC, allele) AS pick FROM r),
+g AS (SELECT l_partkey, max(allele) FILTER (pick = 1) AS best, max(lk) FILTER (pick = 1) AS best_lk, max(lk) FILTER (pick > 1) AS second_lk, count(*) AS n_alleles FROM p GROUP BY 1)
+SELECT *, round(coalesce(abs(best_lk - second_lk), 0.0), 6) AS confidence, (coalesce(abs(best_lk - second_lk), 0.0) > 0.2)::INT AS informative FROM g""")
+def best_alleles(spark, sf_dir):
+    """Best allele with preference for the reference, second best, and whether the gap informs."""
+    return rel.best_alleles(_alleles(spark, sf_dir), ["l_partkey"], "allele", "lk", F.col("allele") == 0).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"SELECT l_partkey, median(CASE WHEN lk < top THEN lk END) AS non_ref_lk, count(*) AS n_alleles FROM (SELECT *, max(lk) OVER (PARTITION BY l_partkey) AS top FROM {ALLELES}) GROUP BY 1")
+def non_ref_median(spark, sf_dir):
+    """Likelihood of any other allele."""
+    return rel.non_ref_likelihood(_alleles(spark, sf_dir), ["l_partkey"], "lk")
+
+
+@query(f"SELECT l_partkey, allele, greatest(lk, top - 4.5) AS lk FROM (SELECT a.*, max(lk) OVER (PARTITION BY l_partkey) AS top FROM {ALLELES} a) WHERE top >= -4 * least(2.0, ceil(0.02 * 30))")
+def likelihood_floor(spark, sf_dir):
+    """Likelihoods held near the read's best; poor reads dropped."""
+    return rel.floored(_alleles(spark, sf_dir), ["l_partkey"], "lk", F.lit(30))
+
+
+@query(f"SELECT l_partkey, allele, lk FROM (SELECT a.*, row_number() OVER (PARTITION BY l_partkey ORDER BY lk DESC, allele) AS r FROM {ALLELES} a WHERE allele > 0) WHERE r <= 3")
+def top_alleles(spark, sf_dir):
+    """The best alternate alleles of each site."""
+    return rel.top_alleles(_alleles(spark, sf_dir).filter("allele > 0"), ["l_partkey"], "lk", ["allele"], 3)
+
+
+@query(f"""
+WITH a AS (SELECT l_orderkey AS site, l_linenumber AS rd, x.j, -0.1 * (l_quantity + 3 * x.j) AS lk FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 10 < 10 GROUP BY 1, 2), (SELECT unnest([0, 1, 2]) AS j) x),
+p AS (SELECT a.site, a.j, b.j AS k, CASE WHEN a.j = b.j THEN a.lk + log10(2.0) ELSE {JLS.format(a='a.lk', b='b.lk')} END - log10(2.0) AS one FROM a JOIN a b ON a.site = b.site AND a.rd = b.rd AND a.j <= b.j)
+SELECT site, j, k, (k * (k + 1) / 2 + j)::INT AS genotype, count(*) AS n_reads, round(sum(one), 6) AS gl FROM p GROUP BY site, j, k""")
+def genotype_likelihoods(spark, sf_dir):
+    """Diploid genotype likelihoods from read by allele likelihoods."""
+    reads = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("site"), F.col("l_linenumber").alias("rd")).agg(F.max("l_quantity").alias("q"))
+    dense = reads.withColumn("a", F.explode(F.array(*[F.lit(x) for x in range(3)]))).withColumn("lk", -0.1 * (F.col("q") + 3 * F.col("a")))
+    return rel.genotype_likelihoods(dense, ["site"], "rd", "a", "lk").withColumn("gl", F.round("gl", 6))
+
+
+STRANDS = "(SELECT l_suppkey, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus = 'O') AS ref_fwd, count(*) FILTER (l_returnflag <> 'R' AND l_linestatus <> 'O') AS ref_rev, count(*) FILTER (l_returnflag = 'R' AND l_linestatus = 'O') AS alt_fwd, count(*) FILTER (l_returnflag = 'R' AND l_linestatus <> 'O') AS alt_rev FROM lineitem GROUP BY 1)"
+
+
+def _strands(spark, sf_dir):
+    return rel.strand_table(table(spark, sf_dir, "lineitem"), ["l_suppkey"], F.col("l_returnflag") == "R", F.col("l_linestatus") != "O")
+
+
+@query(f"""SELECT *, round(ln((ref_fwd + 1.0) * (alt_rev + 1.0) / ((ref_rev + 1.0) * (alt_fwd + 1.0)) + (ref_rev + 1.0) * (alt_fwd + 1.0) / ((ref_fwd + 1.0) * (alt_rev + 1.0)))
++ ln(least(ref_fwd + 1.0, ref_rev + 1.0) / greatest(ref_fwd + 1.0, ref_rev + 1.0)) - ln(least(alt_fwd + 1.0, alt_rev + 1.0) / greatest(alt_fwd + 1.0, alt_rev + 1.0)), 6) AS sor FROM {STRANDS}""")
+def strand_odds_ratio(spark, sf_dir):
+    """Strand table with the symmetric odds ratio."""
+    cells = [F.col(x) for x in ("ref_fwd", "ref_rev", "alt_fwd", "alt_rev")]
+    return _strands(spark, sf_dir).withColumn("sor", F.round(rel.strand_odds_ratio(*cells), 6))
+
+
+@query(f"""
+WITH f AS (SELECT *, CASE WHEN ref_fwd + ref_rev + alt_fwd + alt_rev > 400 THEN (ref_fwd + ref_rev + alt_fwd + alt_rev) / 200.0 ELSE 1.0 END AS k FROM {STRANDS}),
+c AS (SELECT l_suppkey, floor(ref_fwd / k)::INT AS a, floor(ref_rev / k)::INT AS b, floor(alt_fwd / k)::INT AS c, floor(alt_rev / k)::INT AS d FROM f),
+m AS (SELECT *, a + b AS r1, c + d AS r2, a + c AS c1, a + b + c + d AS n FROM c),
+x AS (SELECT *, unnest(range(greatest(0, c1 - r2), least(r1, c1) + 1)) AS x FROM m),
+p AS (SELECT *, lgamma(r1 + 1.0) + lgamma(r2 + 1.0) + lgamma(c1 + 1.0) + lgamma(n - c1 + 1.0) - lgamma(n + 1.0) AS fixed, lgamma(x + 1.0) + lgamma(r1 - x + 1.0) + lgamma(c1 - x + 1.0) + lgamma(r2 - c1 + x + 1.0) AS s, lgamma(a + 1.0) + lgamma(b + 1.0) + lgamma(c + 1.0) + lgamma(d + 1.0) AS s0 FROM x)
+SELECT l_suppkey, round(greatest(0.0, -10 * log10(least(1.0, sum(CASE WHEN fixed - s <= fixed - s0 + 1e-7 THEN exp(fixed - s) ELSE 0.0 END)))), 4) AS fs FROM p GROUP BY 1""")
+def fisher_strand(spark, sf_dir):
+    """Fisher's exact test of the strand table, phred-scaled."""
+    return rel.fisher_strand(_strands(spark, sf_dir), "ref_fwd", "ref_rev", "alt_fwd", "alt_rev").select("l_suppkey", F.round("fs", 4).alias("fs"))
+
+
+@query("""
+WITH r AS (SELECT l_suppkey, (l_returnflag = 'R')::INT AS f, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS rk, count(*) OVER (PARTITION BY l_suppkey, l_quantity) AS t FROM lineitem),
+s AS (SELECT l_suppkey, sum(f)::DOUBLE AS n1, sum(1 - f)::DOUBLE AS n2, sum(rk * f)::DOUBLE AS r1, sum(t * t - 1.0)::DOUBLE AS ties FROM r GROUP BY 1),
+u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u1, n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1))) AS v FROM s)
+SELECT l_suppkey, n1, n2, u1, round(CASE WHEN n1 > 0 AND n2 > 0 AND v > 0 THEN (u1 - n1 * n2 / 2 + CASE WHEN ties > 0 THEN 0.5 ELSE 0.0 END) / sqrt(v) END, 6) AS z FROM u""")
+def rank_sum(spark, sf_dir):
+    """Mann-Whitney z by the normal approximation with tied ranks."""
+    return rel.rank_sum(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", F.col("l_returnflag") == "R").withColumn("z", F.round("z", 6))
+
+
+@query("""SELECT l_suppkey, count(*) AS dp, round(sqrt(sum(l_quantity * l_quantity) / count(l_quantity)), 6) AS mq, round(least(35.0, sum(l_discount) * 1000 / count(*)), 6) AS qd,
+2 * count(*) AS an, sum(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END)::BIGINT AS ac, round(sum(CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 1 ELSE 0 END) / (2.0 * count(*)), 9) AS af FROM lineitem GROUP BY 1""")
+def site_annotations(spark, sf_dir):
+    """Depth, RMS mapping quality, quality by depth and chromosome counts."""
+    dose = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    out = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("dp"), rel.rms(F.col("l_quantity")).alias("mq"), F.sum("l_discount").alias("d"), F.sum(dose).alias("ac"))
+    an = 2 * F.col("dp")
+    return out.select("l_suppkey", "dp", F.round("mq", 6).alias("mq"), F.round(rel.quality_by_depth(F.col("d") * 1000, F.col("dp")), 6).alias("qd"), an.alias("an"), "ac", F.round(F.col("ac") / an.cast("double"), 9).alias("af"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, round(pow(10.0, -l_quantity / 10), 12) AS p_err, round(abs(-10 * log10(l_discount + 0.001)), 6) AS phred,
+round(CASE WHEN -0.1 * l_quantity * ln(10.0) < -ln(2.0) THEN ln(1 - exp(-0.1 * l_quantity * ln(10.0))) ELSE ln(-(exp(-0.1 * l_quantity * ln(10.0)) - 1)) END / ln(10.0), 6) AS log_ok,
+(l_linenumber * (l_linenumber + 1) / 2)::INT + 1 AS genotype, floor(-10 * (-l_quantity - greatest(-l_quantity, -20.0)) + 0.5)::INT AS pl0, floor(-10 * (-20 - greatest(-l_quantity, -20.0)) + 0.5)::INT AS pl1 FROM lineitem""")
+def phred_scalars(spark, sf_dir):
+    """Phred conversions, genotype index and PLs."""
+    q = F.col("l_quantity")
+    pl = phred.pl_of(F.array(-q, F.lit(-20.0)))
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey",
+        F.round(phred.error_probability(q), 12).alias("p_err"),
+        F.round(phred.phred_of_probability(F.col("l_discount") + 0.001), 6).alias("phred"),
+        F.round(phred.log10_one_minus(-0.1 * q), 6).alias("log_ok"),
+        phred.genotype_index(F.lit(1), F.col("l_linenumber")).alias("genotype"),
+        pl[0].alias("pl0"), pl[1].alias("pl1"),
+    )
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, array_agg(l_quantity ORDER BY l_quantity) AS q FROM lineitem GROUP BY 1)
+SELECT l_orderkey, round(list_min(q) / -10 + log10(list_sum(list_transform(q, lambda x: pow(10.0, (x - list_min(q)) / -10)))), 6) AS total, CASE WHEN len(q) > 1 THEN (q[2] - q[1])::INT END AS gq FROM g""")
+def log_sums(spark, sf_dir):
+    """Log10 sums over arrays and genotype quality."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("q"))
+    gl = phred.gl_of(F.col("q"))
+    return g.select("l_orderkey", F.round(phred.log10_sum(gl), 6).alias("total"), phred.genotype_quality(F.col("q")).cast("int").alias("gq"))
+
+
+KMERS = "(SELECT doc_id, unnest(range(0, greatest(0, length(text) - 5))) AS place, text FROM documents)"
+
+
+@query(f"WITH k AS (SELECT doc_id, substr(text, place + 1, 6) AS kmer FROM {KMERS}), m AS (SELECT doc_id, kmer, count(*) AS c FROM k GROUP BY 1, 2 HAVING count(*) > 1) SELECT kmer, count(*) AS n_sequences, max(c) AS most FROM m GROUP BY 1")
+def non_unique_kmers(spark, sf_dir):
+    """K-mers that a sequence holds more than once."""
+    return rel.non_unique_kmers(rel.kmers(table(spark, sf_dir, "documents"), ["doc_id"], F.col("text"), 6), ["doc_id"])
+
+
+@query(f"""WITH e AS (SELECT substr(text, place + 1, 3) AS s, substr(text, place + 2, 3) AS t FROM (SELECT text, unnest(range(0, greatest(0, length(text) - 3))) AS place FROM documents)),
+w AS (SELECT s, t, count(*) AS weight FROM e GROUP BY 1, 2 HAVING count(*) >= 2),
+d AS (SELECT s AS vertex, 0 AS i, 1 AS o, weight AS ww FROM w UNION ALL SELECT t, 1, 0, 0 FROM w)
+SELECT vertex, sum(i)::BIGINT AS in_degree, sum(o)::BIGINT AS out_degree, sum(ww)::BIGINT AS out_weight FROM d GROUP BY 1""")
+def kmer_graph_degrees(spark, sf_dir):
+    """Degrees of the k-mer graph after edges of little weight are pruned."""
+    # a 4-mer holds two consecutive 3-mers
+    fours = table(spark, sf_dir, "documents").select(F.explode(rel.kmer_array(F.col("text"), 4)).alias("f"))
+    pairs = fours.select(F.substring("f", 1, 3).alias("source"), F.substring("f", 2, 3).alias("target"))
+    edges = pairs.groupBy("source", "target").agg(F.count("*").alias("weight"))
+    return rel.vertex_degrees(rel.pruned_edges(edges))
+
+
+@query("SELECT c_custkey, c_nationkey, k.ids FROM customer LEFT JOIN (SELECT s_nationkey, s_suppkey % 5 AS m, string_agg(s_name, ';' ORDER BY s_name) AS ids FROM (SELECT DISTINCT s_nationkey, s_suppkey % 5, s_suppkey, s_name FROM supplier) GROUP BY 1, 2) k ON c_nationkey = s_nationkey AND c_custkey % 5 = m")
+def known_ids(spark, sf_dir):
+    """Ids of known records that agree in position and allele."""
+    v = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", F.col("c_nationkey").alias("pos"), (F.col("c_custkey") % 5).alias("alt"))
+    known = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pos"), (F.col("s_suppkey") % 5).alias("alt"), "s_name")
+    return rel.annotated_ids(v, known, ["pos", "alt"], "s_name").select("c_custkey", "c_nationkey", "ids")
+
+
+@query("""
+WITH c AS (SELECT l_partkey, count(*) + 2.0 AS n, count(*) FILTER (l_returnflag = 'R') + 1.0 AS x, round(avg(l_quantity), 6) AS prior FROM lineitem GROUP BY 1),
+s AS (SELECT l_partkey, q, -0.5 * pow(least(abs(trunc(q - prior)), 40) / 0.5, 2) - ln(0.5 * sqrt(2 * pi())) + x * ln(pow(10.0, -q / 10.0)) + CASE WHEN q = 0 THEN CASE WHEN n > x THEN '-inf'::DOUBLE ELSE 0.0 END ELSE (n - x) * ln(greatest(1 - pow(10.0, -q / 10.0), 1e-300)) END AS sc FROM c, range(0, 61) t(q))
+SELECT l_partkey, min(q)::INT AS empirical_q FROM (SELECT *, max(sc) OVER (PARTITION BY l_partkey) AS m FROM s) WHERE sc = m GROUP BY 1""")
+def empirical_quality(spark, sf_dir):
+    """The most probable quality of a bin of observations."""
+    g = table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("x"), F.round(F.avg("l_quantity"), 6).alias("prior"))
+    return rel.empirical_quality(g, F.col("n"), F.col("x"), F.col("prior")).select("l_partkey", "empirical_q")
+
+
+@query("""
+WITH b AS (SELECT doc_id, translate(text, 'etaoin', 'ACGTAC') AS s FROM documents),
+p AS (SELECT doc_id, s, unnest(range(0, length(s))) AS i FROM b),
+c AS (SELECT doc_id % 2 = 1 AS rev, CASE WHEN i >= 2 AND regexp_full_match(substr(s, i - 1, 3), '[ACGT]+') THEN substr(s, i - 1, 3) END AS ctx, (CASE WHEN doc_id % 2 = 1 THEN length(s) - i ELSE i + 1 END) * CASE WHEN doc_id % 3 = 0 THEN -1 ELSE 1 END AS cyc FROM p)
+SELECT rev, ctx, count(*) AS n, min(cyc)::BIGINT AS min_cycle, max(cyc)::BIGINT AS max_cycle FROM c GROUP BY 1, 2""")
+def covariates(spark, sf_dir):
+    """Context and machine cycle of each base."""
+    reverse, second = F.col("doc_id") % 2 == 1, F.col("doc_id") % 3 == 0
+    reads = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", "etaoin", "ACGTAC").alias("s"))
+    bases = rel.covariates(reads.withColumn("rev", reverse), ["rev"], F.col("s"), 3, reverse, second)
+    return bases.groupBy("rev", F.col("context").alias("ctx")).agg(F.count("*").alias("n"), F.min("cycle").cast("long").alias("min_cycle"), F.max("cycle").cast("long").alias("max_cycle"))
+
+
+@query(f"""
+WITH b AS (SELECT event_id, user_id, sec AS s, sec + 1800 + event_id % 5400 AS e, event_type = 'error' AS del FROM {EVENTS}),
+r AS (SELECT *, max(CASE WHEN del THEN e END) OVER (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b)
+SELECT event_id, user_id, CASE WHEN del THEN s ELSE greatest(s, coalesce(reach, s - 1) + 1) END AS s, e, CASE WHEN del THEN 0 ELSE greatest(s, coalesce(reach, s - 1) + 1) - s END AS moved FROM r WHERE del OR e > coalesce(reach, s - 1)""")
+def deletion_overlap_repair(spark, sf_dir):
+    """Blocks behind deletions dropped or cut."""
+    df = events(spark, sf_dir).select("event_id", "user_id", F.col("sec").alias("s"), (F.col("sec") + 1800 + F.col("event_id") % 5400).alias("e"), (F.col("event_type") == "error").alias("del"))
+    return iv.repaired(df, ["user_id"], "s", "e", F.col("del"), ["s", "event_id"]).drop("del")
+
+
+@query(f"""
+WITH g AS (SELECT user_id, max(sec) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 AS a, sec - 1 AS b FROM {EVENTS}),
+t AS (SELECT user_id, a, b, unnest(range(a, b + 1, 7200)) AS s FROM g WHERE a <= b)
+SELECT user_id, s AS gap_start, least(s + 7199, b) AS gap_end FROM t""")
+def gap_tiling(spark, sf_dir):
+    """Uncovered stretches cut into tiles."""
+    df = events(spark, sf_dir).select("user_id", F.col("sec").alias("start"), F.col("sec").alias("end"))
+    return iv.tiled(iv.gaps(df, ["user_id"]), 7200, "gap_start", "gap_end")
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b FROM (SELECT n_nationkey AS k, n_regionkey AS r FROM nation) a FULL JOIN (SELECT s_nationkey AS k, (min(s_suppkey) % 5)::INT AS r FROM supplier GROUP BY 1) b ON a.k = b.k WHERE a.r IS DISTINCT FROM b.r")
+def dictionary_check(spark, sf_dir):
+    """Where two contig dictionaries disagree."""
+    a = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("r"))
+    b = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg((F.min("s_suppkey") % 5).cast("int").alias("r"))
+    return rel.dictionaries_agree(a, b, "k", ["r"])
+
+
+@query("""
+WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, substr('ACGTACGTAC', 1 + (l_partkey % 4)::INT, 1 + (l_suppkey % 3)::INT) AS ref, CASE WHEN l_returnflag = 'N' THEN '<NON_REF>' ELSE substr('TGCATGCATG', 1 + (l_suppkey % 4)::INT, 1 + (l_partkey % 3)::INT) END AS alt FROM lineitem)
+SELECT *, CASE WHEN alt LIKE '<%' OR alt = '*' THEN 'SYMBOLIC' WHEN length(ref) <> length(alt) THEN 'INDEL' WHEN length(ref) = 1 THEN 'SNP' ELSE 'MNP' END AS kind FROM a""")
+def variant_types(spark, sf_dir):
+    """SNP, MNP, INDEL or SYMBOLIC."""
+    df = table(spark, sf_dir, "lineitem")
+    ref = F.substring(F.lit("ACGTACGTAC"), (1 + F.col("l_partkey") % 4).cast("int"), (1 + F.col("l_suppkey") % 3).cast("int"))
+    alt = F.when(F.col("l_returnflag") == "N", "<NON_REF>").otherwise(F.substring(F.lit("TGCATGCATG"), (1 + F.col("l_suppkey") % 4).cast("int"), (1 + F.col("l_partkey") % 3).cast("int")))
+    out = df.select("l_orderkey", "l_linenumber", "l_partkey", ref.alias("ref"), alt.alias("alt"))
+    return out.withColumn("kind", rel.variant_type(F.col("ref"), F.col("alt")))
+
+
+@query(f"""
+SELECT a.user_id, a.event_id AS read_id, b.event_id AS mate_id, CASE WHEN a.event_type = b.event_type THEN least(a.gq, 20) ELSE 0 END AS q1, CASE WHEN a.event_type = b.event_type THEN least(b.gq, 20) ELSE 0 END AS q2
+FROM {EVENTS} a JOIN {EVENTS} b ON a.user_id = b.user_id AND floor(a.sec / 600) = floor(b.sec / 600) AND a.event_id < b.event_id""")
+def mate_overlap_quality(spark, sf_dir):
+    """Qualities where mates overlap: capped where bases agree, 0 where they differ."""
+    ev = events(spark, sf_dir).withColumn("name", F.floor(F.col("sec") / 600))
+    a = ev.select("user_id", "name", F.col("event_id").alias("read_id"), F.col("event_type").alias("b1"), F.col("gq").alias("g1"))
+    b = ev.select("user_id", "name", F.col("event_id").alias("mate_id"), F.col("event_type").alias("b2"), F.col("gq").alias("g2"))
+    same = F.col("b1") == F.col("b2")
+    zero = F.lit(0).cast("long")
+    cap = lambda g: F.when(same, F.least(F.col(g), F.lit(20).cast("long"))).otherwise(zero)
+    return a.join(b, ["user_id", "name"]).filter("read_id < mate_id").select("user_id", "read_id", "mate_id", cap("g1").alias("q1"), cap("g2").alias("q2"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, sec AS pos, CASE WHEN event_type = 'error' THEN sec + event_id % 20000 END AS del_end FROM {EVENTS})
+SELECT user_id, event_id, pos, coalesce(max(del_end) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= pos, false) AS covered FROM e""")
+def upstream_deletions(spark, sf_dir):
+    """Whether a deletion that began before still covers a site."""
+    ev = events(spark, sf_dir)
+    reach = iv.upstream_end(["user_id"], ["sec", "event_id"], F.when(F.col("event_type") == "error", F.col("sec") + F.col("event_id") % 20000))
+    return ev.select("user_id", "event_id", F.col("sec").alias("pos"), F.coalesce(reach >= F.col("sec"), F.lit(False)).alias("covered"))
+
+
+@query("SELECT o_custkey, count(*) AS n, min(o_orderkey) - 20 AS trim_start, max(o_orderkey) + 20 AS trim_end FROM orders GROUP BY 1")
+def trim_spans(spark, sf_dir):
+    """Span of a region's events with its padding."""
+    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), (F.min("o_orderkey") - 20).alias("trim_start"), (F.max("o_orderkey") + 20).alias("trim_end"))
