@@ -169,7 +169,7 @@ def _first_record(data: bytes, contigs: int) -> int:
     def plausible(at: int) -> int:
         if len(data) - at < 36:
             return -1
-        n, tid, pos, name, _, _, ops, _, length, mtid, mpos = struct.unpack("<iiiBBHHHiii", data[at : at + 36])
+        n, tid, pos, name, _, _, ops, _, length, mtid, mpos = struct.unpack("<iiiBBHHHiii", data[at : at + 32])
         good = 32 < n < MOST_RECORD and -1 <= tid < contigs and pos >= -1 and name > 1 and 0 <= length < MOST_RECORD and -1 <= mtid < contigs and mpos >= -1 and 32 + name + 4 * ops + (length + 1) // 2 + length <= n
         return at + 4 + n if good else -1
 
