@@ -141,3 +141,28 @@ def op1_query(spark, sf_dir: str) -> DataFrame:
     from ._common import documents
 
     return pareto_mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "whole")
+
+
+#: The same mix in SQL: a source is ordered as a whole, where the operator finds the cut by buckets.
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+r AS (SELECT *, floor(log2(size + 1))::INT AS cls, (('0x' || substr(md5('17:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS u FROM d),
+k AS (SELECT source, cls, sum(size)::BIGINT AS cls_size FROM r GROUP BY 1, 2),
+s AS (SELECT source, sum(cls_size)::BIGINT AS source_size FROM k GROUP BY 1),
+w AS (SELECT *, (1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::DOUBLE AS weight, (source_size * 3)::DOUBLE AS cap, (sum(source_size) OVER ())::DOUBLE AS total FROM s),
+l AS (SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+    / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT *, first_value(CASE WHEN level * weight <= cap THEN level END IGNORE NULLS) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS first FROM l),
+t AS (SELECT source, source_size, CASE WHEN first IS NOT NULL THEN first * weight ELSE cap END AS target FROM f),
+c AS (SELECT k.source, k.cls, k.cls_size, t.source_size, t.target, (k.cls + 1)::DOUBLE AS cw,
+    (t.target - 3 * coalesce(sum(k.cls_size) OVER (PARTITION BY k.source ORDER BY k.cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / nullif(sum((k.cls + 1)::DOUBLE * k.cls_size) OVER (PARTITION BY k.source ORDER BY k.cls DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS c
+    FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+g AS (SELECT *, first_value(CASE WHEN c * cw <= 3 THEN c END IGNORE NULLS) OVER (PARTITION BY source ORDER BY cls DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cf FROM c),
+h AS (SELECT *, CASE WHEN cf IS NULL THEN 3.0 ELSE least(3.0, greatest(0.0, cf * cw)) END AS copies FROM g),
+p AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM h),
+q AS (SELECT *, round(greatest(0.0, target - sum(whole * cls_size) OVER (PARTITION BY source)))::BIGINT AS rest FROM p),
+z AS (SELECT r.doc_id, r.source, r.size, q.source_size, q.target, q.whole, q.rest, CASE WHEN q.p > 0 THEN r.u * (1 - q.p) / (r.u * (1 - q.p) + q.p * (1 - r.u)) END AS z
+    FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source AND r.cls = q.cls),
+x AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE greatest(0, least(size, rest - coalesce(sum(CASE WHEN z IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY z NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS extra FROM z)
+SELECT doc_id, size, source_size, target, (whole * size + extra)::BIGINT AS taken, source, whole FROM x"""

@@ -10,7 +10,7 @@ from .embeddings import op2_query
 from .gif import op9_query
 from .language_id import op4_query
 from .licenses import op7_query
-from .mixing import op1_query
+from .mixing import OP1_SQL, op1_query
 from .packing import op3_query
 from .pii import op6_query
 from .simhash import op10_query
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_anchors": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL}
