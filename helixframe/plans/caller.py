@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import assembly, cigar as cg, events as ev, pairhmm, stats
+from ..kernels.reads import mates_reconciled
 from ..operators import reads as rd
 from ..operators.relational import FISHER_LIMIT
 from ..schemas import CALLS
@@ -35,6 +36,7 @@ def _prepared(row, left: int, right: int) -> tuple[str, list[int], int] | None:
         b -= 1
     shift = cg.start_shift(core, a - lead)
     at = start + shift
+    a, b, at = _without_adaptor(row, a, b, at)
     if at < left:
         a += min(b - a, left - at)
         at = left
@@ -46,6 +48,18 @@ def _prepared(row, left: int, right: int) -> tuple[str, list[int], int] | None:
     return seq[a:b], qual[a:b], at
 
 
+def _without_adaptor(row, a: int, b: int, at: int) -> tuple[int, int, int]:
+    """Ends without bases past the fragment's end, where mates are on opposite strands of a fragment shorter than a read."""
+    flag, size = int(row["flag"]), int(row["isize"])
+    paired = flag & rd.PAIRED and not flag & (rd.UNMAPPED | rd.MATE_UNMAPPED)
+    if not size or not paired or bool(flag & rd.REVERSE) == bool(flag & rd.MATE_REVERSE) or abs(size) > b - a:
+        return a, b, at
+    if flag & rd.REVERSE:
+        cut = max(0, int(row["mstart"]) - at)
+        return min(b, a + cut), b, at + cut
+    return a, min(b, a + max(0, int(row["start"]) + abs(size) - at)), at
+
+
 def _log10_fisher(table: list[int]) -> float:
     import math
 
@@ -82,6 +96,8 @@ def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence:
         got = _prepared(row, window_start, right)
         if got is not None:
             usable.append((row, *got))
+    fixed = mates_reconciled([(row["qname"], seq, qual, at) for row, seq, qual, at in usable])
+    usable = [(row, seq, qual, at) for (row, seq, _, at), qual in zip(usable, fixed, strict=True)]
     haps = assembly.assemble(window, [(seq, qual) for _, seq, qual, _ in usable])
     if len(haps) < 2 or not usable:
         return []
@@ -216,15 +232,44 @@ def windows(regions: DataFrame, reference: DataFrame, pad: int = REFERENCE_PAD)
     return pieces.groupBy("region_id", "w_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda p: p["b"]), "").alias("w_bases"))
 
 
-def call(reads: DataFrame, reference: DataFrame, intervals: DataFrame | None = None, dbsnp: DataFrame | None = None, mode: str = "VCF", depth: int = 50, confidence: float | None = None, pcr_indel_model: str = "conservative", seed: int = 0) -> DataFrame:
+def selected(reads: DataFrame, depth: int, seed: int, recal: dict[str, DataFrame] | None, inspect: DataFrame | None) -> DataFrame:
+    """Filtered, then sampled, then recalibrated reads: in that order, so that fewer bases are looked up."""
+    used = rd.filtered(reads)
+    if inspect is not None:
+        used = rd.well_formed(inspect)(used).filter(rd.good_cigar(F.col("cigar")))
+    used = rd.downsampled(used, depth, seed)
+    return used if recal is None else rd.recalibrated(used, recal)
+
+
+def haplotypes(reads: DataFrame, reference: DataFrame, depth: int = 50, seed: int = 0) -> DataFrame:
+    """The assembled haplotypes of each active region in the schema of ``schemas.HAPLOTYPES``, for inspection."""
+    from ..schemas import HAPLOTYPES
+
+    used = rd.downsampled(rd.filtered(reads), depth, seed)
+    regions = rd.active_regions(rd.locus_activity(rd.evidence(used, reference))).filter("active")
+    joined = rd.region_reads(regions, used).join(windows(regions, reference), "region_id")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        window, start = frame["w_bases"].iloc[0], int(frame["w_start"].iloc[0])
+        frame = frame.sort_values(["start", "qname", "flag", "read_id"])
+        parts = [p for row in frame.to_dict("records") if (p := _prepared(row, start, start + len(window) - 1)) is not None]
+        found = assembly.assemble(window, [(seq, qual) for seq, qual, _ in parts])
+        rows = [(int(frame["region_id"].iloc[0]), i, h.is_ref, h.bases, [{"op": op, "len": n} for op, n in h.cigar], None if h.is_ref else h.score, h.k, start) for i, h in enumerate(found)]
+        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in "region_id, hap_id, is_ref, bases, cigar, score, kmer, ref_start".split(", ")])
+
+    return joined.groupBy("region_id").applyInPandas(run, HAPLOTYPES)
+
+
+def call(reads: DataFrame, reference: DataFrame, intervals: DataFrame | None = None, dbsnp: DataFrame | None = None, mode: str = "VCF", depth: int = 50, confidence: float | None = None, pcr_indel_model: str = "conservative", seed: int = 0, recal: dict[str, DataFrame] | None = None, inspect: DataFrame | None = None) -> DataFrame:
     """Variant calls in the schema of ``schemas.CALLS`` (with ``ids`` if ``dbsnp`` is given).
 
     ``reads`` as in ``schemas.READS``; ``reference`` (tid, start, bases) in chunks; ``intervals`` (tid, start, end)
-    restrict where regions are looked for; ``dbsnp`` (tid, start, id, ref, alts, filter).
+    restrict where regions are looked for; ``dbsnp`` (tid, start, id, ref, alts, filter); ``recal`` the steps of
+    ``operators.recal.steps``; ``inspect`` contigs against which reads must be well-formed, with good CIGARs.
     """
     gvcf = mode.upper() == "GVCF"
     limit = confidence if confidence is not None else (0.0 if gvcf else CONFIDENCE)
-    used = rd.downsampled(rd.filtered(reads), depth, seed)
+    used = selected(reads, depth, seed, recal, inspect)
     found = rd.evidence(used, reference)
     if intervals is not None:
         from ..operators.intervals import overlap_join

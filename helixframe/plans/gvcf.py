@@ -73,3 +73,23 @@ def stitched(found: DataFrame, calls: DataFrame) -> DataFrame:
     deletion = F.exists(F.slice("alleles", 2, F.size("alleles")), lambda a: ~a.startswith("<") & (F.length(a) < F.length(F.col("alleles")[0])))
     c = calls.select("tid", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("end"), F.lit(True).alias("is_call"), deletion.alias("is_deletion"))
     return repaired(b.unionByName(c), ["tid"], "start", "end", F.col("is_deletion"), ["start", "is_call"])
+
+
+def write(spark, reads: DataFrame, reference: DataFrame, contigs: DataFrame, path: str, sample: str = "sample", bounds: tuple[int, ...] = rel.BANDS, **options) -> None:
+    """Calls and hom-ref blocks in genome order as a GVCF; blocks give way to calls and to what deletions cover."""
+    from ..operators import reads as rd
+    from . import caller
+
+    calls = caller.call(reads, reference, mode="GVCF", **options)
+    used = caller.selected(reads, options.get("depth", 50), options.get("seed", 0), options.get("recal"), options.get("inspect"))
+    found = rd.evidence(used, reference)
+    if options.get("intervals") is not None:
+        from ..operators.intervals import overlap_join
+
+        spans = options["intervals"].select("tid", F.col("start").alias("i_start"), F.col("end").alias("i_end"))
+        found = overlap_join(found, spans, ["tid"], ("pos", "pos"), ("i_start", "i_end"), how="left_semi")
+    free = blocks(site_confidence(found), calls, bounds)
+    lines = caller.vcf_lines(calls, contigs, gvcf=True).unionByName(block_lines(free, contigs, reference))
+    head = spark.createDataFrame([(-1, i, x) for i, x in enumerate(caller.header_lines(contigs, sample, bounds))], "tid int, start int, line string")
+    body = head.unionByName(lines.select("tid", F.col("start").cast("int").alias("start"), "line"))
+    body.orderBy("tid", "start", "line").select("line").write.mode("overwrite").option("compression", "gzip" if path.endswith(".gz") else "none").text(path)
