@@ -147,7 +147,7 @@ def recalibrated(reads: DataFrame, tables: dict[str, DataFrame], size: int = 2)
     quals = F.when(reverse, F.reverse("qual")).otherwise(F.col("qual"))
     each = reads.select("read_id", "rg", "flag", F.size("qual").alias("n"), strand.alias("s"), F.posexplode(quals).alias("i", "q")).withColumn("cycle", F.when(second, -(F.col("i") + 1)).otherwise(F.col("i") + 1))
     part = F.substring("s", F.col("i") - size + 2, F.lit(size))
-    each = each.withColumn("context", F.when((F.col("i") >= size - 1) & part.rlike("^[ACGT]+$"), part))
+    each = each.withColumn("context", F.when((F.col("i") >= size - 1) & part.rlike(r"^[ACGT]+\z"), part))
     base = tables["base"].select(F.col("rg").alias("b_rg"), F.col("q").alias("b_q"), F.col("value").alias("b_value"))
     ctx = tables["context"].select(F.col("rg").alias("c_rg"), F.col("q").alias("c_q"), F.col("key").alias("c_key"), F.col("value").alias("c_value"))
     cyc = tables["cycle"].select(F.col("rg").alias("y_rg"), F.col("q").alias("y_q"), F.col("key").alias("y_key"), F.col("value").alias("y_value"))

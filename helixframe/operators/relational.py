@@ -336,7 +336,7 @@ def covariates(df: DataFrame, keys: list[str], bases: Column, size: int, reverse
     whole = kmer_array(bases, size)
     early = F.array_repeat(F.lit(None).cast("string"), F.least(F.length(bases), F.lit(size - 1)))
     rows = df.select(*keys, F.length(bases).alias("__n"), reverse.alias("__reverse"), second.alias("__second"), F.posexplode(F.concat(early, whole)).alias("__i", "__part"))
-    return rows.select(*keys, cycle(F.col("__i"), F.col("__n"), F.col("__reverse"), F.col("__second")).alias("cycle"), F.when(F.col("__part").rlike("^[ACGT]+$"), F.col("__part")).alias("context"))
+    return rows.select(*keys, cycle(F.col("__i"), F.col("__n"), F.col("__reverse"), F.col("__second")).alias("cycle"), F.when(F.col("__part").rlike(r"^[ACGT]+\z"), F.col("__part")).alias("context"))
 
 
 # -- k-mers -----------------------------------------------------------------------------------------------------
@@ -397,3 +397,40 @@ def dictionaries_agree(a: DataFrame, b: DataFrame, key: str, columns: list[str])
     left = a.select(F.col(key).alias("key"), F.struct(*columns).alias("a"))
     right = b.select(F.col(key).alias("key2"), F.struct(*columns).alias("b"))
     return left.join(right, F.col("key") == F.col("key2"), "full_outer").filter(~F.col("a").eqNullSafe(F.col("b"))).select(F.coalesce("key", "key2").alias(key), F.col("a").isNotNull().alias("in_a"), F.col("b").isNotNull().alias("in_b"))
+
+
+# -- alleles of a site, merging of inputs, calls ----------------------------------------------------------------
+
+
+def remapped_alleles(df: DataFrame, keys: list[str], ref: str, alt: str) -> DataFrame:
+    """Per site the longest reference and the distinct alternates padded to it, in order; sites without any are left out."""
+    longest = df.groupBy(*keys).agg(F.max(F.struct(F.length(ref).alias("n"), F.col(ref).alias("r")))["r"].alias("site_ref"))
+    named = longest.select(*[F.col(k).alias(f"__{k}") for k in keys], "site_ref")
+    same = F.lit(True)
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"__{k}"))
+    rest = F.substring(F.col("site_ref"), F.length(ref) + 1, F.length("site_ref"))
+    padded = df.join(named, same).withColumn("__alt", F.concat(alt, rest)).filter("__alt != site_ref")
+    return padded.groupBy(*keys, "site_ref").agg(F.array_join(F.array_sort(F.collect_set("__alt")), ",").alias("alts"))
+
+
+def merged_inputs(parts: list[DataFrame], order: list[str], name: str = "input") -> DataFrame:
+    """Several sorted inputs as one in order; ties go to the earlier input."""
+    numbered = [p.withColumn(name, F.lit(i)) for i, p in enumerate(parts)]
+    out = numbered[0]
+    for p in numbered[1:]:
+        out = out.unionByName(p)
+    return out.orderBy(*order, name)
+
+
+def region_pairs(reads: DataFrame, haplotypes: DataFrame, region: str) -> DataFrame:
+    """Every read with every haplotype of its region: an equi-join on the region."""
+    return reads.join(haplotypes, region)
+
+
+def called_genotypes(df: DataFrame, keys: list[str], likelihoods: str, no_call: float = -0.1) -> DataFrame:
+    """Index of the likeliest genotype (null where all are about equal), PLs and genotype quality."""
+    gl = F.col(likelihoods)
+    spread = F.aggregate(gl, F.lit(0.0), lambda acc, x: acc + x) - F.size(gl) * F.array_max(gl)
+    pl = phred.pl_of(gl)
+    return df.select(*keys, F.when(spread < no_call, phred.argmax(gl)).alias("gt"), pl.alias("pl"), F.least(F.lit(99), phred.genotype_quality(pl)).alias("gq"))

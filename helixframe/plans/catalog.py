@@ -416,3 +416,56 @@ def upstream_deletions(spark, sf_dir):
 def trim_spans(spark, sf_dir):
     """Span of a region's events with its padding."""
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), (F.min("o_orderkey") - 20).alias("trim_start"), (F.max("o_orderkey") + 20).alias("trim_end"))
+
+
+@query("""
+WITH a AS (SELECT l_partkey AS site, substr('ACGTTGCA', 1, 1 + (l_suppkey % 4)::INT) AS ref, substr('ACGTTGCA', 1, 1 + (l_suppkey % 4)::INT) || CASE WHEN l_returnflag = 'R' THEN 'T' ELSE 'GG' END AS alt FROM lineitem),
+m AS (SELECT site, arg_max(ref, length(ref)) AS site_ref FROM a GROUP BY 1),
+p AS (SELECT DISTINCT a.site, site_ref, alt || substr(site_ref, length(ref) + 1) AS x FROM a JOIN m ON a.site = m.site)
+SELECT site, site_ref, string_agg(x, ',' ORDER BY x) AS alts FROM p WHERE x <> site_ref GROUP BY 1, 2""")
+def allele_remap(spark, sf_dir):
+    """Alternates of a site padded to its longest reference."""
+    ref = F.substring(F.lit("ACGTTGCA"), F.lit(1), (1 + F.col("l_suppkey") % 4).cast("int"))
+    df = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("site"), ref.alias("ref"), F.concat(ref, F.when(F.col("l_returnflag") == "R", "T").otherwise("GG")).alias("alt"))
+    return rel.remapped_alleles(df, ["site"], "ref", "alt")
+
+
+@query("""
+WITH u AS (SELECT s_nationkey AS pos, s_suppkey AS id, 0 AS input FROM supplier UNION ALL SELECT c_nationkey, c_custkey, 1 FROM customer)
+SELECT pos, id, input, row_number() OVER (PARTITION BY pos ORDER BY id, input) AS place FROM u""")
+def merged_inputs(spark, sf_dir):
+    """Two inputs as one, in order, the earlier input first among ties."""
+    a = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pos"), F.col("s_suppkey").alias("id"))
+    b = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("pos"), F.col("c_custkey").alias("id"))
+    return rel.merged_inputs([a, b], ["pos", "id"]).withColumn("place", F.row_number().over(Window.partitionBy("pos").orderBy("id", "input")))
+
+
+@query("SELECT c_nationkey AS region, count(*) AS n_pairs, sum(c_custkey * 7 + s_suppkey)::BIGINT AS mark FROM customer JOIN supplier ON c_nationkey = s_nationkey GROUP BY 1")
+def read_haplotype_pairs(spark, sf_dir):
+    """Reads by haplotypes within their region."""
+    reads = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("region"), "c_custkey")
+    haps = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("region"), "s_suppkey")
+    return rel.region_pairs(reads, haps, "region").groupBy("region").agg(F.count("*").alias("n_pairs"), F.sum(F.col("c_custkey") * 7 + F.col("s_suppkey")).alias("mark"))
+
+
+@query("""
+WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, -l_quantity / 8 AS a, -l_discount * 40 AS b, -l_tax * 30 AS c FROM lineitem),
+m AS (SELECT *, greatest(a, b, c) AS m FROM g),
+p AS (SELECT *, floor(-10 * (a - m) + 0.5)::INT AS p0, floor(-10 * (b - m) + 0.5)::INT AS p1, floor(-10 * (c - m) + 0.5)::INT AS p2 FROM m)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN a + b + c - 3 * m < -0.1 THEN CASE WHEN a = m THEN 0 WHEN b = m THEN 1 ELSE 2 END END AS gt, p0, p1, p2, least(99, list_sort([p0, p1, p2])[2] - list_sort([p0, p1, p2])[1])::INT AS gq FROM p""")
+def genotype_calls(spark, sf_dir):
+    """Likeliest genotype, PLs and genotype quality; no call where all are about equal."""
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    df = table(spark, sf_dir, "lineitem").withColumn("gl", F.array(-F.col("l_quantity") / 8, -F.col("l_discount") * 40, -F.col("l_tax") * 30))
+    out = rel.called_genotypes(df, keys, "gl")
+    return out.select(*keys, "gt", *[F.col("pl")[i].alias(f"p{i}") for i in range(3)], "gq")
+
+
+@query("SELECT l_partkey, least(count(*) FILTER (l_returnflag <> 'R'), 40)::INT AS n, floor(-10 * (n * (log10((1 - pow(10.0, -4.5)) + pow(10.0, -4.5)) - log10(2.0)) - n * log10(1 - pow(10.0, -4.5))) + 0.5)::INT AS het_pl FROM lineitem GROUP BY 1")
+def indel_reference_pl(spark, sf_dir):
+    """Het PL of the indel model from the capped number of informative reads."""
+    from ..kernels.stats import INDEL_READS, indel_pls
+
+    lookup = F.array(*[F.lit(indel_pls(k)[1]) for k in range(INDEL_READS + 1)])
+    n = F.least(F.sum(F.when(F.col("l_returnflag") != "R", 1).otherwise(0)), F.lit(INDEL_READS)).cast("int")
+    return table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(n.alias("n")).withColumn("het_pl", F.element_at(lookup, F.col("n") + 1))
