@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = open_labels.count()
     rate = min(1.0, sample_rows / max(1, n))
     # at most about sample_rows labels: small enough to send to all executors, so that no text is shuffled
-    drawn = open_labels.filter(F.pmod(F.xxhash64(F.lit(7), "l_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).dropDuplicates(["l_id"])
+    drawn = open_labels.filter(F.pmod(F.xxhash64(F.lit(7), "l_id"), F.lit(1 << 30)) < int(rate * (1 << 30))).groupBy("l_id").agg(F.max("toxic").alias("toxic"))
     known = drawn.collect()
     toxic = sum(r["toxic"] for r in known)
     if not toxic or toxic == len(known):
