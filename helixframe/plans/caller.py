@@ -303,7 +303,9 @@ def vcf_lines(calls: DataFrame, contigs: DataFrame, gvcf: bool = False) -> DataF
     pair = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(name + "="), value))
     common = [pair("BaseQRankSum", num("baseq_ranksum")), pair("DP", F.col("dp").cast("string")), pair("ExcessHet", num("excess_het", 4)), pair("MLEAC", joined("mleac")), pair("MLEAF", joined("mleaf")), pair("MQRankSum", num("mq_ranksum")), pair("ReadPosRankSum", num("readpos_ranksum"))]
     only_vcf = [pair("AC", joined("ac")), pair("AF", joined("af")), pair("AN", F.col("an").cast("string")), pair("FS", num("fs")), pair("MQ", num("mq", 2)), pair("QD", num("qd", 2)), pair("SOR", num("sor"))]
-    info = F.array_join(F.array_sort(F.filter(F.array(*common, *([] if gvcf else only_vcf)), lambda x: x.isNotNull())), ";")
+    raw = F.concat_ws(",", F.floor(F.col("mq") * F.col("mq") * F.col("dp") + 0.5).cast("string"), F.col("dp").cast("string"))
+    only_gvcf = [pair("RAW_MQandDP", F.when(F.col("mq").isNotNull(), raw))]
+    info = F.array_join(F.array_sort(F.filter(F.array(*common, *(only_gvcf if gvcf else only_vcf)), lambda x: x.isNotNull())), ";")
     sep = F.when(F.col("pgt").isNotNull(), "|").otherwise("/")
     allele = lambda i: F.when(F.col("gt")[i] < 0, ".").otherwise(F.col("gt")[i].cast("string"))
     gt = F.concat(allele(0), sep, allele(1))
@@ -331,7 +333,22 @@ HEADER = """##fileformat=VCFv4.2
 ##FORMAT=<ID=PL,Number=G,Type=Integer,Description="Phred-scaled genotype likelihoods">
 ##FORMAT=<ID=PS,Number=1,Type=Integer,Description="Phase set">
 ##FORMAT=<ID=SB,Number=4,Type=Integer,Description="Reads by allele and strand">
-##INFO=<ID=END,Number=1,Type=Integer,Description="End of a block">"""
+##INFO=<ID=AC,Number=A,Type=Integer,Description="Alternate allele counts">
+##INFO=<ID=AF,Number=A,Type=Float,Description="Alternate allele frequencies">
+##INFO=<ID=AN,Number=1,Type=Integer,Description="Called alleles">
+##INFO=<ID=BaseQRankSum,Number=1,Type=Float,Description="Rank sum z of base qualities, alternate against reference">
+##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth">
+##INFO=<ID=END,Number=1,Type=Integer,Description="End of a block">
+##INFO=<ID=ExcessHet,Number=1,Type=Float,Description="Phred-scaled p-value of excess heterozygosity">
+##INFO=<ID=FS,Number=1,Type=Float,Description="Phred-scaled Fisher test of strands">
+##INFO=<ID=MLEAC,Number=A,Type=Integer,Description="Most likely alternate counts">
+##INFO=<ID=MLEAF,Number=A,Type=Float,Description="Most likely alternate frequencies">
+##INFO=<ID=MQ,Number=1,Type=Float,Description="RMS mapping quality">
+##INFO=<ID=MQRankSum,Number=1,Type=Float,Description="Rank sum z of mapping qualities">
+##INFO=<ID=QD,Number=1,Type=Float,Description="Quality by depth">
+##INFO=<ID=RAW_MQandDP,Number=2,Type=Integer,Description="Sum of squared mapping qualities and depth">
+##INFO=<ID=ReadPosRankSum,Number=1,Type=Float,Description="Rank sum z of distances to read ends">
+##INFO=<ID=SOR,Number=1,Type=Float,Description="Symmetric odds ratio of strands">"""
 
 
 def header_lines(contigs: DataFrame, sample: str, bands: tuple[int, ...] = ()) -> list[str]:
