@@ -19,8 +19,9 @@ the links is emitted, never all pairs.
 
 Defined results: a null or wordless text has fingerprint 0 and is linked like any other; a text
 of fewer words than a shingle is hashed as a whole; documents with a null id take part in nothing
-but keep their row with a null component; repeated rows all get the same answer; no rows give no
-rows; other columns are never looked at.
+but keep their row with a null component; repeated rows get the same answer; different texts under one
+id are looked at one by one, and ``one_per_group``, which knows documents by their id, keeps one row of an id;
+no rows give no rows; other columns are never looked at.
 """
 
 from __future__ import annotations
