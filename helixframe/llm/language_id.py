@@ -43,7 +43,7 @@ NONE = "und"
 CERTAIN_AT = 60
 #: How much more than the limit a short text's cross-entropy may be: this over the root of its letters.
 SHORT = 2.0
-MARGIN = 0.6
+MARGIN = 0.9
 HOLD = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CONTEXT = np.uint64(0xC2B2AE3D27D4EB4F)
