@@ -10,8 +10,8 @@ import numpy as np
 
 #: Gap open and gap continuation penalties, the least quality kept and what replaces lower ones.
 GAP_OPEN, GAP_CONTINUATION, QUALITY_FLOOR, LOW_QUALITY = 45, 10, 18, 6
-#: Greatest gap penalty for a repeat of so many units, conservative, aggressive and hostile.
-MOST_REPEATS, MOST_UNIT = 20, 8
+#: Most repeats and longest unit looked at, the penalties from and to which repeats lower it, and each model's rate.
+MOST_REPEATS, MOST_UNIT, REPEAT_PENALTY, LEAST_PENALTY = 20, 8, 40, 10
 PCR_RATES = {"none": None, "hostile": 1.0, "aggressive": 2.0, "conservative": 3.0}
 
 
@@ -46,7 +46,7 @@ def gap_penalties(bases: str, model: str = "conservative") -> np.ndarray:
         return out
     for i in range(len(bases)):
         n = repeat_length(bases, i)
-        out[i] = min(GAP_OPEN, max(10, round(GAP_OPEN - 5.0 - np.exp(n / (rate * np.pi)) + 1.0) if n > 1 else GAP_OPEN))
+        out[i] = min(GAP_OPEN, max(LEAST_PENALTY, round(REPEAT_PENALTY - np.exp(n / (rate * np.pi)) + 1.0)))
     return out
 
 

@@ -131,7 +131,8 @@ def test_pair_hmm():
 
 def test_gap_penalties():
     assert pairhmm.gap_penalties("ACGTACTG", "none").tolist() == [45] * 8
-    assert pairhmm.gap_penalties("ACAAAAAAAAAAAAAAGT").min() < 45
+    assert [pairhmm.gap_penalties("C" + "A" * n + "G", "hostile")[1] for n in range(1, 12)] == [40, 39, 38, 37, 36, 34, 32, 28, 23, 17, 10]
+    assert pairhmm.gap_penalties("ACGTACTG").tolist() == [40] * 8
     assert pairhmm.repeat_length("ACACACACG", 3) == 4
 
 
