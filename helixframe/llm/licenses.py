@@ -3,7 +3,7 @@
 A text's words are its runs of ASCII letters, digits and non-ASCII characters; matching ignores
 the case of A-Z.  The base is the places of four fixed phrases.  The method adds signature rules:
 hand-written patterns over the text's words joined by single spaces, each behind a keyword that
-must be in the text before its pattern is tried, each with a priority (lower is stronger).  Where
+every match of its pattern holds and that is looked for first, each with a priority (lower is stronger).  Where
 detections overlap, one whose interval lies inside another's of the same or a stronger priority is
 suppressed; of equal intervals the stronger rule's stays.  Base labels always stay.
 
@@ -26,8 +26,6 @@ from ._common import documents
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: A text without any of these holds no phrase and no signature.
-GATE = r"(?i)licen[sc]|copyright|copyleft|cc[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*(?:by|0|zero)|creative|spdx|public domain|unlicen|all rights|warrant|redistribut|proprietary|gpl"
 
 
 @dataclass(frozen=True)
@@ -66,8 +64,8 @@ WRITTEN = [
     ("apache-1.0", "apache", r"apache (?:software )?license v(?:ersion)? ?1 0", 10, 0.97),
     ("apache", "apache", r"apache software license", 30, 0.9),
     ("apache-2.0", "you may not use this file", r"you may not use this file except in compliance with the license", 30, 0.9),
-    ("mit", "mit", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit(?: license| licence)?", 10, 0.98),
-    ("mit", "mit", r"the mit licen[sc]e(?: mit)?", 20, 0.97),
+    ("mit", " mit ", r"(?:released|licensed|distributed|available) under (?:the )?(?:terms of the )?mit(?: license| licence)?", 10, 0.98),
+    ("mit", " mit ", r"the mit licen[sc]e(?: mit)?", 20, 0.97),
     ("mit", "permission is hereby granted", r"permission is hereby granted free of charge to any person obtaining a copy of this software", 10, 0.97),
     ("mit", "without restriction", r"deal in the software without restriction", 40, 0.9),
     ("mit-0", "mit no attribution", r"mit no attribution", 8, 0.97),
@@ -140,7 +138,7 @@ WRITTEN = [
     ("cc0-1.0", "creative", r"creative commons zero(?: v?1 0)?(?: universal)?", 10, 0.97),
     ("proprietary", "all rights reserved", r"all rights reserved", 70, 0.6),
     ("proprietary", "proprietary", r"proprietary and confidential", 60, 0.85),
-    ("proprietary", "confidential", r"unauthorized copying of this file via any medium is strictly prohibited", 40, 0.95),
+    ("proprietary", "unauthorized copying", r"unauthorized copying of this file via any medium is strictly prohibited", 40, 0.95),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9]{2}", 80, 0.5),
     ("no-warranty", "as is", r"the software is provided as is without warranty of any kind", 80, 0.5),
     ("no-warranty", "warranty", r"without even the implied warranty of merchantability", 80, 0.5),
@@ -165,12 +163,12 @@ def rules() -> list[Rule]:
     found = [Rule(*r) for r in WRITTEN]
     for terms, spelt in CC_TERMS.items():
         for v in CC_VERSIONS:
-            found.append(Rule(_named(f"cc {terms} {v}"), "cc", rf"cc {terms} {v}(?: international| unported)?", 10, 0.98))
-            found.append(Rule(_named(f"cc {terms} {v}"), "creative", rf"creative commons {spelt} {v}(?: international| unported)?(?: licen[sc]e)?", 10, 0.98))
+            found.append(Rule(_named(f"cc {terms} {v}"), " cc by", rf"cc {terms} {v}(?: international| unported)?", 10, 0.98))
+            found.append(Rule(_named(f"cc {terms} {v}"), "creative commons", rf"creative commons {spelt} {v}(?: international| unported)?(?: licen[sc]e)?", 10, 0.98))
         # a version whose part after the point is left out, or none
-        found.append(Rule(_named(f"cc {terms} 4.0").replace("-4.0", "-4"), "cc", rf"cc {terms} 4", 30, 0.93))
-        found.append(Rule(_named(f"cc {terms}"), "cc", rf"cc {terms}", 40, 0.9))
-        found.append(Rule(_named(f"cc {terms}"), "creative", rf"creative commons {spelt}(?: licen[sc]e)?", 40, 0.9))
+        found.append(Rule(_named(f"cc {terms} 4.0").replace("-4.0", "-4"), " cc by", rf"cc {terms} 4", 30, 0.93))
+        found.append(Rule(_named(f"cc {terms}"), " cc by", rf"cc {terms}", 40, 0.9))
+        found.append(Rule(_named(f"cc {terms}"), "creative commons", rf"creative commons {spelt}(?: licen[sc]e)?", 40, 0.9))
     found += [Rule(_named(tag), "spdx", rf"spdx licen[sc]e identifier {tag}", 5, 0.99) for tag in TAGS]
     return found
 
@@ -216,17 +214,18 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text = F.coalesce(F.col(text_col), F.lit(""))
     out = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"))
     norm = F.concat(F.lit(" "), F.trim(F.regexp_replace("t", GAP, " ")), F.lit(" "))
-    out = out.withColumn("norm", F.when(F.col("t").rlike(GATE), norm))
+    out = out.withColumn("norm", norm)
     phrase = "(?i)(?<= )(?:" + "|".join(PHRASES) + ")(?= )"
-    none = F.array().cast("array<string>")
-    out = out.withColumn("m", F.when(F.col("norm").isNotNull(), F.regexp_extract_all("norm", F.lit(phrase), F.lit(0))).otherwise(none))
+    out = out.withColumn("m", F.regexp_extract_all("norm", F.lit(phrase), F.lit(0)))
     out = out.withColumn("pieces", F.when(F.size("m") > 0, F.split("norm", phrase, -1)))
     label_of = F.map_from_arrays(F.array(*[F.lit(k) for k in PHRASES]), F.array(*[F.lit(v) for v in PHRASES.values()]))
-    table = F.array(*[F.struct(F.lit(r.keyword).alias("kw"), F.lit(r.pattern).alias("rx"), F.lit(r.priority).alias("p"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("conf")) for r in rules()])
+    behind: dict[str, list[Column]] = {}
+    for r in rules():
+        behind.setdefault(r.keyword, []).append(F.struct(F.lit(r.pattern).alias("rx"), F.lit(r.priority).alias("p"), F.lit(r.label).alias("label"), F.lit(r.confidence).alias("conf")))
+    table = F.array(*[F.struct(F.lit(kw).alias("kw"), F.array(*own).alias("own")) for kw, own in behind.items()])
     out = out.withColumn("low", F.lower("norm"))
-    tried = F.filter(table, lambda r: F.col("low").contains(r["kw"]))
-    found = F.flatten(F.transform(tried, lambda r: _detections(F.col("norm"), r)))
-    out = out.withColumn("found", F.when(F.col("norm").isNotNull(), found).otherwise(F.array().cast(f"array<{SPAN}>")))
+    tried = F.flatten(F.transform(F.filter(table, lambda g: F.col("low").contains(g["kw"])), lambda g: g["own"]))
+    out = out.withColumn("found", F.flatten(F.transform(tried, lambda r: _detections(F.col("norm"), r))))
     out = out.withColumn("kept", F.when(F.size("found") > 0, _kept(F.col("found"))).otherwise(F.col("found")))
     base = F.array_sort(F.array_distinct(F.transform("m", lambda m: F.element_at(label_of, F.lower(m)))))
     out = out.withColumn("base", base)

@@ -331,6 +331,48 @@ def test_licenses(spark, none):
     assert len(patterns) > 150
 
 
+def example(pattern):
+    """The shortest text of a signature: first alternatives, least repeats."""
+    from re import _parser
+
+    def of(parts):
+        out = ""
+        for op, arg in parts:
+            if op is _parser.LITERAL:
+                out += chr(arg)
+            elif op is _parser.IN:
+                out += chr(arg[0][1] if arg[0][0] is _parser.LITERAL else arg[0][1][0])
+            elif op is _parser.MAX_REPEAT:
+                out += of(arg[2]) * arg[0]
+            elif op is _parser.SUBPATTERN:
+                out += of(arg[3])
+            else:
+                assert op is _parser.BRANCH
+                out += of(arg[1][0])
+        return out
+
+    return of(_parser.parse(pattern))
+
+
+def test_each_signature_alone(spark):
+    every = licenses.rules()
+    spelt = {"Released under the MIT": "mit", "BSD 3-Clause": "bsd-3-clause", "BSD-2-Clause": "bsd-2-clause", "Apache 2.0": "apache-2.0", "WTFPL": "wtfpl", "CDDL-1.0": "cddl-1.0", "0BSD": "0bsd", "MIT No Attribution": "mit-0", "CeCILL 2.1": "cecill-2.1", "Unauthorized copying of this file, via any medium, is strictly prohibited": "proprietary"}
+    alone = [(example(r.pattern), r.label) for r in every] + list(spelt.items())
+    df = spark.createDataFrame([(i, f"Notes. {text.upper()}\n(end)") for i, (text, _) in enumerate(alone)], "doc_id long, text string")
+    got = {x["doc_id"]: x for x in licenses.scan_licenses(df).collect()}
+    for i, (text, label) in enumerate(alone):
+        # a stronger signature may hold the same words
+        padded = f" notes {re.sub('[^a-z0-9]+', ' ', text.lower())} end "
+        place = [(d["s"], d["e"]) for d in got[i]["detections"]]
+        names = got[i]["labels"].split(",")
+        held = {r.label for r in every if (m := re.search(f"(?<= )(?:{r.pattern})(?= )", padded)) and m.span() in place}
+        assert place and (label in names or held & set(names)), text
+        assert got[i]["score"] > 0, text
+    exact = {text: got[len(every) + i]["labels"].split(",") for i, text in enumerate(spelt)}
+    assert all(label in exact[text] for text, label in spelt.items()), exact
+    assert all(r.keyword in f" {example(r.pattern)} " for r in every)
+
+
 # -- token counts -------------------------------------------------------------------------------------------------
 
 
