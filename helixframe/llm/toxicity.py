@@ -63,7 +63,8 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon):
         self.children: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[str, bool] | None] = [None]
+        self.ends: list[str | None] = [None]  # the whole word that ends at the node
+        self.begun: list[str | None] = [None]  # the stem that ends there; a node can have both
         self.fuzzy: list[bool] = [False]  # whether a term that may be misspelled lies at or below the node
         for term in sorted(lexicon.weights):
             stem, whole = term.rstrip("*"), not term.endswith("*")
@@ -71,11 +72,10 @@ class Matcher:
             for c in stem:
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
-                    self.children.append({}), self.ends.append(None), self.fuzzy.append(False)
+                    self.children.append({}), self.ends.append(None), self.begun.append(None), self.fuzzy.append(False)
                 node = self.children[node][c]
                 path.append(node)
-            if self.ends[node] is None or not whole:
-                self.ends[node] = (term, whole)
+            (self.ends if whole else self.begun)[node] = term
             if len(stem) >= FUZZY_FROM and whole:
                 for x in path:
                     self.fuzzy[x] = True
@@ -87,7 +87,7 @@ class Matcher:
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.accepts: list[tuple[str, int] | None] = []
-        self.done: list[bool] = []
+        self.stems: list[str | None] = []
         self.start = self._state(self._closed({(0, 0)}))
 
     def _closed(self, pairs: set) -> frozenset:
@@ -106,15 +106,14 @@ class Matcher:
     def _state(self, pairs: frozenset) -> int:
         if pairs in self.ids:
             return self.ids[pairs]
-        hits = [(edits, self.ends[node]) for node, edits in pairs if self.ends[node] is not None]
         # a stem is matched to the letter, and any letters may follow
-        stem = min(((0, t) for e, (t, whole) in hits if not whole and e == 0), default=None, key=lambda x: -len(x[1]))
-        word = min(((e, t) for e, (t, whole) in hits if (whole and (e == 0 or len(t) >= FUZZY_FROM))), default=None)
+        stem = next((self.begun[node] for node, edits in pairs if edits == 0 and self.begun[node] is not None), None)
+        words = ((edits, self.ends[node]) for node, edits in pairs if self.ends[node] is not None)
+        word = min(((e, t) for e, t in words if e == 0 or len(t) >= FUZZY_FROM), default=None)
         self.ids[pairs] = len(self.sets)
         self.sets.append(pairs), self.steps.append({})
-        best = min((x for x in (stem, word) if x), default=None, key=lambda x: x[0])
-        self.accepts.append((best[1], best[0]) if best else None)
-        self.done.append(stem is not None)
+        self.accepts.append((word[1], word[0]) if word else None)
+        self.stems.append(stem)
         return self.ids[pairs]
 
     def _step(self, state: int, c: str) -> int:
@@ -132,15 +131,16 @@ class Matcher:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The best term for a lower-case word, with its edits; None if there is none."""
-        state, found = self.start, None
+        state, stem = self.start, None
         for c in word:
-            if self.done[state]:
-                found = self.accepts[state]
+            stem = self.stems[state] or stem
             to = self.steps[state].get(c)
             state = self._step(state, c) if to is None else to
             if state < 0:
-                return found
-        return self.accepts[state] or found
+                return (stem, 0) if stem else None
+        found, stem = self.accepts[state], self.stems[state] or stem
+        # a whole word to the letter, then the longest stem, then a misspelled word
+        return (stem, 0) if stem and (found is None or found[1]) else found
 
     def of(self, token: str) -> tuple[str, int] | None:
         """The answer for a token as it stands in a text, from the cache where it is known."""

@@ -234,6 +234,18 @@ def test_automaton_is_exactly_one_edit():
         assert (m.match(w) is not None) == bool(whole or stem), w
 
 
+def test_word_beside_its_stem():
+    m = toxicity.Matcher(toxicity.Lexicon({"idiot": 3.0, "idiot*": 2.0, "idio*": 1.0, "loser": 2.0, "loser*": 2.0, "scum": 1.0, "scum*": 1.0}))
+    assert m.match("idiot") == ("idiot", 0) and m.match("loser") == ("loser", 0)
+    for w in ("idiiot", "idoot", "xidiot", "idot"):
+        assert m.match(w) == ("idiot", 1), w
+    assert m.match("lozer") == ("loser", 1) and m.match("loer") == ("loser", 1)
+    # longer words are their longest stem's, to the letter
+    assert m.match("idiots") == m.match("idiotic") == ("idiot*", 0) and m.match("idiom") == ("idio*", 0)
+    assert m.match("losers") == ("loser*", 0) and m.match("scums") == ("scum*", 0)
+    assert m.match("lozers") is None and m.match("scm") is None and m.match("xidiots") is None
+
+
 def test_toxicity(spark, none):
     r = random.Random(5)
     table, labels = [], []
