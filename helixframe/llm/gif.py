@@ -242,7 +242,21 @@ def read_gif(data: bytes, compose: bool = True) -> Iterator[Frame]:
 def colour_histogram(rgb: np.ndarray, bins: int = HISTOGRAM) -> list[int]:
     """Counts of pixels by equal ranges of red, then of green, then of blue."""
     level = rgb.reshape(-1, 3).astype(np.int64) * bins // 256
-    return np.concatenate([np.bincount(level[:, c], minlength=bins) for c in range(3)]).tolist()
+    return np.bincount((level + bins * np.arange(3)).ravel(), minlength=3 * bins).tolist()
+
+
+def timed(number: int, frame: Frame) -> dict:
+    """What is kept of a composed frame."""
+    return {"number": number, "delay": frame.delay, "width": frame.rgb.shape[1], "height": frame.rgb.shape[0], "histogram": colour_histogram(frame.rgb)}
+
+
+def feature_of(frames: list[dict]) -> str:
+    """The timed frames as text: 'delay:red|green|blue' of each, in order, joined by ';'."""
+    parts = []
+    for f in frames:
+        h = [str(n) for n in f["histogram"]]
+        parts.append(f"{f['delay']}:" + "|".join(",".join(h[k : k + HISTOGRAM]) for k in range(0, 3 * HISTOGRAM, HISTOGRAM)))
+    return f"frames={len(frames)};" + ";".join(parts)
 
 
 def frames_of(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -254,7 +268,7 @@ def frames_of(media: DataFrame, id_col: str = "doc_id", media_col: str = "media"
             found: list = []
             for data in b["media"]:
                 try:
-                    found.append(None if data is None else [{"number": n, "delay": f.delay, "width": f.rgb.shape[1], "height": f.rgb.shape[0], "histogram": colour_histogram(f.rgb)} for n, f in enumerate(read_gif(bytes(data)))])
+                    found.append(None if data is None else [timed(n, f) for n, f in enumerate(read_gif(bytes(data)))])
                 except (ValueError, struct.error, IndexError):
                     found.append(None)
             yield pd.DataFrame({"id": b["id"].array, "frames": found})
@@ -287,18 +301,18 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def read_back(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored bytes hold: payload digests and the colour histogram of all frames."""
+    """What the stored bytes hold: payload digests, and the delay and colour histogram of each composed frame."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc, n, data in zip(b["id"].array, b["n_bytes"], b["media"], strict=True):
                 data = bytes(data)
-                frames = list(read_gif(data, compose=False))
-                payload = b"".join(f.indices.tobytes() for f in frames)
-                # Over the grey palette the three channels' histograms agree: one is kept.
-                shades = np.bincount(np.frombuffer(payload, np.uint8) >> 5, minlength=HISTOGRAM)
-                feature = f"frames={len(frames)};ticks={sum(f.delay for f in frames)};grey=" + ",".join(map(str, shades.tolist()))
+                frames, parts = [], []
+                for number, f in enumerate(read_gif(data)):
+                    frames.append(timed(number, f))
+                    parts.append(f.indices.tobytes())
+                payload, feature = b"".join(parts), feature_of(frames)
                 rows.append((None if pd.isna(doc) else int(doc), n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature))
             out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             yield out.astype({"doc_id": "Int64"})

@@ -417,6 +417,25 @@ def test_gif_round_trip(docs, none):
     assert all(sum(f["histogram"]) == 3 * f["width"] * f["height"] for x in frames for f in x["frames"])
 
 
+def test_gif_feature_is_of_composed_frames(spark, docs):
+    media = gif.stored(docs).cache()
+    frames = {}
+    for x in gif.frames_of(media).collect():
+        frames.setdefault(x["doc_id"], []).append("frames=" + str(len(x["frames"])) + ";" + ";".join(f"{f['delay']}:" + "|".join(",".join(map(str, f["histogram"][k : k + 8])) for k in (0, 8, 16)) for f in x["frames"]))
+    got = gif.read_back(media).collect()
+    assert all(x["feature"] in frames[x["doc_id"]] for x in got)
+    long = next(x["feature"] for x in got if x["doc_id"] == 63)
+    assert long.startswith("frames=5;") and long.count(":") == 5 and long.count("|") == 10
+    # other colours than grey: palette, transparency and the frame before it count
+    data = bytearray(gif.write_gif(bytes(64 * 512) + b"\1" * 64))
+    data[13:19] = bytes([255, 0, 0, 0, 0, 255])
+    at = data.rindex(b"\x21\xf9\x04")
+    data[at + 3], data[at + 4], data[at + 6] = 1 << 2 | 1, 25, 1
+    df = spark.createDataFrame([(1, 0, bytes(data))], "doc_id long, n_bytes long, media binary")
+    red = "0,0,0,0,0,0,0,32768|32768,0,0,0,0,0,0,0|32768,0,0,0,0,0,0,0"
+    assert gif.read_back(df).first()["feature"] == f"frames=2;10:{red};25:{red}"
+
+
 @pytest.mark.parametrize("data", [b"", b"\0", b"ab" * 5000, bytes(range(256)) * 80, random.Random(1).randbytes(40000)])
 def test_lzw(data):
     assert gif.lzw_decode(gif.lzw_encode(data), 8, len(data)) == data
