@@ -287,13 +287,27 @@ def call(reads: DataFrame, reference: DataFrame, intervals: DataFrame | None = N
     return annotated(calls, dbsnp) if dbsnp is not None else calls
 
 
-def annotated(calls: DataFrame, dbsnp: DataFrame) -> DataFrame:
-    """Calls with the sorted ids of passing known records that share position, reference and an alternate."""
-    from ..operators.relational import annotated_ids
+def _trimmed(df: DataFrame, start: str, ref: str, alt: str) -> DataFrame:
+    """With (k_start, k_ref, k_alt): the pair without common last, then common first bases; one base stays of each."""
+    least = lambda a, b: f"greatest(0, least(length({a}), length({b})) - 1)"
+    df = df.withColumn("__n", F.expr(f"array_max(filter(sequence(0, {least(ref, alt)}), k -> right({ref}, k) = right({alt}, k)))"))
+    df = df.withColumn("k_ref", F.expr(f"left({ref}, length({ref}) - __n)")).withColumn("k_alt", F.expr(f"left({alt}, length({alt}) - __n)"))
+    df = df.withColumn("__n", F.expr(f"array_max(filter(sequence(0, {least('k_ref', 'k_alt')}), k -> left(k_ref, k) = left(k_alt, k)))"))
+    return df.withColumn("k_start", F.expr(f"{start} + __n")).withColumn("k_ref", F.expr("substring(k_ref, __n + 1)")).withColumn("k_alt", F.expr("substring(k_alt, __n + 1)")).drop("__n")
+
 
-    known = dbsnp.filter(F.col("filter").isin("PASS", ".")).select("tid", "start", F.col("ref"), F.explode("alts").alias("alt"), "id")
-    keyed = calls.withColumn("ref", F.col("alleles")[0]).withColumn("alt", F.col("alleles")[1])
-    return annotated_ids(keyed, known, ["tid", "start", "ref", "alt"], "id").drop("ref", "alt")
+def annotated(calls: DataFrame, dbsnp: DataFrame) -> DataFrame:
+    """Calls with the sorted ids of passing known records that share an alternate, whatever bases pad the two."""
+    plain = lambda x: (x != "*") & ~x.startswith("<")
+    keys = ["tid", "k_start", "k_ref", "k_alt"]
+    known = dbsnp.filter(F.col("filter").isin("PASS", ".")).select("tid", "start", "ref", F.explode("alts").alias("alt"), "id").filter(plain(F.col("alt")))
+    known = _trimmed(known, "start", "ref", "alt").groupBy(*keys).agg(F.collect_set("id").alias("__ids"))
+    # calls are made once: their rows are numbered, not joined with themselves
+    numbered = calls.select(F.monotonically_increasing_id().alias("row"), "tid", F.struct(*calls.columns).alias("call"))
+    each = numbered.select("*", F.col("call.start").alias("start"), F.col("call.alleles")[0].alias("ref"), F.explode_outer(F.filter(F.slice("call.alleles", 2, F.greatest(F.lit(0), F.size("call.alleles") - 1)), plain)).alias("alt"))
+    met = _trimmed(each, "start", "ref", "alt").join(known, keys, "left")
+    found = met.groupBy("row").agg(F.first("call").alias("call"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("__ids")))).alias("__ids"))
+    return found.select("call.*", F.when(F.size("__ids") > 0, F.array_join("__ids", ";")).alias("ids"))
 
 
 def vcf_lines(calls: DataFrame, contigs: DataFrame, gvcf: bool = False) -> DataFrame:

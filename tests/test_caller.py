@@ -35,3 +35,14 @@ def test_lines_and_known_ids(spark, tmp_path):
     body = [x for x in lines if not x.startswith("#")]
     assert len(body) == calls.count() and all(len(x.split("\t")) == 10 for x in body)
     assert any("<NON_REF>" in x for x in body)
+
+
+def test_ids_of_all_alternates(spark):
+    rows = [(0, 100, ["CAA", "C", "CA"]), (0, 200, ["A", "G", "T"]), (0, 300, ["ACC", "GCC", "<NON_REF>"]), (0, 400, ["A", "*", "C"]), (0, 500, ["A", "<NON_REF>"]), (0, 600, ["GTA", "GTC"]), (0, 700, ["A", "C"]), (0, 200, ["A", "G", "T"])]
+    calls = spark.createDataFrame(rows, "tid int, start int, alleles array<string>")
+    known = [
+        (0, 100, "rs1", "CA", ["C"], "PASS"), (0, 100, "rs2", "CAA", ["C"], "."), (0, 200, "rs4", "A", ["T"], "PASS"), (0, 200, "rs3", "A", ["G", "C"], "PASS"), (0, 200, "rs4", "AC", ["TC"], "PASS"),
+        (0, 300, "rs5", "A", ["G"], "PASS"), (0, 400, "rs6", "A", ["*", "T"], "PASS"), (0, 500, "rs7", "A", ["<NON_REF>"], "PASS"), (0, 602, "rs8", "A", ["C"], "PASS"), (0, 700, "rs9", "A", ["C"], "q10"),
+    ]
+    got = caller.annotated(calls, spark.createDataFrame(known, "tid int, start int, id string, ref string, alts array<string>, filter string")).collect()
+    assert sorted((x["start"], x["ids"] or "") for x in got) == [(100, "rs1;rs2"), (200, "rs3;rs4"), (200, "rs3;rs4"), (300, "rs5"), (400, ""), (500, ""), (600, "rs8"), (700, "")]
