@@ -7,7 +7,8 @@ the ranges' totals, so no task sees more than one range of lengths or the list o
 For a context limit L the histogram's row with the greatest length not above L answers exactly:
 documents of at most L tokens, tokens of all documents cut to L, documents cut.  See ``at_limits``.
 
-Defined results: a null text is not counted as a document; an empty text has length 0; repeated rows
+Defined results: a null text is not counted in any length; ``null_texts``, equal in all rows, is the number of them,
+so that it and all documents make up the table's rows, and where there are any a row of length 0 exists; an empty text has length 0; repeated rows
 count each time; very long texts are encoded whole; no rows give no rows; other columns are never
 looked at.
 """
@@ -28,27 +29,30 @@ RANGE = 256
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """(n_tokens, n_docs): counts of encoded lengths, summed in each batch before they are shuffled."""
+    """(n_tokens, n_docs, null_texts): counts of encoded lengths, and of null texts at length 0, summed in each batch before they are shuffled."""
     short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = word_cache(tokenizer)
         for b in batches:
-            sizes = np.fromiter((len(e) // 4 for e in cache.encode(b["text"].tolist())), np.int64, len(b))
+            texts = b["text"].dropna().tolist()
+            sizes = np.fromiter((len(e) // 4 for e in cache.encode(texts)), np.int64, len(texts))
             length, n = np.unique(sizes, return_counts=True)
-            yield pd.DataFrame({"n_tokens": length, "n": n})
+            yield pd.DataFrame({"n_tokens": length, "n": n, "nulls": 0})
+            if len(texts) < len(b):
+                yield pd.DataFrame({"n_tokens": [0], "n": [0], "nulls": [len(b) - len(texts)]})
 
-    narrow = docs.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    return narrow.mapInPandas(run, "n_tokens long, n long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"))
+    narrow = docs.select(F.col(text_col).cast("string").alias("text"))
+    return narrow.mapInPandas(run, "n_tokens long, n long, nulls long").groupBy("n_tokens").agg(F.sum("n").alias("n_docs"), F.sum("nulls").alias("null_texts"))
 
 
 def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") -> DataFrame:
-    """One row per distinct length L: documents of that length, of at most and over L, share of at most L, all tokens, tokens when all documents are cut to L."""
+    """One row per distinct length L: documents of that length, of at most and over L, share of at most L, all tokens, tokens when all documents are cut to L, null texts."""
     counts = stage(encoded_lengths(docs, tokenizer, text_col).withColumn("part", F.floor(F.col("n_tokens") / RANGE)).withColumn("mass", F.col("n_tokens") * F.col("n_docs")), "lengths")
-    parts = counts.groupBy("part").agg(F.sum("n_docs").alias("part_docs"), F.sum("mass").alias("part_mass"))
+    parts = counts.groupBy("part").agg(F.sum("n_docs").alias("part_docs"), F.sum("mass").alias("part_mass"), F.sum("null_texts").alias("part_nulls"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
     every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shifts = stage(parts.select(F.col("part").alias("of"), F.coalesce(F.sum("part_docs").over(earlier), F.lit(0)).alias("docs_before"), F.coalesce(F.sum("part_mass").over(earlier), F.lit(0)).alias("mass_before"), F.sum("part_docs").over(every).alias("all_docs"), F.sum("part_mass").over(every).alias("all_tokens")), "shifts")
+    shifts = stage(parts.select(F.col("part").alias("of"), F.coalesce(F.sum("part_docs").over(earlier), F.lit(0)).alias("docs_before"), F.coalesce(F.sum("part_mass").over(earlier), F.lit(0)).alias("mass_before"), F.sum("part_docs").over(every).alias("all_docs"), F.sum("part_mass").over(every).alias("all_tokens"), F.sum("part_nulls").over(every).alias("all_nulls")), "shifts")
     upto = Window.partitionBy("part").orderBy("n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     run = counts.withColumns({"docs_here": F.sum("n_docs").over(upto), "mass_here": F.sum("mass").over(upto)}).join(shifts, F.col("part") == F.col("of"))
     at_most = F.col("docs_before") + F.col("docs_here")
@@ -58,9 +62,10 @@ def length_histogram(docs: DataFrame, tokenizer: str, text_col: str = "text") ->
         "n_docs",
         at_most.alias("docs_at_most"),
         over.alias("docs_over"),
-        (at_most / F.col("all_docs")).alias("share_at_most"),
+        F.try_divide(at_most, F.col("all_docs")).alias("share_at_most"),
         "all_tokens",
         (F.col("mass_before") + F.col("mass_here") + over * F.col("n_tokens")).alias("tokens_cut_to"),
+        F.col("all_nulls").alias("null_texts"),
     )
 
 

@@ -404,6 +404,14 @@ def test_token_counts(docs, none):
     assert token_counts.length_histogram(none, tokenizer()).count() == 0
 
 
+def test_null_texts_complete_the_count(spark, docs):
+    for x in token_counts.length_histogram(docs, tokenizer()).collect():
+        assert x["null_texts"] == 1 and x["docs_at_most"] + x["docs_over"] + x["null_texts"] == len(rows())
+    nulls = spark.createDataFrame([(None,), (None,)], "text string")
+    x = token_counts.length_histogram(nulls, tokenizer()).first()
+    assert (x["n_tokens"], x["n_docs"], x["null_texts"], x["share_at_most"]) == (0, 0, 2, None)
+
+
 # -- GIF ------------------------------------------------------------------------------------------------------------
 
 
