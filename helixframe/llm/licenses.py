@@ -432,13 +432,14 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     label_of = F.map_from_arrays(F.array(*[F.lit(k) for k in PHRASES]), F.array(*[F.lit(v) for v in PHRASES.values()]))
 
     # One SQL text for all signatures: it is parsed at once, where building it from columns takes seconds.
+    # It stands inside a lambda, so it is interpreted: compiled, its hundreds of branches take a gigabyte of the compiler's memory.
     def tried(r: Rule, gate: list[list[str]]) -> str:
         # Characters that regex classes tell apart only by ASCII case are matched without it.
         pattern = f"'(?i)(?<= )(?:{r.pattern})(?= )'"
-        may = " AND ".join("(" + " OR ".join(f"array_contains(held, '{w}')" for w in any_of) + ")" for any_of in gate)
-        return f"IF({may}, named_struct('m', regexp_extract_all(norm, {pattern}, 0), 'x', split(norm, {pattern}, -1), 'p', {r.priority}, 'label', '{r.label}', 'conf', {r.confidence}D), NULL)"
+        may = " AND ".join("(" + " OR ".join(f"array_contains(t.held, '{w}')" for w in any_of) + ")" for any_of in gate)
+        return f"IF({may}, named_struct('m', regexp_extract_all(t.norm, {pattern}, 0), 'x', split(t.norm, {pattern}, -1), 'p', {r.priority}, 'label', '{r.label}', 'conf', {r.confidence}D), NULL)"
 
-    matched = F.expr("filter(array(" + ", ".join(tried(r, gate) for r, gate in zip(every, gates, strict=True)) + "), h -> size(h.m) > 0)")
+    matched = F.expr("transform(array(struct(held, norm)), t -> filter(array(" + ", ".join(tried(r, gate) for r, gate in zip(every, gates, strict=True)) + "), h -> size(h.m) > 0))[0]")
     out = out.withColumn("matched", F.when(F.size("held") > 0, matched))
     nothing = F.array().cast(f"array<{SPAN}>")
     out = out.withColumn("found", F.when(F.size("matched") > 0, _detections(F.col("matched"))).otherwise(nothing))
