@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch.  Texts can be very long, so the library keeps batches short.
 ARROW_ROWS = 1000
+ARROW_BYTES = 16 << 20
+
+
+#: Keys with more than this share of all rows are joined by broadcast: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 0.001
+_local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +30,23 @@ def shared_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+    return _local[app]
+
+
+def keyed(rows: DataFrame, answers: DataFrame, row_key: str, answer_key: str, weight: str) -> DataFrame:
+    """``rows`` joined with the one answer of their key; ``weight`` is an answer's number of rows.
+
+    A key that holds a great share of all rows would fill one task of a shuffle.  Such keys are few
+    (at most 1 / HOT_SHARE), so their answers are broadcast and their rows stay where they are.
+    """
+    total = answers.agg(F.sum(weight).alias("n")).first()["n"] or 0
+    hot = answers.filter(F.col(weight) > F.lit(HOT_SHARE * total))
+    met = rows.join(F.broadcast(hot), F.col(row_key) == F.col(answer_key), "left")
+    cold = met.filter(F.col(answer_key).isNull()).select(*rows.columns)
+    return met.filter(F.col(answer_key).isNotNull()).unionByName(cold.join(answers.filter(F.col(weight) <= F.lit(HOT_SHARE * total)), F.col(row_key) == F.col(answer_key)))
 
 
 def stage(df: DataFrame, what: str = "stage") -> DataFrame:
@@ -43,10 +65,15 @@ def stage(df: DataFrame, what: str = "stage") -> DataFrame:
 
 
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a Python worker never holds thousands of long texts."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound an Arrow batch in rows and bytes, so that a Python worker never holds thousands of long texts.
+
+    Spark reads these bounds from the session when a query runs; they are only ever lowered.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        number, unit = re.match(r"(-?\d+)\s*([kmg]?)", spark.conf.get(key).lower()).groups()
+        now = int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit]
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,10 +8,13 @@ at most r away: (d(v, p)^2 - d(v, home)^2) / (2 d(p, home)) <= r.  Cells are the
 on their own, home vectors against all vectors of the cell; a home vector finds all its links
 there, so links are counted in place and no pair leaves the cell, only a spanning set of links.
 
-Pivots: ``CELL`` vectors of a label for each pivot, at most ``MOST_PIVOTS``, from one list of
-``MOST_PIVOTS`` vectors with the least hash of their id, which is all that comes to the driver.  Any list of
-pivots gives the same result.  Cells with more than ``CELL_HOMES`` home vectors are split: homes are dealt over
-salts and each salt gets all the cell's vectors.  Homes are held in memory, the others stream by.
+Cells are made in levels.  A label's vectors are one cell at first; a cell with more than ``CELL_HOMES`` home
+vectors is cut by pivots drawn from its own home vectors by a hash (about one for ``CELL`` of them, ``FAN`` at
+most), and the cells that come out are cut again, up to ``LEVELS`` times, so that pivots grow with the data.  Any
+pivots give the same result.  Pivots never come to the driver: they lead the rows of their cell to the tasks that
+place them, of which a large cell has many.  A cell that is still crowded then, or that holds over ``MOST_SPREAD``
+replicas for each home vector, is split by salts: homes are dealt over them and each gets all the cell's vectors.
+Homes are held in memory, the others stream by.
 
 On vectors without clusters in many dimensions distances hardly differ and most vectors reach most
 cells: the join is then quadratic in a label's distinct vectors, as any exact one is known to be.
@@ -19,9 +22,10 @@ cells: the join is then quadratic in a label's distinct vectors, as any exact on
 Equal vectors of a label are merged before the join and counted by their multiplicity.
 
 Defined results: a vector that is null, empty, zero, or holds null or non-finite components, or whose
-label is null, links with nothing; vectors of different lengths never link; repeated rows are
-vectors of their own that link with each other; a null id takes part but is never a component's name;
-ties don't matter; no rows give no rows; other columns are never looked at.
+label is null, links with nothing; vectors of different lengths never link; each row is a vector of its own, so rows
+that share an id can be in different components and equal rows link with each other; a null id takes part in links
+but never names a component, and a component of null ids alone has a null name; ties don't matter; no rows give no
+rows; other columns are never looked at.
 """
 
 from __future__ import annotations
@@ -33,25 +37,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import stage
+from ._common import keyed, stage
 from .components import components
 
 COSINE = 0.93
 CELL = 2048
-MOST_PIVOTS = 256
 CELL_HOMES = 4096
+FAN = 256
+LEVELS = 4
+MOST_SPREAD = 64
+#: Rows of a cell that one task places.
+PLACED_AT_ONCE = 200_000
 #: Added to radii, so that rounding never loses a pair on the edge; the exact test is on the cosine.
 SLACK = 1e-9
 ROWS_AT_ONCE = 2048
+MEMBERS = "cell string, home boolean, rep long, n long, v array<double>"
 
 
 def distinct_vectors(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """All rows as (id, label, v), v null where a row can't link; and one (rep, n) for each distinct vector of a label."""
+    """All rows as (id, key), key null where a row can't link; and (key, rep, n, least) for each distinct vector of a label, ``rep`` being its number."""
     v = F.col(vector_col).cast("array<double>")
     good = F.col(label_col).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.when(good, v).alias("v"))
-    merged = rows.filter("v is not null").groupBy("label", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    return rows, stage(merged.filter("rep is not null"), "vectors")
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.when(good, F.struct(F.col(label_col).cast("string").alias("label"), v.alias("v"))).alias("key"))
+    merged = rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    return rows, stage(merged.withColumn("rep", F.monotonically_increasing_id()), "vectors")
 
 
 def _scaled(v: np.ndarray) -> np.ndarray:
@@ -76,29 +85,58 @@ def place(v: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray,
     return row, pivot, pivot == home[row]
 
 
-def _spread(pivots: list[list[float]], cosine: float):
+def _cut(cosine: float):
+    """Rows come sorted by cell and salt, pivots first.  Each other row goes to its home in the cell and to the homes near it."""
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
-    by_size: dict[int, list] = {}
-    for p in pivots:
-        by_size.setdefault(len(p), []).append(p)
-    known = {k: _scaled(np.array(x, np.float64)) for k, x in by_size.items()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, pivots, units = None, [], None
         for b in batches:
-            for (dim, asked), part in b.groupby([b["v"].map(len), "pivots"], sort=False):
-                have = known.get(dim)
-                for k in range(0, len(part), ROWS_AT_ONCE):
-                    some = part.iloc[k : k + ROWS_AT_ONCE]
-                    if have is None:
-                        row, pivot, home = np.arange(len(some)), np.zeros(len(some), np.int64), np.ones(len(some), bool)
-                    else:
-                        row, pivot, home = place(_scaled(_matrix(some["v"])), have[: max(1, int(asked))], radius)
+            for key, part in b.groupby(["cell", "salt"], sort=False):
+                if key != now:
+                    now, pivots, units = key, [], None
+                lead = part["pivot"].to_numpy(bool)
+                pivots += list(part["v"][lead])
+                rest = part[~lead]
+                for k in range(0, len(rest), ROWS_AT_ONCE):
+                    some = rest.iloc[k : k + ROWS_AT_ONCE]
+                    if not pivots:
+                        yield some[["cell", "home", "rep", "n", "v"]]
+                        continue
+                    if units is None:
+                        units = _scaled(np.stack([np.asarray(x, np.float64) for x in pivots]))
+                    row, pivot, nearest = place(_scaled(_matrix(some["v"])), units, radius)
                     out = some.iloc[row]
-                    yield pd.DataFrame({"cell": [f"{x}:{dim}:{p}" for x, p in zip(out["label"], pivot, strict=True)], "home": home, "rep": out["rep"].to_numpy(), "n": out["n"].to_numpy(), "v": out["v"].to_numpy()})
+                    yield pd.DataFrame({"cell": [f"{key[0]}/{p}" for p in pivot], "home": out["home"].to_numpy() & nearest, "rep": out["rep"].to_numpy(), "n": out["n"].to_numpy(), "v": out["v"].to_numpy()})
 
     return run
 
 
+def _sizes(members: DataFrame) -> DataFrame:
+    return stage(members.groupBy(F.col("cell").alias("of")).agg(F.count_if("home").alias("homes"), F.count("*").alias("all")), "sizes")
+
+
+def cells(merged: DataFrame, cosine: float = COSINE, cell: int = CELL, cell_homes: int = CELL_HOMES, fan: int = FAN, levels: int = LEVELS) -> tuple[DataFrame, DataFrame]:
+    """All members of all cells, and the cells' sizes (of, homes, all)."""
+    members = merged.select(F.concat_ws(":", "key.label", F.size("key.v")).alias("cell"), F.lit(True).alias("home"), "rep", "n", F.col("key.v").alias("v"))
+    sizes = _sizes(members)
+    for level in range(levels):
+        crowded = sizes.filter((F.col("homes") > cell_homes) & (F.col("all") <= MOST_SPREAD * F.col("homes")))
+        if crowded.isEmpty():
+            break
+        wanted = F.least(F.lit(fan), F.greatest(F.lit(4), F.ceil(F.col("homes") / cell)))
+        plan = crowded.select("of", "homes", wanted.alias("wanted"), F.ceil(F.col("all") / PLACED_AT_ONCE).cast("int").alias("salts"))
+        met = members.join(plan, F.col("cell") == F.col("of"))
+        drawn = F.col("home") & (F.pmod(F.xxhash64(F.lit(level), "rep"), F.col("homes")) < F.col("wanted"))
+        leads = met.filter(drawn).select("cell", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(True).alias("pivot"), "home", "rep", "n", "v")
+        others = met.select("cell", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(False).alias("pivot"), "home", "rep", "n", "v")
+        ordered = leads.unionByName(others).repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("pivot").desc())
+        left = members.join(plan.select("of"), F.col("cell") == F.col("of"), "left_anti")
+        members = stage(ordered.mapInPandas(_cut(cosine), MEMBERS).unionByName(left), "cells")
+        sizes = _sizes(members)
+    return members, sizes
+
+
 def _spanning(links_i: np.ndarray, links_j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning set (greater, lesser) of links between ids."""
     names, flat = np.unique(np.concatenate((links_i, links_j)), return_inverse=True)
@@ -174,24 +212,26 @@ def _join_cells(cosine: float):
     return run
 
 
-def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL, cell_homes: int = CELL_HOMES, most_pivots: int = MOST_PIVOTS) -> DataFrame:
+def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL, cell_homes: int = CELL_HOMES, fan: int = FAN) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
     rows, merged = distinct_vectors(vectors, id_col, vector_col, label_col)
     rows = stage(rows, "rows")
-    pivots = [list(r["v"]) for r in merged.orderBy(F.xxhash64("rep"), "rep").select("v").limit(most_pivots).collect()]
-    sizes = stage(merged.groupBy("label").agg(F.least(F.lit(most_pivots), F.ceil(F.count("*") / cell)).cast("int").alias("pivots")), "sizes").withColumnRenamed("label", "of")
-    spread = stage(merged.join(sizes, F.col("label") == F.col("of")).select("label", "v", "rep", "n", "pivots").mapInPandas(_spread(pivots, cosine), "cell string, home boolean, rep long, n long, v array<double>"), "cells")
-    crowds = stage(spread.groupBy("cell").agg(F.ceil(F.count_if("home") / cell_homes).cast("int").alias("salts")), "crowds").withColumnRenamed("cell", "of")
-    dealt = spread.join(crowds, F.col("cell") == F.col("of")).filter("salts > 0").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("salts"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    members, sizes = cells(merged, cosine, cell, cell_homes, fan)
+    salts = sizes.filter("homes > 0 and all > 1").select("of", F.ceil(F.col("homes") / cell_homes).cast("int").alias("salts"))
+    dealt = members.join(salts, F.col("cell") == F.col("of")).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("salts"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
     dealt = dealt.select("cell", "salt", (F.col("home") & (F.col("mine") == F.col("salt"))).alias("home"), "rep", "n", "v")
     joined = stage(dealt.repartition("cell", "salt").sortWithinPartitions("cell", "salt", F.col("home").desc()).mapInPandas(_join_cells(cosine), "rep long, other long, links long"), "joined")
     counts = joined.filter("other is null").select(F.col("rep").alias("c_rep"), "links")
-    found = components(joined.filter("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v")))
-    answer = merged.join(counts, F.col("rep") == F.col("c_rep")).join(found, F.col("rep") == F.col("node"), "left")
-    answer = stage(answer.select(F.col("label").alias("a_label"), F.col("v").alias("a_v"), "links", F.coalesce("component", "rep").alias("comp")), "answer")
-    out = rows.join(answer, (F.col("label") == F.col("a_label")) & (F.col("v") == F.col("a_v")), "left")
-    component = F.coalesce("comp", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    found = components(joined.filter("other is not null").select(F.col("rep").alias("u"), F.col("other").alias("v"))).withColumnRenamed("node", "f_node")
+    # a vector alone in its cell is not joined: its links are its own repetitions
+    placed = merged.join(counts, F.col("rep") == F.col("c_rep"), "left").join(found, F.col("rep") == F.col("f_node"), "left")
+    placed = stage(placed.select(F.col("key").alias("a_key"), "n", "least", F.coalesce("links", F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("node")), "placed")
+    names = placed.groupBy(F.col("node").alias("g_node")).agg(F.min("least").alias("component_id"))
+    answer = stage(placed.join(names, F.col("node") == F.col("g_node")).select("a_key", "n", "links", "component_id"), "answer")
+    linked = keyed(rows.filter("key is not null"), answer, "key", "a_key", "n").select("id", "links", "component_id")
+    alone = rows.filter("key is null").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component_id"))
+    out = linked.unionByName(alone)
+    return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_query(spark, sf_dir: str) -> DataFrame:

@@ -92,7 +92,34 @@ def test_mix_text_and_empty(docs, none):
 # -- embeddings -----------------------------------------------------------------------------------------
 
 
-def test_embeddings_against_brute_force(spark):
+def check_vectors(table, got):
+    """Rows of (id, vector, label, n_links, component, kept) against all pairs of rows."""
+    good = [k for k, (_, v, lab) in enumerate(table) if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    units = {k: np.array(table[k][1], float) / np.linalg.norm(table[k][1]) for k in good}
+    parent = list(range(len(table)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = [0] * len(table)
+    for k, a in enumerate(good):
+        for b in good[:k]:
+            if table[a][2] == table[b][2] and len(units[a]) == len(units[b]) and units[a] @ units[b] >= 0.93:
+                links[a] += 1
+                links[b] += 1
+                parent[find(a)] = find(b)
+    names = defaultdict(list)
+    for k, t in enumerate(table):
+        names[find(k)] += [] if t[0] is None else [t[0]]
+    name = [min(names[find(k)], default=None) for k in range(len(table))]
+    key = lambda x: tuple(str(y) for y in x)
+    assert sorted(got, key=key) == sorted(((t[0], links[k], name[k], t[0] is not None and t[0] == name[k]) for k, t in enumerate(table)), key=key)
+
+
+@pytest.mark.parametrize(("cell", "homes", "fan"), [(2048, 4096, 256), (20, 15, 16), (4, 5, 4)])
+def test_embeddings_against_brute_force(spark, cell, homes, fan):
     r = np.random.default_rng(1)
     centers = r.normal(size=(20, 8))
     table = []
@@ -100,30 +127,13 @@ def test_embeddings_against_brute_force(spark):
         v = centers[i % 20] + r.normal(scale=0.25, size=8)
         table.append((i, [float(np.float32(x)) for x in v], int(i % 3)))
     table += [(300, None, 1), (301, [0.0] * 8, 1), (302, [1.0, None] + [0.0] * 6, 1), (303, [float("nan")] * 8, 1), (304, table[0][1], None), (305, table[0][1], 0), (306, table[0][1], 0), (307, [1.0, 2.0], 0), (308, [], 0), (309, [float(np.float32(x * 7)) for x in table[0][1]], 0)]
-    df = spark.createDataFrame([(*t, "x", 1) for t in table], "vec_id long, embedding array<float>, label int, cell string, n long")
-    got = {x["vec_id"]: x for x in embeddings.embedding_components(df, cell=20, cell_homes=15, most_pivots=16).collect()}
-    assert len(got) == len(table)
-    good = [(i, np.array(v, float), lab) for i, v, lab in table if lab is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    parent = {t[0]: t[0] for t in table}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    links = defaultdict(int)
-    for a in range(len(good)):
-        for b in range(a):
-            i, x, p = good[a]
-            j, y, q = good[b]
-            if p == q and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
-                links[i] += 1
-                links[j] += 1
-                s, t = find(i), find(j)
-                parent[max(s, t)] = min(s, t)
-    for i, x in got.items():
-        assert (x["n_links"], x["component_id"], x["kept"]) == (links[i], find(i), find(i) == i), i
-    assert embeddings.embedding_components(df.limit(0)).count() == 0
+    # repeated ids with other vectors, null ids beside others and among themselves
+    table += [(1, [1.0, 0.0], 5), (1, [0.0, 1.0], 5), (2, [1.0, 0.0625], 5), (None, [1.0, 0.125], 5), (None, [-1.0, 0.0], 5), (None, [-1.0, 0.0], 5), (None, None, 5), (7, [-1.0, 0.125], 6), (None, [-1.0, 0.0], 6), (None, table[3][1], 0)]
+    df = spark.createDataFrame([(*t, "x", 1, 2, "k") for t in table], "vec_id long, embedding array<float>, label int, cell string, n long, rep long, key string").repartition(4)
+    got = [tuple(x) for x in embeddings.embedding_components(df, cell=cell, cell_homes=homes, fan=fan).collect()]
+    check_vectors(table, got)
+    if cell > 20:
+        assert embeddings.embedding_components(df.limit(0)).count() == 0
 
 
 # -- packing ---------------------------------------------------------------------------------------------
@@ -517,7 +527,7 @@ def plain_fingerprint(text):
 
 
 @pytest.mark.parametrize("cell_rows", [simhash.CELL_ROWS, 3])
-def test_simhash(spark, docs, none, cell_rows):
+def test_simhash(spark, docs, none, cell_rows, monkeypatch):
     got = simhash.simhash_components(docs, cell_rows=cell_rows).collect()
     assert len(got) == len(rows())
     check_components(got, {x[0]: plain_fingerprint(x[1]) for x in rows()})
@@ -525,6 +535,60 @@ def test_simhash(spark, docs, none, cell_rows):
         assert simhash.simhash_components(none).count() == 0
         left = simhash.one_per_group(docs.select("doc_id", "text")).collect()
         assert sorted(str(x["doc_id"]) for x in left) == sorted({str(x["component_id"]) for x in got})
+        monkeypatch.setattr(simhash, "TWO_BLOCKS_FROM", 1)
+        check_components(simhash.simhash_components(docs).collect(), {x[0]: plain_fingerprint(x[1]) for x in rows()})
+
+
+def test_simhash_repeated_and_null_ids(spark):
+    r = random.Random(5)
+    a, b = (" ".join(r.choice(WORDS) + str(r.randint(0, 99)) for _ in range(400)) for _ in range(2))
+    near = a + " tail"
+    assert 0 < (plain_fingerprint(a) ^ plain_fingerprint(near)).bit_count() <= 4 < (plain_fingerprint(a) ^ plain_fingerprint(b)).bit_count()
+    table = [(7, a), (7, b), (2, near), (8, b), (None, a), (None, "lonely words of a null id"), (None, "lonely words of a null id"), (7, a)]
+    df = spark.createDataFrame([(*t, "mark", 1) for t in table], "doc_id long, text string, mark string, fp int")
+    got = sorted((str(x["doc_id"]), x["fingerprint"], x["component_id"]) for x in simhash.simhash_components(df).collect())
+    group = {a: 2, near: 2, b: 7, table[5][1]: None}
+    assert got == sorted((str(i), f"{plain_fingerprint(t):016x}", group[t]) for i, t in table)
+    kept = sorted((str(x["doc_id"]), x["text"]) for x in simhash.one_per_group(df).collect())
+    assert kept == sorted([("2", near), ("7", b), ("None", table[5][1])])  # the text b of an id that also has a is not lost
+
+
+def test_crowded_anchor_streams():
+    # a cell of many rows in many batches: only homes are held, and links are those of all pairs
+    import pandas as pd
+
+    r = np.random.default_rng(4)
+    fps = np.unique(r.integers(0, 2**14, 3000).astype(np.uint64))
+    home = r.random(len(fps)) < 0.3
+    order = np.argsort(~home, kind="stable")
+    cell = np.full(len(fps), 9)
+    whole = pd.DataFrame({"cell": cell, "home": home[order], "fp": fps[order].view(np.int64)})
+    whole = pd.concat([pd.DataFrame({"cell": [3, 3, 5], "home": [True, False, True], "fp": [1 << 40, 3 << 40, 5]}), whole, pd.DataFrame({"cell": [11, 11], "home": [True, False], "fp": [1 << 50, 3 << 50]})])
+    for size in (7, 100, 10**6):
+        found = list(simhash._compare(whole.iloc[k : k + size] for k in range(0, len(whole), size)))
+        links = {(int(u), int(v)) for f in found for u, v in zip(f["u"], f["v"], strict=True)}
+        parent = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:  # noqa: B023
+                x = parent[x]  # noqa: B023
+            return x
+
+        for u, v in links:
+            parent[find(u)] = find(v)
+        assert find(1 << 40) == find(3 << 40) and find(1 << 50) == find(3 << 50)
+        got = {}
+        for x in whole["fp"][whole["cell"] == 9]:
+            got.setdefault(find(int(x)), set()).add(int(x))
+        parent = {}
+        homes = [int(x) for x in fps[home]]
+        for x in homes:
+            for y in fps[np.bitwise_count(fps ^ np.uint64(x)) <= 4]:
+                parent[find(int(y))] = find(x)
+        want = {}
+        for x in fps:
+            want.setdefault(find(int(x)), set()).add(int(x))
+        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
 def check_components(got, prints):
@@ -546,7 +610,8 @@ def check_components(got, prints):
         assert x["component_id"] == (find(x["doc_id"]) if x["doc_id"] is not None else None)
 
 
-def test_anchors_lose_no_pair():
+@pytest.mark.parametrize("layout", [simhash.THREE_BLOCKS, simhash.TWO_BLOCKS])
+def test_anchors_lose_no_pair(layout):
     r = np.random.default_rng(2)
     base = r.integers(0, 2**63, 200, dtype=np.uint64) * np.uint64(2) + r.integers(0, 2, 200, dtype=np.uint64)
     fps = []
@@ -558,9 +623,10 @@ def test_anchors_lose_no_pair():
                 y ^= 1 << int(b)
             fps.append(y)
     fps = np.array(sorted(set(fps)), np.uint64)
-    row, cell, home = simhash.anchor_rows(fps)
-    reps = np.arange(len(fps))
-    u, v = simhash.cell_links(cell, home, reps[row], fps[row].view(np.int64))
+    row, cell, home = simhash.anchor_rows(fps, layout)
+    assert sum(home) == len(layout) * len(fps)
+    place = {int(x): i for i, x in enumerate(fps)}
+    u, v = ([place[int(x)] for x in side] for side in simhash.cell_links(cell, home, fps[row]))
     parent = list(range(len(fps)))
 
     def find(x):
