@@ -2,7 +2,7 @@
 
 Candidates come from strict patterns (the base) and from looser ones.  Four labelers vote on each
 candidate: its pattern and checksum, its shape, a gazetteer (mail endings, card issuers, reserved
-addresses), and the words before it.  A vote is 1, 0 (abstains) or -1.  Counts of each vote
+addresses), and the words before it (up to ``CONTEXT_CHARS`` characters, not beyond the match before).  A vote is 1, 0 (abstains) or -1.  Counts of each vote
 pattern are gathered from all documents; on the driver expectation-maximisation over that table
 (at most 4 kinds x 3**4 votes x 12 shapes) estimates how reliable each labeler is and how likely each
 pattern is a true span.  A logistic classifier of the span (kind, shape, votes) is trained on those
@@ -10,7 +10,8 @@ probabilities and decides about the looser candidates; base spans always stay.
 never overlaps a base span or an added one of an earlier kind.
 
 Offsets are in code points, ends exclusive.  Patterns are possessive, and starts inside a run that
-has failed are skipped, so that time grows with the text's length and no pattern recurses.
+has failed are skipped, so that no pattern recurses; places, overlaps and redaction are worked out by running sums
+and maxima over a text's spans.  Time grows with the text's length, and with the spans times their logarithm.
 
 Defined results: a null text counts as empty and has no spans; a repeated row or a null id keeps
 its row; very long texts are searched whole; no rows give no rows; only the id and the text are
@@ -20,11 +21,11 @@ looked at, so other columns can have any name.
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._arrays import before, ends, let, running
 from ._common import documents, stage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -66,19 +67,20 @@ CONTEXT_AGAINST = {
 }
 CONTEXT_CHARS = 40
 LABELERS = 4
-SPAN = "struct<s:int,e:int,m:string>"
+BLOCK_CHARS = 4096
+SPAN = "struct<s:int,e:int,m:string,b:string,a:string>"
 
 
 def _placed(matches: Column, pieces: Column) -> Column:
-    """Spans of matches that alternate with the pieces between them."""
-    pairs = F.filter(F.zip_with(matches, pieces, lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap"), F.length(m).alias("n"))), lambda x: x["m"].isNotNull())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    """Spans of matches that alternate with the pieces between them: start, end, text, what stands before and right after."""
+    n = F.size(matches)
+    parts = F.arrays_zip(ends(matches, pieces).alias("e"), matches.alias("m"), F.slice(pieces, F.lit(1), n).alias("p"), F.slice(pieces, F.lit(2), n).alias("q"), F.slice(matches, F.lit(2), n).alias("r"))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        return F.struct((s + x["n"]).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("s"), (s + x["n"]).alias("e"), x["m"].alias("m")))).alias("out"))
+    def span(x: Column) -> Column:
+        after = F.when(F.length(x["q"]) > 0, F.left(x["q"], F.lit(1))).otherwise(F.coalesce(F.left(x["r"], F.lit(1)), F.lit("")))
+        return F.struct((x["e"] - F.length(x["m"])).alias("s"), x["e"].alias("e"), x["m"].alias("m"), F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("b"), after.alias("a"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+    return F.transform(parts, span)
 
 
 def _digits(m: Column) -> Column:
@@ -108,26 +110,33 @@ def _checker(kind: str):
     return lambda x: _valid(kind, x["m"])
 
 
-def _clear_of(taken: list[Column]):
-    """A test that a span overlaps none of the spans in ``taken``."""
+def _clear(loose: Column, taken: list[Column]) -> Column:
+    """The spans of ``loose`` that overlap none of the spans in ``taken``, by running ends and starts over all of them in order."""
 
-    def crosses(x: Column):
-        return lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"])
+    def own(flag: int):
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(flag).alias("o"), x["e"].alias("e"), x.alias("x"))
 
-    return lambda x: ~reduce(lambda a, b: a | b, [F.exists(o, crosses(x)) for o in taken])
+    every = F.array_sort(F.concat(*[F.transform(o, own(0)) for o in taken], F.transform(loose, own(1))))
 
+    def free(a: Column) -> Column:
+        reach = running(F.transform(a, lambda x: F.when(x["o"] == 0, x["e"]).otherwise(-1)), lambda x, y: F.greatest(x, y), F.lit(-1))
+        far = F.lit(2**31 - 1)
+        following = F.reverse(running(F.transform(F.reverse(a), lambda x: F.when(x["o"] == 0, x["s"]).otherwise(far)), lambda x, y: F.least(x, y), far))
+        met = F.arrays_zip(a.alias("k"), reach.alias("w"), following.alias("f"))
+        return F.transform(F.filter(met, lambda z: (z["k"]["o"] == 1) & (z["w"] <= z["k"]["s"]) & (z["f"] >= z["k"]["e"])), lambda z: z["k"]["x"])
 
-def _voted(text: Column, kind: int, strict: bool, spans: Column) -> Column:
+    return let(every, free)
+
+
+def _voted(kind: int, strict: bool, spans: Column) -> Column:
     """The candidates with their votes v1..v4 and their shape."""
     name = KINDS[kind]
 
     def one(x: Column) -> Column:
-        m = x["m"]
+        m, before = x["m"], x["b"]
         d = F.length(_digits(m))
-        before = F.substring(text, F.greatest(x["s"] - CONTEXT_CHARS + 1, F.lit(1)), F.least(x["s"], F.lit(CONTEXT_CHARS)))
         plain = {"email": m, "ip": m, "card": _digits(m), "phone": m}[name]
         shape_ok = {"email": F.length(m) <= 80, "ip": F.length(m).between(7, 24), "card": d >= 15, "phone": d.between(10, 13)}[name]
-        edge = F.substring(text, x["e"] + 1, F.lit(1))
         loose_ok = {"email": F.lit(0), "ip": F.lit(0), "card": F.when(_luhn(_digits(m)), 1).otherwise(-1), "phone": F.lit(0)}[name]
         return F.struct(
             F.lit(kind).alias("k"),
@@ -137,7 +146,7 @@ def _voted(text: Column, kind: int, strict: bool, spans: Column) -> Column:
             F.when(shape_ok, 1).otherwise(-1).alias("v2"),
             F.when(plain.rlike(GAZETTEER[name]), 1).otherwise(-1).alias("v3"),
             F.when(before.rlike(CONTEXT_AGAINST[name]), -1).when(before.rlike(CONTEXT_FOR[name]), 1).otherwise(0).alias("v4"),
-            (F.least(F.floor(F.length(m) / 8), F.lit(5)) * 2 + F.when(edge.rlike(r"[\p{L}0-9]"), 1).otherwise(0)).cast("int").alias("shape"),
+            (F.least(F.floor(F.length(m) / 8), F.lit(5)) * 2 + F.when(x["a"].rlike(r"[\p{L}0-9]"), 1).otherwise(0)).cast("int").alias("shape"),
         )
 
     return F.transform(spans, one)
@@ -162,10 +171,10 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         spans[k] = found if k.startswith("l_") else F.filter(found, _checker(k))
     out = out.withColumns({f"s_{k}": v for k, v in spans.items()})
     for i, k in enumerate(KINDS):
-        free = _clear_of([F.col(f"s_{j}") for j in KINDS] + [F.col(f"s_l_{j}") for j in KINDS[:i]])
-        out = out.withColumn(f"s_l_{k}", F.when(F.size(f"s_l_{k}") > 0, F.filter(f"s_l_{k}", free)).otherwise(F.col(f"s_l_{k}")))
-    base = F.concat(*[_voted(t, i, True, F.col(f"s_{k}")) for i, k in enumerate(KINDS)])
-    loose = F.concat(*[_voted(t, i, False, F.col(f"s_l_{k}")) for i, k in enumerate(KINDS)])
+        free = _clear(F.col(f"s_l_{k}"), [F.col(f"s_{j}") for j in KINDS] + [F.col(f"s_l_{j}") for j in KINDS[:i]])
+        out = out.withColumn(f"s_l_{k}", F.when(F.size(f"s_l_{k}") > 0, free).otherwise(F.col(f"s_l_{k}")))
+    base = F.concat(*[_voted(i, True, F.col(f"s_{k}")) for i, k in enumerate(KINDS)])
+    loose = F.concat(*[_voted(i, False, F.col(f"s_l_{k}")) for i, k in enumerate(KINDS)])
     return out.select("id", *(["t"] if keep else []), base.alias("base"), loose.alias("loose"), *[f"in_{k}" for k in keep])
 
 
@@ -258,19 +267,33 @@ def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select("id", *(["t"] if keep else []), F.transform("base", short).alias("base"), F.transform(_accepted(weights, F.col("loose"), at_least), short).alias("added"), *[f"in_{k}" for k in keep])
 
 
-def redacted(docs: DataFrame) -> DataFrame:
-    """The documents with each span replaced by its kind in brackets; of overlapping spans the first counts."""
-    spans = find_spans(docs, keep=("text", "lang", "source"))
-    ordered = F.array_sort(F.transform(F.concat("base", "added"), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+def _redacted(text: Column, spans: Column) -> Column:
+    """The text with each span that begins behind all earlier ones replaced by its tag.
+
+    Texts are cut from blocks, as Spark counts characters from a string's beginning.
+    """
     tags = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / BLOCK_CHARS).cast("int")), lambda i: F.substring(text, i * BLOCK_CHARS + 1, F.lit(BLOCK_CHARS)))
 
-    def step(acc: Column, x: Column) -> Column:
-        clear = x["s"] >= acc["at"]
-        more = F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, x["s"] - acc["at"]), F.element_at(tags, x["k"] + 1))
-        return F.struct(F.when(clear, x["e"]).otherwise(F.greatest(acc["at"], x["e"])).alias("at"), F.when(clear, more).otherwise(acc["out"]).alias("out"))
+    def between(cut: Column, a: Column, b: Column) -> Column:
+        first = F.floor(a / BLOCK_CHARS).cast("int")
+        joined = F.array_join(F.slice(cut, first + 1, F.floor(b / BLOCK_CHARS).cast("int") - first + 1), "")
+        return F.substring(joined, a - first * BLOCK_CHARS + 1, F.greatest(F.lit(0), b - a))
 
-    text = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("t"), acc["at"] + 1, F.length("t"))))
-    text = F.when(F.size(F.concat("base", "added")) > 0, text).otherwise(F.col("in_text"))
+    def whole(cut: Column) -> Column:
+        ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["k"].alias("k"))))
+        reached = let(ordered, lambda o: F.zip_with(o, before(running(F.transform(o, lambda x: x["e"]), lambda x, y: F.greatest(x, y), F.lit(0)), F.lit(0)), lambda x, at: x.withField("at", at)))
+        parts = F.transform(F.filter(reached, lambda x: x["s"] >= x["at"]), lambda x: F.concat(between(cut, x["at"], x["s"]), F.element_at(tags, x["k"] + 1)))
+        return F.concat(F.array_join(parts, ""), between(cut, F.array_max(F.transform(spans, lambda x: x["e"])), F.length(text)))
+
+    return let(blocks, whole)
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """The documents with each span replaced by its kind in brackets; of overlapping spans the first counts."""
+    spans = find_spans(docs, keep=("text", "lang", "source"))
+    every = F.concat("base", "added")
+    text = F.when(F.size(every) > 0, _redacted(F.col("t"), every)).otherwise(F.col("in_text"))
     return spans.select(F.col("id").alias("doc_id"), text.alias("text"), F.col("in_lang").alias("lang"), F.col("in_source").alias("source")).withColumn("n_chars", F.length("text").cast("long"))
 
 

@@ -316,6 +316,38 @@ def test_personal_data(spark, none):
     assert pii.find_spans(none).count() == 0
 
 
+def test_redaction_and_many_spans(spark):
+    import time
+
+    text = "ünder the stone a{0}@b.example 10.0.{1}.7 call 555-123-{2:04d} or bob (at) site{0} (dot) com, 4111 1111 1111 1111;"
+    many = "".join(text.format(i, i % 256, i % 10000) for i in range(25_000))  # 125,000 spans in three million characters
+    df = spark.createDataFrame([(1, many, "en", "s"), (2, text.format(1, 2, 3), "en", "s"), (3, "plain é", "en", "s")], "doc_id long, text string, lang string, source string").repartition(1)
+    begun = time.time()
+    got = {x["id"]: x for x in pii.find_spans(df).collect()}
+    assert [f"{pii.KINDS[s['k']]}:{s['s']}:{s['e']}" for s in got[1]["base"]] == base_spans(many)
+    clean = {x["doc_id"]: x["text"] for x in pii.redacted(df).collect()}
+    assert time.time() - begun < 150
+    for i, whole in ((1, many), (2, text.format(1, 2, 3)), (3, "plain é")):
+        out, at = [], 0
+        for s in sorted([*got[i]["base"], *got[i]["added"]], key=lambda s: (s["s"], s["e"], s["k"])):
+            if s["s"] >= at:
+                out += [whole[at : s["s"]], f"[{pii.KINDS[s['k']].upper()}]"]
+            at = max(at, s["e"])
+        assert clean[i] == "".join([*out, whole[at:]])
+
+
+def test_spans_clear_of_others(spark):
+    r = random.Random(2)
+    table = []
+    for i in range(200):
+        spans = [sorted(r.sample(range(60), 2)) for _ in range(r.randint(0, 12))]
+        table.append((i, [(*x, "m", "b", "a") for x in spans[::2]], [(*x, "m", "b", "a") for x in spans[1::2]]))
+    df = spark.createDataFrame(table, f"i int, loose array<{pii.SPAN}>, taken array<{pii.SPAN}>")
+    for x in df.select("i", pii._clear(F.col("loose"), [F.col("taken")]).alias("free")).collect():
+        _, loose, taken = table[x["i"]]
+        assert sorted((y["s"], y["e"]) for y in x["free"]) == sorted(y[:2] for y in loose if all(y[1] <= z[0] or z[1] <= y[0] for z in taken))
+
+
 def test_labelers_reliability():
     # a labeler that agrees with the others is trusted more than one that says the same of everything
     table = [((0, 0, 1, 1, 1, 1), 80), ((0, 0, -1, -1, -1, 1), 80), ((0, 0, 1, 1, -1, 1), 5)]
