@@ -1,18 +1,22 @@
 """Language ID by interpolated Kneser-Ney character models.
 
 For each language the n-grams of characters inside words (up to ``ORDER``, with marks where a word
-begins and ends) are counted on the executors over a sample of labelled documents of at most about
-``SAMPLE_ROWS`` for each language, chosen by a hash of the id.  The driver turns counts into
-interpolated Kneser-Ney probabilities, held as sorted arrays of 64-bit hashes beside their logarithms;
-a model keeps at most ``MOST_GRAMS`` n-grams, so its broadcast has a fixed bound.
+begins and ends) are counted on the executors over a sample of labelled documents of about
+``SAMPLE_ROWS`` for each language, chosen by a hash of the id; every language that a label names gets a model.
+One task for each language turns its counts into interpolated Kneser-Ney probabilities, held as sorted arrays of
+64-bit hashes beside their logarithms; all n-grams of the sample stay, so that a model's probabilities sum to one.
+The driver sees the arrays only: 12 bytes for each n-gram, which the sample bounds.
 
 A text's cross-entropy in a language is the sum over its letters' log-probabilities divided by their
 number; the lowest wins.  As n-grams stay inside words, a word's sums are looked up once and
 kept for the next time in a bounded cache; all words of a text count.
 
-Calibration: a fifth of the sample is not counted but scored.  It gives the sharpness with which
-differences in cross-entropy turn into a probability, and for each language the cross-entropy above which a text is
-rejected as no text of any learned language.  The score is that probability, lowered by how far above the limit a text lies.
+Calibration: a fifth of the sample is not counted but scored, whole and in pieces of 1, 2, 4, .. words from
+either end, so that texts of every length are represented.  It gives the sharpness with which differences in
+cross-entropy turn into a probability, and for each language and length class (powers of two of letters) the
+cross-entropy above which a text is rejected as no text of any learned language: where an exponential tail that is
+fitted to the highest tenth of the class leaves a share of ``REJECTED`` of true texts.  ``REJECTED`` is thus the
+expected rate of false rejections.  The score is the probability, lowered by how far above the limit a text lies.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0 and rejected; without
 labelled documents every text is ``und``; ties go to the first language by code point; repeated rows
@@ -34,16 +38,15 @@ from ._common import documents, short_batches
 
 ORDER = 5
 SAMPLE_ROWS = 2000
-MOST_LANGUAGES = 128
-MOST_GRAMS = 400_000
 WORDS_KEPT = 300_000
 BEGIN, END = "^", "$"
 NONE = "und"
 #: Of a text's letters so many count towards certainty: beyond them, evidence is taken as repeated.
 CERTAIN_AT = 60
-#: How much more than the limit a short text's cross-entropy may be: this over the root of its letters.
-SHORT = 2.0
-MARGIN = 0.9
+#: The share of true texts that may be rejected, and the share of a length class whose tail is fitted.
+REJECTED, TAIL = 1e-6, 0.1
+#: Length classes: the floor of log2 of the letters, the last one for all longer texts.  A class with fewer held-out texts takes the next shorter one's limit.
+CLASSES, CLASS_LEAST = 20, 30
 HOLD = 5
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 CONTEXT = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -81,7 +84,7 @@ class Identifier:
     languages: list[str]
     models: list[Model]
     sharpness: float
-    limits: list[float]
+    limits: np.ndarray  # a row for each language, a column for each length class
 
 
 def _hash(gram: str) -> np.uint64:
@@ -91,7 +94,7 @@ def _hash(gram: str) -> np.uint64:
     return h
 
 
-def kneser_ney(grams: dict[str, int], most: int = MOST_GRAMS) -> Model:
+def kneser_ney(grams: dict[str, int]) -> Model:
     """Interpolated Kneser-Ney over counts of longest n-grams, as back-off tables of logarithms."""
     counts: list[Counter] = [Counter() for _ in range(ORDER + 1)]
     for g, n in grams.items():
@@ -120,11 +123,6 @@ def kneser_ney(grams: dict[str, int], most: int = MOST_GRAMS) -> Model:
             now[g] = max(n - cut, 0.0) / total[h] + back[h] * lower
         prob.update(now)
         below = now
-    if len(prob) > most:  # the most frequent n-grams; the others back off
-        kept = sorted(prob, key=lambda g: (-counts[len(g)][g], g))[:most]
-        prob = {g: prob[g] for g in kept}
-        seen = {g[:-1] for g in kept}
-        back = {h: v for h, v in back.items() if h in seen or not h}
     with np.errstate(over="ignore"):
         keys = np.array([_hash(g) for g in prob] + [_hash(h) ^ CONTEXT for h in back], np.uint64)
     logs = np.log(np.array([*prob.values(), *back.values()]))
@@ -211,6 +209,10 @@ class Scorer:
         return out
 
 
+def length_class(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), CLASSES - 1)
+
+
 def decide(totals: np.ndarray, known: Identifier) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, score, rejected) for rows of ``Scorer.totals``."""
     n = totals[:, -1]
@@ -222,7 +224,7 @@ def decide(totals: np.ndarray, known: Identifier) -> tuple[list[str], np.ndarray
     low = entropy[np.arange(len(n)), best]
     sure = np.minimum(n, CERTAIN_AT) * known.sharpness
     p = 1 / np.exp(-np.minimum(700, (entropy - low[:, None]) * sure[:, None])).sum(axis=1)
-    above = np.maximum(0, low - np.array(known.limits)[best] - SHORT / np.sqrt(np.maximum(n, 1)))
+    above = np.maximum(0, low - known.limits[best, length_class(n)])
     score = np.where(some, p * np.exp(-2 * above), 0.0)
     names = [known.languages[b] if s else NONE for b, s in zip(best, some, strict=True)]
     return names, np.clip(score, 0, 1), ~some | (above > 0)
@@ -238,14 +240,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     spark = docs.sparkSession
     short_batches(spark)
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold(id_col) != 1)).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    sizes = labelled.groupBy("lang").count().collect()
     if not sizes:
-        return Identifier([], [], 1.0, [])
-    languages = sorted(r["lang"] for r in sizes)
-    share = {r["lang"]: min(1.0, sample_rows / r["count"]) for r in sizes}
-    rate = F.map_from_arrays(F.array(*[F.lit(x) for x in languages]), F.array(*[F.lit(share[x]) for x in languages]))
+        return Identifier([], [], 1.0, np.zeros((0, CLASSES)))
+    rates = spark.createDataFrame([(r["lang"], min(1.0, sample_rows / r["count"])) for r in sizes], "of string, rate double")
     draw = F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(draw < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0)))
+    sample = labelled.join(rates, F.col("lang") == F.col("of")).filter(draw < F.col("rate")).select("id", "text", "lang")
     held = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(HOLD)) == 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,13 +257,39 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 grams = _grams(words)
                 yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
 
+    def model(frame: pd.DataFrame) -> pd.DataFrame:
+        m = kneser_ney(dict(zip(frame["gram"], frame["n"].tolist(), strict=True)))
+        return pd.DataFrame({"lang": [frame["lang"].iloc[0]], "keys": [m.keys.tobytes()], "logs": [m.logs.tobytes()], "unseen": [m.unseen]})
+
     counted = sample.filter(~held).mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    grams: dict[str, dict[str, int]] = {x: {} for x in languages}
-    for r in counted.toLocalIterator(prefetchPartitions=True):
-        grams[r["lang"]][r["gram"]] = r["n"]
-    languages = [x for x in languages if grams[x]]
-    models = [kneser_ney(grams.pop(x)) for x in languages]
-    return _calibrated(Identifier(languages, models, 1.0, [float("inf")] * len(languages)), sample.filter(held))
+    made = sorted(counted.groupBy("lang").applyInPandas(model, "lang string, keys binary, logs binary, unseen double").collect(), key=lambda r: r["lang"])
+    models = [Model(np.frombuffer(r["keys"], np.uint64), np.frombuffer(r["logs"], np.float32), r["unseen"]) for r in made]
+    languages = [r["lang"] for r in made]
+    return _calibrated(Identifier(languages, models, 1.0, np.full((len(languages), CLASSES), np.inf)), sample.filter(held))
+
+
+def pieces(text: str) -> list[str]:
+    """The text and its first and last 1, 2, 4, .. words."""
+    words = text.split()
+    cuts = [2**k for k in range(len(words).bit_length()) if 2**k < len(words)]
+    return [text, *[" ".join(words[:k]) for k in cuts], *[" ".join(words[-k:]) for k in cuts]]
+
+
+def tail_limit(values: np.ndarray, rejected: float = REJECTED, tail: float = TAIL) -> float:
+    """The value that a share ``rejected`` exceeds, by an exponential tail over the highest ``tail`` of the values."""
+    start = float(np.quantile(values, 1 - tail))
+    over = values[values > start] - start
+    return start + (float(over.mean()) if len(over) else 0.0) * float(np.log(tail / rejected))
+
+
+def class_limits(entropy: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """A limit for each length class from the cross-entropies of one language's true texts."""
+    classes = length_class(letters)
+    limits = np.full(CLASSES, np.inf)
+    for k in range(CLASSES):
+        own = entropy[classes == k]
+        limits[k] = tail_limit(own) if len(own) >= CLASS_LEAST else limits[k - 1] if k else np.inf
+    return limits
 
 
 def _calibrated(known: Identifier, held: DataFrame) -> Identifier:
@@ -273,25 +299,28 @@ def _calibrated(known: Identifier, held: DataFrame) -> Identifier:
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value.models)
         for b in batches:
-            yield pd.DataFrame({"lang": b["lang"], "totals": list(scorer.totals(b["text"].tolist()))})
+            for lang, text in zip(b["lang"], b["text"], strict=True):
+                found = scorer.totals(pieces(text))
+                yield pd.DataFrame({"lang": lang, "whole": np.arange(len(found)) == 0, "totals": list(found)})
 
-    rows = held.mapInPandas(totals, "lang string, totals array<double>").filter("totals[size(totals) - 1] > 0").collect()
+    rows = held.mapInPandas(totals, "lang string, whole boolean, totals array<double>").filter("totals[size(totals) - 1] > 0").collect()
     if not rows or not known.models:
         return known
-    table = np.array([r["totals"] for r in rows])
     place = {x: i for i, x in enumerate(known.languages)}
-    true = np.array([place.get(r["lang"], -1) for r in rows])
-    table, true = table[true >= 0], true[true >= 0]
+    rows = [r for r in rows if r["lang"] in place]
+    table = np.array([r["totals"] for r in rows]).reshape(-1, len(known.models) + 1)
+    true = np.array([place[r["lang"]] for r in rows], np.int64)
+    whole = np.array([r["whole"] for r in rows], bool)
     n = table[:, -1]
     entropy = -table[:, :-1] / n[:, None]
     mine = entropy[np.arange(len(true)), true]
-    limits = [float((mine - SHORT / np.sqrt(n))[true == i].max() + MARGIN) if (true == i).any() else float("inf") for i in range(len(known.languages))]
-    gap = (entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, CERTAIN_AT)[:, None]
+    limits = np.stack([class_limits(mine[true == i], n[true == i]) for i in range(len(known.languages))])
+    gap = ((entropy - entropy.min(axis=1, keepdims=True)) * np.minimum(n, CERTAIN_AT)[:, None])[whole]
     losses = {}
     for sharp in np.geomspace(0.05, 2.0, 20):
         logp = -gap * sharp
         logp -= np.log(np.exp(logp).sum(axis=1, keepdims=True))
-        losses[float(sharp)] = -float(logp[np.arange(len(true)), true].mean())
+        losses[float(sharp)] = -float(logp[np.arange(len(gap)), true[whole]].mean()) if len(gap) else 0.0
     return Identifier(known.languages, known.models, min(losses, key=losses.get), limits)
 
 
@@ -320,8 +349,19 @@ def op4_query(spark, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame) -> DataFrame:
-    """The documents whose language is not rejected."""
+    """The documents whose language is not rejected.
+
+    Only texts go to Python, and only the verdict comes back: all columns of the documents stay in the JVM.
+    """
     known = train(docs)
-    names = [c for c in docs.columns if c != "doc_id"]
-    found = identify(docs, known, keep=tuple(names)).filter("not rejected")
-    return found.select(F.col("id").alias("doc_id"), *[F.col(f"in_{c}").alias(c) for c in names]).select(*docs.columns)
+    spark = docs.sparkSession
+    short_batches(spark)
+    shared = spark.sparkContext.broadcast(known)
+
+    @F.pandas_udf("boolean")
+    def rejected(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(shared.value.models)
+        for texts in batches:
+            yield pd.Series(decide(scorer.totals(texts.fillna("").tolist()), shared.value)[2])
+
+    return docs.filter(~rejected(F.col("text").cast("string")))

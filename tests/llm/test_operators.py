@@ -197,6 +197,84 @@ def test_language_models():
     assert one.totals(["the"])[0, 0] > one.totals(["xqz"])[0, 0] and len(letters) > 5
 
 
+def plain_kneser_ney(words):
+    """The probability of a character after a context, straight from the definition."""
+    raw = defaultdict(int)
+    for w in words:
+        s = language_id.BEGIN + w + language_id.END
+        for i in range(1, len(s)):
+            raw[s[max(0, i - language_id.ORDER + 1) : i + 1]] += 1
+    levels = {language_id.ORDER: {g: n for g, n in raw.items() if len(g) == language_id.ORDER}}
+    for k in range(language_id.ORDER - 1, 0, -1):
+        now = defaultdict(int, {g: n for g, n in raw.items() if len(g) == k})
+        for g in levels[k + 1]:
+            now[g[1:]] += 1
+        levels[k] = dict(now)
+    size = len(levels[1]) + 1
+
+    def discount(k):
+        ones, twos = (sum(n == m for n in levels[k].values()) for m in (1, 2))
+        return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def p(c, h):
+        k = len(h) + 1
+        lower = p(c, h[1:]) if h else 1 / size
+        after = {g: n for g, n in levels[k].items() if g[:-1] == h}
+        if not after:
+            return lower
+        total, d = sum(after.values()), discount(k)
+        return max(after.get(h + c, 0) - d, 0) / total + d * len(after) / total * lower
+
+    return p, sorted(levels[1])
+
+
+def test_kneser_ney_against_its_definition():
+    from collections import Counter
+
+    r = random.Random(11)
+    words = ["".join(r.choice("abcde") for _ in range(r.randint(1, 7))) for _ in range(120)] + ["abba"] * 5
+    scorer = language_id.Scorer([language_id.kneser_ney(language_id._grams(Counter(words)))])
+    p, letters = plain_kneser_ney(words)
+    for h in ("", "^", "^a", "ab", "abba", "^abb", "zz"):
+        assert sum(p(c, h) for c in [*letters, "?"]) == pytest.approx(1.0)
+    for w in [*words[:30], "abcabc", "zebra", "q", "eeeeeeee"]:
+        s = "^" + w + "$"
+        want = sum(np.log(p(s[i], s[max(0, i - language_id.ORDER + 1) : i])) for i in range(1, len(s)))
+        total, n = scorer.totals([w])[0]
+        assert total == pytest.approx(want, rel=1e-5) and n == len(s) - 1
+
+
+def test_many_languages_and_calibrated_rejection(spark):
+    r = random.Random(6)
+    # 150 languages, each with an alphabet and words of its own
+    vocabulary = {f"l{k:03d}": ["".join(chr(0x4E00 + 40 * k + r.randrange(30)) for _ in range(r.randint(2, 6))) for _ in range(25)] for k in range(150)}
+    table = [(i, " ".join(r.choice(vocabulary[f"l{i % 150:03d}"]) for _ in range(r.randint(3, 30))), f"l{i % 150:03d}") for i in range(6000)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    known = language_id.train(df)
+    assert len(known.languages) == 150
+    got = {x["id"]: x for x in language_id.identify(df, known).collect()}
+    assert sum(got[i]["lang_pred"] == lang for i, _, lang in table) >= 0.99 * len(table)
+    # the rate of false rejections on rows that were never learned from, and of true ones on other scripts
+    pool = ["the and of with river stone light under house water".split(), "le la les des rivière pierre lumière sous maison été".split()]
+    table = [(i, " ".join(r.choice(pool[i % 2]) + r.choice(["", "s", "e", "ing"]) for _ in range(r.choice([1, 2, 5, 20, 80]))), "ef"[i % 2]) for i in range(6000)]
+    df = spark.createDataFrame(table, "doc_id long, text string, lang string")
+    known = language_id.train(df, sample_rows=1500)
+    held = {i for i, _, _ in table if zlib.crc32(str(i).encode()) % 3 == 1}
+    got = {x["id"]: x for x in language_id.identify(df, known).collect()}
+    assert sum(got[i]["rejected"] for i in held) <= 2
+    strange = [(i, t) for i, t in enumerate(["qzxj wvkq jjxq zzkw qxqx kvzj " * 5, "река камень свет под домом вода течёт тихо", "0101 abcdefghijklmnopqrstuvwxyz zyxwvutsrqponmlkjihgfedcba"])]
+    far = language_id.identify(spark.createDataFrame(strange, "doc_id long, text string"), known).collect()
+    assert all(x["rejected"] and x["score"] < 0.5 for x in far)
+
+
+def test_tail_limit():
+    r = np.random.default_rng(0)
+    values = r.exponential(0.2, 20_000) + 3
+    limit = language_id.tail_limit(values, rejected=1e-4)
+    assert 0.3e-4 < (r.exponential(0.2, 2_000_000) + 3 > limit).mean() < 3e-4
+    assert language_id.tail_limit(np.ones(50)) == 1.0
+
+
 def test_language_id(spark, none):
     r = random.Random(2)
     en, fr = "the and of with river stone light under house water".split(), "le la les des rivière pierre lumière sous maison été".split()
