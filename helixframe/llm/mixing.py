@@ -6,7 +6,8 @@ mildly) and ``c`` makes the expected words meet the target.  ``floor(e)`` copies
 the fraction ``p`` is an inclusion probability.  Documents are ranked by
 ``q = (u / (1 - u)) / (p / (1 - p))`` with a uniform hash ``u`` and taken in that order until
 the words that are left of the target are filled: a fixed-size, unequal-probability sample.  The
-document on the cut is taken in part, so that a source misses its target by rounding only.
+document on the cut is taken whole or left out, whichever comes nearer to the target.  Only where that would miss it
+by more than ``MISS`` of the target is the document taken in part: its first words, as they stand in the text.
 
 The cut is found without sorting a source: sums over 256 buckets of ``q / (1 + q)``, then over
 256 buckets inside the bucket that holds the cut, then a window over that last bucket alone.
@@ -26,6 +27,8 @@ from ._common import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 256
+#: The share of a source's target by which whole documents may miss it.
+MISS = 0.01
 
 
 def word_count(text: Column) -> Column:
@@ -124,15 +127,21 @@ def pareto_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only the documents of one bucket in 65536 of a source reach this window.
     order = Window.partitionBy("source").orderBy("z", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     tied = placed.filter(F.coalesce(at_cut, F.lit(False))).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest2") - F.coalesce(F.sum("size").over(order), F.lit(0)))))
+    part, other = F.col("extra"), F.col("size") - F.col("extra")
+    whole = (part > 0) & (other > 0) & (F.least(part, other) <= MISS * F.col("target"))
+    tied = tied.withColumn("extra", F.when(whole, F.when(part >= other, F.col("size")).otherwise(0)).otherwise(part))
     out = clear.unionByName(tied)
     return out.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "whole", F.col("extra").cast("long").alias("extra"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), *[f"in_{k}" for k in keep])
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the documents' columns, a row for each copy taken; the copy on a source's cut holds its first words only."""
+    """The mix itself: the documents' columns, a row for each copy taken; a copy that is taken in part holds its first words and what stands between them."""
     mix = pareto_mix(docs, keep=("text", "lang"), **options)
     part = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
-    copies = F.concat(F.array_repeat(F.col("in_text"), F.col("whole").cast("int")), F.when(part, F.array(F.array_join(F.slice(F.regexp_extract_all("in_text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("extra"), F.lit(1)).cast("int")), " "))).when(F.col("extra") > 0, F.array("in_text")).otherwise(F.array().cast("array<string>")))
+    n = F.greatest(F.col("extra"), F.lit(1)).cast("int")
+    words, gaps = F.regexp_extract_all("in_text", F.lit(WORD), F.lit(0)), F.split("in_text", WORD, -1)
+    first = F.array_join(F.zip_with(F.slice(gaps, F.lit(1), n), F.slice(words, F.lit(1), n), lambda g, w: F.concat(g, w)), "")
+    copies = F.concat(F.array_repeat(F.col("in_text"), F.col("whole").cast("int")), F.when(part, F.array(first)).when(F.col("extra") > 0, F.array("in_text")).otherwise(F.array().cast("array<string>")))
     out = mix.filter((F.col("taken") > 0) & F.col("in_text").isNotNull()).withColumn("copy", F.explode(copies))
     return out.select("doc_id", F.col("copy").alias("text"), F.col("in_lang").alias("lang"), "source", F.length("copy").cast("long").alias("n_chars"))
 
@@ -164,5 +173,6 @@ p AS (SELECT *, floor(copies)::BIGINT AS whole, copies - floor(copies) AS p FROM
 q AS (SELECT *, round(greatest(0.0, target - sum(whole * cls_size) OVER (PARTITION BY source)))::BIGINT AS rest FROM p),
 z AS (SELECT r.doc_id, r.source, r.size, q.source_size, q.target, q.whole, q.rest, CASE WHEN q.p > 0 THEN r.u * (1 - q.p) / (r.u * (1 - q.p) + q.p * (1 - r.u)) END AS z
     FROM r JOIN q ON r.source IS NOT DISTINCT FROM q.source AND r.cls = q.cls),
-x AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE greatest(0, least(size, rest - coalesce(sum(CASE WHEN z IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY z NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS extra FROM z)
-SELECT doc_id, size, source_size, target, (whole * size + extra)::BIGINT AS taken, source, whole FROM x"""
+x AS (SELECT *, CASE WHEN z IS NULL THEN 0 ELSE greatest(0, least(size, rest - coalesce(sum(CASE WHEN z IS NULL THEN 0 ELSE size END) OVER (PARTITION BY source ORDER BY z NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS part FROM z),
+y AS (SELECT *, CASE WHEN part > 0 AND part < size AND least(part, size - part) <= 0.01 * target THEN CASE WHEN part >= size - part THEN size ELSE 0 END ELSE part END AS extra FROM x)
+SELECT doc_id, size, source_size, target, (whole * size + extra)::BIGINT AS taken, source, whole FROM y"""

@@ -2,7 +2,8 @@
 
 Lexicon.  Terms are words, and beginnings of words, that labelled toxic documents hold far more often
 than the others; they are counted on the executors over at most about ``SAMPLE_ROWS`` labelled
-documents chosen by a hash of the id, and at most ``MOST_TERMS`` terms are kept.
+documents chosen by a hash of the id.  All terms that pass the tests are kept: as each must be in a
+share of ``LEAST_SHARE`` of the toxic documents, their number is at most a document's terms over that share.
 
 Matching.  The trie of terms is intersected with the Levenshtein automaton of each term: a state is a
 set of (trie node, edits so far), made deterministic as words are read and kept for the next
@@ -35,7 +36,6 @@ from ._common import documents, short_batches
 from .language_id import fold
 
 SAMPLE_ROWS = 20_000
-MOST_TERMS = 2_000
 #: A term must be in this share of toxic documents at least, in so many of them, and so much likelier there.
 LEAST_SHARE, LEAST_DOCS, LEAST_RATIO = 0.004, 5, 12.0
 STEMS = (4, 5, 6, 7)
@@ -196,7 +196,7 @@ def _terms(text: str) -> set[str]:
 
 
 def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
-    """(text, toxic) rows -> the terms that stand out in toxic ones, at most ``MOST_TERMS``."""
+    """(text, toxic) rows -> the terms that stand out in toxic ones."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -215,7 +215,7 @@ def learn_lexicon(sample: DataFrame, toxic: int, clean: int) -> Lexicon:
     least = max(LEAST_DOCS, LEAST_SHARE * toxic)
     ratio = ((F.col("bad") + 0.5) / (toxic + 1.0)) / ((F.col("good") + 0.5) / (clean + 1.0))
     counts = sample.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    rows = counts.filter(F.col("bad") >= least).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc("bad"), "term").limit(MOST_TERMS).collect()
+    rows = counts.filter(F.col("bad") >= least).withColumn("ratio", ratio).filter(F.col("ratio") >= LEAST_RATIO).collect()
     return Lexicon({r["term"]: math.log(r["ratio"]) for r in rows})
 
 
