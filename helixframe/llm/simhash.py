@@ -52,7 +52,7 @@ THREE_BLOCKS = ((0, 22, 1, 1), (22, 21, 1, 1), (43, 21, 1, 1))
 TWO_BLOCKS = ((0, 32, 2, 2), (32, 32, 2, 2))
 TWO_BLOCKS_FROM = 200_000_000
 CELL_ROWS = 50_000
-PAIRS_AT_ONCE = 2_000_000
+PAIRS_AT_ONCE = 1_000_000
 #: Hash values turned into bits at once, which bounds the memory that a very long text needs.
 HASHES_AT_ONCE = 65_536
 
@@ -186,7 +186,7 @@ def cell_links(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, threshold: in
         hit = (np.bitwise_count(fp[i] ^ fp[j]) <= threshold) & (i != j)
         found_i.append(i[hit]), found_j.append(j[hit])
         k = upto
-        if sum(map(len, found_i)) > 4 * PAIRS_AT_ONCE:  # keep only a spanning set
+        if sum(map(len, found_i)) > PAIRS_AT_ONCE:  # keep only a spanning set
             lab = _spanning(np.concatenate(found_i), np.concatenate(found_j), len(cell))
             moved = np.flatnonzero(lab != np.arange(len(cell)))
             found_i, found_j = [moved], [lab[moved]]
@@ -197,20 +197,36 @@ def cell_links(cell: np.ndarray, home: np.ndarray, fp: np.ndarray, threshold: in
     return fp[moved], fp[lab[moved]]
 
 
-def met_links(homes: np.ndarray, others: np.ndarray, threshold: int = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Spanning links between homes and others of one cell, a slice of the homes at a time."""
+def met_links(homes: np.ndarray, others: np.ndarray, threshold: int = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between homes and others of one cell, for a slice of the homes at a time.
+
+    Each slice is a table of hits through which the least label is passed on, by rows and by columns, until
+    nothing changes.  What is kept of it are the labels, and a link wherever one label gave way to another.
+    """
+    names = np.concatenate((homes, others))
+    labels = np.arange(len(homes), len(names), dtype=np.int32)
+    far = np.int32(2**31 - 1)
     at_once = max(1, PAIRS_AT_ONCE // max(1, len(others)))
-    for k in range(0, len(homes), at_once):
+    links = [np.zeros((0, 2), np.int32)]
+    for k in range(0, len(homes) if len(others) else 0, at_once):
         some = homes[k : k + at_once]
-        i, j = np.nonzero(np.bitwise_count(some[:, None] ^ others[None, :]) <= threshold)
-        a, b = some[i], others[j]
-        keep = a != b
-        if keep.any():
-            names, flat = np.unique(np.concatenate((a[keep], b[keep])), return_inverse=True)
-            n = int(keep.sum())
-            lab = _spanning(flat[:n], flat[n:], len(names))
-            moved = np.flatnonzero(lab != np.arange(len(names)))
-            yield names[moved], names[lab[moved]]
+        hit = np.bitwise_count(some[:, None] ^ others[None, :]) <= threshold
+        if not hit.any():
+            continue
+        own = np.arange(k, k + len(some), dtype=np.int32)
+        row, column = own, labels
+        while True:
+            new_row = np.minimum(row, np.where(hit, column[None, :], far).min(axis=1))
+            new_column = np.minimum(column, np.where(hit, new_row[:, None], far).min(axis=0))
+            if (new_row == row).all() and (new_column == column).all():
+                break
+            row, column = new_row, new_column
+        moved = np.stack((np.concatenate((own, labels)), np.concatenate((row, column))), axis=1)
+        links.append(np.unique(moved[moved[:, 0] != moved[:, 1]], axis=0))
+        labels = column
+    every = np.concatenate(links)
+    u, v = names[every[:, 0]], names[every[:, 1]]
+    return u[u != v], v[u != v]
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,9 +241,9 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fresh = fp[home]
         if len(fresh):
             before, homes = homes, np.concatenate((homes, fresh))
-            yield from (frame(u, v) for u, v in met_links(before, fresh))
-            yield from (frame(u, v) for u, v in met_links(fresh, fresh))
-        yield from (frame(u, v) for u, v in met_links(homes, fp[~home]))
+            yield frame(*met_links(before, fresh))
+            yield frame(*met_links(fresh, fresh))
+        yield frame(*met_links(homes, fp[~home]))
 
     for b in batches:
         if not len(b):
