@@ -245,7 +245,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Identifier([], [], 1.0, np.zeros((0, CLASSES)))
     rates = spark.createDataFrame([(r["lang"], min(1.0, sample_rows / r["count"])) for r in sizes], "of string, rate double")
     draw = F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.join(rates, F.col("lang") == F.col("of")).filter(draw < F.col("rate")).select("id", "text", "lang")
+    # a number for each language, where the models that all workers get hold some 10,000 n-grams: so no text is shuffled
+    sample = labelled.join(F.broadcast(rates), F.col("lang") == F.col("of")).filter(draw < F.col("rate")).select("id", "text", "lang")
     held = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(HOLD)) == 0
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

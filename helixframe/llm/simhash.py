@@ -295,9 +295,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = keyed(prints, _named(prints, cell_rows), "fp", "key", "n")
     first = out.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x"))
     first = stage(first.select(F.col("x.id").alias("__id"), F.col("x.mark").alias("__kept")), "firsts")
-    marked = docs.withColumn("__mark", mark)
-    kept = marked.join(first, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__mark") == F.col("__kept")), "left_semi")
-    return kept.dropDuplicates(["__mark"]).drop("__mark")
+    # texts are shuffled once: by the hash alone, the ids being compared inside the join
+    own = F.col(id_col).cast("long")
+    same = (own == F.col("__id")) | (own.isNull() & F.col("__id").isNull())
+    kept = docs.withColumn("__mark", mark).join(first, (F.col("__mark") == F.col("__kept")) & same, "left_semi")
+    return kept.dropDuplicates(["__mark", id_col]).drop("__mark")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
