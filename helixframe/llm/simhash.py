@@ -77,17 +77,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int(np.packbits(votes * 2 > len(first), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: Column | None = None) -> DataFrame:
-    """(id, mark, fp long): the fingerprint's bits as a signed long, and a long that is carried along."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", marks: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, fp long, mark0, ..): the fingerprint's bits as a signed long, and longs that are carried along."""
     short_batches(docs.sparkSession)
+    names = [f"mark{i}" for i in range(len(marks))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             fps = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"id": b["id"], "mark": b["mark"], "fp": fps.view(np.int64)})
+            yield pd.DataFrame({"id": b["id"], "fp": fps.view(np.int64), **{m: b[m] for m in names}})
 
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), (mark if mark is not None else F.lit(0)).cast("long").alias("mark"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInPandas(run, "id long, mark long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *[m.alias(n) for m, n in zip(marks, names, strict=True)])
+    return narrow.mapInPandas(run, ", ".join(["id long", "fp long", *[f"{m} long" for m in names]]))
 
 
 @lru_cache(1)
@@ -289,17 +290,18 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cell_rows: int = CELL_ROWS) -> DataFrame:
-    """One row of each near-duplicate group: the one with the least id (null last), of equal ids the one with the least hash of its columns."""
-    mark = F.xxhash64(*docs.columns)
-    prints = stage(fingerprints(docs, id_col, text_col, mark), "prints")
+    """One row of each near-duplicate group: the one with the least id (null last), of equal ids the one with the least hash of its columns.
+
+    Two hashes of all columns, 128 bits together, stand for a row; texts are shuffled once, by them.
+    """
+    marks = (F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns))
+    prints = stage(fingerprints(docs, id_col, text_col, marks), "prints")
     out = keyed(prints, _named(prints, cell_rows), "fp", "key", "n")
-    first = out.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("x"))
-    first = stage(first.select(F.col("x.id").alias("__id"), F.col("x.mark").alias("__kept")), "firsts")
-    # texts are shuffled once: by the hash alone, the ids being compared inside the join
-    own = F.col(id_col).cast("long")
-    same = (own == F.col("__id")) | (own.isNull() & F.col("__id").isNull())
-    kept = docs.withColumn("__mark", mark).join(first, (F.col("__mark") == F.col("__kept")) & same, "left_semi")
-    return kept.dropDuplicates(["__mark", id_col]).drop("__mark")
+    first = out.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark0", "mark1")).alias("x"))
+    first = stage(first.select(F.col("x.mark0").alias("__kept0"), F.col("x.mark1").alias("__kept1")), "firsts")
+    marked = docs.withColumns({"__mark0": marks[0], "__mark1": marks[1]})
+    kept = marked.join(first, (F.col("__mark0") == F.col("__kept0")) & (F.col("__mark1") == F.col("__kept1")), "left_semi")
+    return kept.dropDuplicates(["__mark0", "__mark1"]).drop("__mark0", "__mark1")
 
 
 def op10_query(spark, sf_dir: str) -> DataFrame:
