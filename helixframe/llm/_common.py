@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch.  Texts can be very long, so the library keeps batches short.
 ARROW_ROWS = 1000
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 4 << 20
 
 
 #: Keys with more than this share of all rows are joined by broadcast: there are at most 1 / HOT_SHARE of them.

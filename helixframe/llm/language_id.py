@@ -87,47 +87,53 @@ class Identifier:
     limits: np.ndarray  # a row for each language, a column for each length class
 
 
-def _hash(gram: str) -> np.uint64:
-    h = np.uint64(0)
-    for c in gram:
-        h = h * MULTIPLIER + np.uint64(ord(c) + 1)
+def _hash(codes: np.ndarray) -> np.ndarray:
+    """One hash for each row of character codes."""
+    h = np.zeros(len(codes), np.uint64)
+    for k in range(codes.shape[1]):
+        h = h * MULTIPLIER + codes[:, k].astype(np.uint64) + np.uint64(1)
     return h
 
 
 def kneser_ney(grams: dict[str, int]) -> Model:
-    """Interpolated Kneser-Ney over counts of longest n-grams, as back-off tables of logarithms."""
-    counts: list[Counter] = [Counter() for _ in range(ORDER + 1)]
-    for g, n in grams.items():
-        counts[len(g)][g] += n
-    for k in range(ORDER, 1, -1):  # how many different characters stand before a shorter n-gram
-        for g in counts[k]:
-            counts[k - 1][g[1:]] += 1
-    prob: dict[str, float] = {}
-    back: dict[str, float] = {}
-    alphabet = len(counts[1]) + 1
-    below = {"": 1.0 / alphabet}
+    """Interpolated Kneser-Ney over counts of longest n-grams, as back-off tables of logarithms.
+
+    N-grams are rows of character codes and are told apart by their hashes, as in the finished model, so that a
+    model is made in little more memory than it takes.
+    """
+    names = np.array(list(grams), f"<U{ORDER}")
+    number = np.fromiter(grams.values(), np.int64, len(grams))
+    every = names.view(np.uint32).reshape(len(names), -1) if len(names) else np.zeros((0, ORDER), np.uint32)
+    sizes = np.char.str_len(names)
+    levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    codes, counts = np.zeros((0, ORDER), np.uint32), np.zeros(0, np.int64)
+    for k in range(ORDER, 0, -1):  # of shorter n-grams it counts how many different characters stand before them
+        own = sizes == k
+        codes = np.concatenate((every[own, :k], codes[:, :k]))
+        _, first, place = np.unique(_hash(codes), return_index=True, return_inverse=True)
+        counts = np.bincount(place, weights=np.concatenate((number[own], counts)), minlength=len(first))
+        levels[k] = codes[first], counts
+        codes, counts = codes[first][:, 1:], np.ones(len(first), np.int64)
+    alphabet = len(levels[1][1]) + 1
+    keys, logs = [], []
+    below_keys, below = np.zeros(1, np.uint64), np.full(1, 1.0 / alphabet)
     for k in range(1, ORDER + 1):
-        level = counts[k]
-        ones, twos = sum(v == 1 for v in level.values()), sum(v == 2 for v in level.values())
+        codes, n = levels[k]
+        ones, twos = int((n == 1).sum()), int((n == 2).sum())
         cut = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
-        total, kinds = Counter(), Counter()
-        for g, n in level.items():
-            total[g[:-1]] += n
-            kinds[g[:-1]] += 1
-        for h in total:
-            back[h] = cut * kinds[h] / total[h]
-        now = {}
-        for g, n in level.items():
-            h = g[:-1]
-            lower = below[g[1:]]  # every n-gram's end is an n-gram of the level below
-            now[g] = max(n - cut, 0.0) / total[h] + back[h] * lower
-        prob.update(now)
-        below = now
-    with np.errstate(over="ignore"):
-        keys = np.array([_hash(g) for g in prob] + [_hash(h) ^ CONTEXT for h in back], np.uint64)
-    logs = np.log(np.array([*prob.values(), *back.values()]))
-    order = np.argsort(keys)
-    return Model(keys[order], logs[order].astype(np.float32), float(np.log(1.0 / alphabet)))
+        contexts, of = np.unique(_hash(codes[:, :-1]), return_inverse=True)
+        total, kinds = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+        back = cut * kinds / total
+        lower = below[np.searchsorted(below_keys, _hash(codes[:, 1:]))]  # every n-gram's end is an n-gram of the level below
+        prob = np.maximum(n - cut, 0.0) / total[of] + back[of] * lower
+        own = _hash(codes)
+        keys += [own, contexts ^ CONTEXT]
+        logs += [np.log(prob), np.log(back)]
+        order = np.argsort(own)
+        below_keys, below = own[order], prob[order]
+    flat = np.concatenate(keys)
+    order = np.argsort(flat)
+    return Model(flat[order], np.concatenate(logs)[order].astype(np.float32), float(np.log(1.0 / alphabet)))
 
 
 def _find(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
