@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch.  Texts can be very long, so the library keeps batches short.
 ARROW_ROWS = 1000
 ARROW_BYTES = 4 << 20
+CHARS_AT_ONCE = 500_000
 
 
 #: Keys with more than this share of all rows are joined by broadcast: there are at most 1 / HOT_SHARE of them.
@@ -76,5 +78,18 @@ def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
             spark.conf.set(key, str(most))
 
 
+def slices(texts: list[str], chars: int = CHARS_AT_ONCE) -> Iterator[list[str]]:
+    """The texts in order, cut into lists of about ``chars`` characters, so that few are held as lists of words at once."""
+    part, size = [], 0
+    for t in texts:
+        part.append(t)
+        size += len(t)
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

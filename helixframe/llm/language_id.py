@@ -34,11 +34,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, short_batches
+from ._common import documents, short_batches, slices
 
 ORDER = 5
 SAMPLE_ROWS = 2000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 100_000
 BEGIN, END = "^", "$"
 NONE = "und"
 #: Of a text's letters so many count towards certainty: beyond them, evidence is taken as repeated.
@@ -191,6 +191,9 @@ class Scorer:
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """One row a text: the sums of log-probabilities and the number of characters."""
+        return np.concatenate([np.zeros((0, len(self.models) + 1)), *map(self._totals, slices(texts))])
+
+    def _totals(self, texts: list[str]) -> np.ndarray:
         if len(self.place) > self.kept:
             self.clear()
         cut = [t.lower().split() for t in texts]

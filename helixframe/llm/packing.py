@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import documents, short_batches, stage
+from ._common import documents, short_batches, slices, stage
 
 WINDOW = 1024
 OPEN_WINDOWS = 128
 LEAST_PART = 64
 #: Leftover pieces that one merging task lays out.
 PIECES_A_TASK = 20_000
-WORDS_KEPT = 400_000
+WORDS_KEPT = 200_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -127,6 +127,9 @@ class WordCache:
         return self.wide.search(text) is not None
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        return [ids for part in slices(texts) for ids in self._encode_slice(part)]
+
+    def _encode_slice(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.kept:
             self.known = dict(islice(self.known.items(), self.kept // 2))  # the oldest words are the most frequent ones
         if len(self.first) > self.kept:
