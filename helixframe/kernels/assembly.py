@@ -7,11 +7,10 @@ taken in the order given, and ties between paths are broken by their bases.
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections import defaultdict
 from dataclasses import dataclass, field
 
+from . import seqgraph
 from .align import DANGLING, haplotype_cigar, smith_waterman
 from .cigar import Cigar
 
@@ -93,11 +92,9 @@ def thread(ref: str, runs: list[str], k: int) -> Graph | None:
 
     for sequence, is_ref in [(ref, True), *((r, False) for r in runs)]:
         starts = range(len(sequence) - k + 1)
-        first = 0 if is_ref else next((i for i in starts if sequence[i : i + k] in g.unique), None)
+        first = 0 if is_ref else next((i for i in starts if sequence[i : i + k] not in several), None)
         if first is None:
-            first = next((i for i in starts if sequence[i : i + k] not in several), None)
-            if first is None:
-                continue
+            continue
         v = place(sequence[first : first + k])
         if is_ref:
             g.source = v
@@ -182,6 +179,48 @@ def recover_tails(g: Graph) -> None:
             g.edge(chain[same], path[start + reach - same], 1)
 
 
+def recover_heads(g: Graph) -> None:
+    """Joins branches that begin elsewhere than at the source to the reference where they line up with it.
+
+    A head's first vertex spells a whole k-mer.  Read backwards from where the branch meets the reference it is
+    aligned as a tail is; where its far end agrees with the reference, new vertices lead from there to the branch.
+    """
+    path = reference_path(g)
+    on = {v: i for i, v in enumerate(path)}
+    spelt = g.kmer[path[0]] + "".join(g.kmer[v][-1] for v in path[1:])
+    for head in [v for v in range(len(g.kmer)) if not g.into[v] and g.out[v] and v != g.source and v not in on]:
+        chain, v = [], head
+        while v not in on and len(g.out[v]) == 1 and v not in chain:
+            chain.append(v)
+            (v,) = g.out[v]
+        if v not in on or on[v] == 0:
+            continue
+        branch = g.kmer[head] + "".join(g.kmer[x][-1] for x in chain[1:])
+        along = spelt[: on[v] + g.k - 1]  # the reference up to the base before the one that they share
+        offset, cigar = smith_waterman(along[::-1], branch[::-1], DANGLING)
+        if offset or not cigar or len(cigar) > 3 or cigar[0][0] != "M" or cigar[-1][0] != "M" or len(branch) < LEAST_BRANCH:
+            continue
+        reach = sum(n for op, n in cigar if op in "MD")
+        begin, length = len(along) - reach, cigar[-1][1]
+        wrong = sum(a != b for a, b in zip(along[begin : begin + length], branch[:length], strict=True))
+        if wrong > max(1, length // g.k):
+            continue
+        same = 0
+        while same < min(length, len(branch) - 1) and along[begin + same] == branch[same]:
+            same += 1
+        # the reference vertex whose last base is the last that agrees
+        at = begin + same - 1 - (g.k - 1)
+        if not same or at < 0:
+            continue
+        left, first = path[at], max(0, same - (g.k - 1))
+        for i in range(same, g.k - 1):  # bases of the first k-mer that have no vertex
+            new = g.vertex((g.kmer[left] + branch[i])[-g.k :])
+            g.edge(left, new, 1)
+            left = new
+        if chain[first] not in g.out[left]:
+            g.edge(left, chain[first], 1)
+
+
 def _reach(start: int, step: list[dict[int, int]]) -> set[int]:
     seen, todo = {start}, [start]
     while todo:
@@ -206,31 +245,8 @@ def has_cycle(g: Graph) -> bool:
     return done < len(g.kmer)
 
 
-def best_paths(g: Graph, most: int = MOST_PATHS, expansions: int = MOST_EXPANSIONS) -> list[tuple[float, str]]:
-    """(score, bases) of the best paths from source to sink by the sum of log10 of edge shares."""
-    keep = _reach(g.source, g.out) & _reach(g.sink, g.into)
-    if g.sink not in keep:
-        return []
-    heap = [(0.0, g.kmer[g.source], g.source)]
-    visits: dict[int, int] = defaultdict(int)
-    found = []
-    while heap and len(found) < most:
-        cost, bases, v = heapq.heappop(heap)
-        if v == g.sink:
-            found.append((-cost, bases))
-            continue
-        visits[v] += 1
-        if visits[v] > expansions:
-            continue
-        total = sum(n for w, n in g.out[v].items() if w in keep)
-        for w, n in g.out[v].items():
-            if w in keep:
-                heapq.heappush(heap, (cost - math.log10(n / total), bases + g.kmer[w][-1], w))
-    return found
-
-
-def assemble(ref: str, reads: list[tuple[str, list[int]]], kmers: tuple[int, ...] = KMERS) -> list[Haplotype]:
-    """Haplotypes of a region, the reference first; ``reads`` are (bases, qualities)."""
+def assemble(ref: str, reads: list[tuple[str, list[int]]], kmers: tuple[int, ...] = KMERS, graphs: dict[int, str] | None = None) -> list[Haplotype]:
+    """Haplotypes of a region, the reference first; ``reads`` are (bases, qualities).  ``graphs`` takes each k's graph as DOT."""
     found: dict[str, Haplotype] = {ref: Haplotype(ref, [("M", len(ref))], math.inf, 0, True)}
 
     def attempt(k: int) -> bool:
@@ -241,9 +257,14 @@ def assemble(ref: str, reads: list[tuple[str, list[int]]], kmers: tuple[int, ...
         if has_cycle(g) or not reference_path(g):
             return False
         recover_tails(g)
-        if has_cycle(g):
+        recover_heads(g)
+        keep = _reach(g.source, g.out) & _reach(g.sink, g.into)
+        if has_cycle(g) or g.sink not in keep:
             return False
-        for score, bases in best_paths(g):
+        sequences = seqgraph.simplified(seqgraph.made(g, keep))
+        if graphs is not None:
+            graphs[k] = seqgraph.dot(sequences)
+        for score, bases in seqgraph.best_paths(sequences, MOST_PATHS, MOST_EXPANSIONS):
             if bases in found:
                 continue
             cigar = haplotype_cigar(ref, bases)

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import regioncut
 from ..sources.text import cigar_read_length, cigar_ref_length
+from ..staging import stage
+from . import binned, pileup
 from . import relational as rel
 from .intervals import overlap_join
 
 REVERSE, PAIRED, UNMAPPED, MATE_UNMAPPED, MATE_REVERSE = 0x10, 0x1, 0x4, 0x8, 0x20
-ACTIVE, LEAST_QUALITY, DELETION_QUALITY = 0.002, 11, 30
-CLIP_QUALITY, CLIP_MEAN, CLIP_MOST = 28, 6, 100
-PAD = 100
+#: Qualities from which a base counts for activity and for reference confidence.
+ACTIVE, LEAST_QUALITY, CONFIDENCE_QUALITY = 0.002, 11, 7
+CLIP_MEAN, CLIP_MOST = 6, 100
+PAD, LEAST_LENGTH = 100, 10
+#: A quality is below this; so many read groups at most have their steps broadcast (about a megabyte each).
+QUALITIES, MOST_BROADCAST_GROUPS = 94, 64
 
 
 def filtered(reads: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def well_formed(contigs: DataFrame):
     def apply(reads: DataFrame) -> DataFrame:
         known = contigs.select(F.col("tid").alias("__tid"), F.col("length").alias("__len"))
         ok = (F.col("start") >= 1) & (F.col("end") >= F.col("start")) & F.col("rg").isNotNull() & (F.length("seq") > 0) & (F.length("seq") == cigar_read_length(F.col("cigar"))) & (F.size("qual") == F.length("seq")) & (F.col("start") <= F.col("__len"))
-        return reads.join(F.broadcast(known), F.col("tid") == F.col("__tid")).filter(ok).drop("__tid", "__len")
+        return reads.join(known, F.col("tid") == F.col("__tid")).filter(ok).drop("__tid", "__len")
 
     return apply
 
@@ -43,6 +47,26 @@ def good_cigar(cigar: Column) -> Column:
     return (F.size(core) > 0) & (cigar_ref_length(cigar) > 0) & ~F.coalesce(F.when(F.size(core) > 0, edge), F.lit(True)) & ~F.exists(cigar, lambda c: c["op"] == "N") & ~F.exists(pairs, lambda x: x)
 
 
+def somatic(reads: DataFrame) -> DataFrame:
+    """The filter of tumour samples: as ``filtered``, but a quality of 255 passes."""
+    return reads.filter(rel.usable_flag(F.col("flag")) & (F.col("mapq") >= rel.LEAST_MAPQ))
+
+
+def passing(length: Column, mapq: Column, tid: Column, mtid: Column, mate_placed: Column) -> Column:
+    """Whether a read counts for likelihoods: long enough, well mapped, its mate not on another contig.
+
+    Reads that don't pass still count in a site's depth.
+    """
+    return (length >= LEAST_LENGTH) & (mapq >= rel.LEAST_MAPQ) & (~mate_placed | (tid == mtid))
+
+
+def split_by_passing(reads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(passing, filtered) reads; for reference confidence only the passing ones count."""
+    placed = (F.col("flag").bitwiseAND(PAIRED) != 0) & (F.col("flag").bitwiseAND(MATE_UNMAPPED) == 0) & (F.col("mtid") >= 0)
+    ok = passing(F.length("seq"), F.col("mapq"), F.col("tid"), F.col("mtid"), placed)
+    return reads.filter(ok), reads.filter(~ok)
+
+
 def downsampled(reads: DataFrame, k: int = 50, seed: int = 0) -> DataFrame:
     """At most ``k`` reads that start at a position; 0 keeps all."""
     return rel.reservoir(reads, ["tid", "start"], ["qname", "flag", "read_id"], k, seed)
@@ -56,77 +80,39 @@ def adaptor_boundary(flag: Column, start: Column, mstart: Column, isize: Column)
 
 
 def evidence(reads: DataFrame, reference: DataFrame) -> DataFrame:
-    """(tid, pos, cls, qual, hq_clips): one row per aligned or deleted base, cls 0 for variant evidence.
+    """(tid, bin, pos, cls, qual, hq_clips): one row per aligned or deleted base, cls 0 for variant evidence.
 
-    ``reference`` is (tid, start, bases) in chunks.  The CIGAR is unrolled by arrays, without Python.
+    ``reference`` is (tid, start, bases) in chunks.  See ``operators.pileup``.
     """
-    steps = F.aggregate(
-        "cigar",
-        F.struct(F.col("start").alias("ref"), F.lit(1).alias("read"), F.lit("").alias("prev"), F.array().cast("array<struct<op:string,len:int,ref:int,read:int,prev:string>>").alias("out")),
-        lambda acc, c: F.struct(
-            (acc["ref"] + F.when(c["op"].isin("M", "D", "N", "=", "X"), c["len"]).otherwise(0)).alias("ref"),
-            (acc["read"] + F.when(c["op"].isin("M", "I", "S", "=", "X"), c["len"]).otherwise(0)).alias("read"),
-            c["op"].alias("prev"),
-            F.concat(acc["out"], F.array(F.struct(c["op"].alias("op"), c["len"].alias("len"), acc["ref"].alias("ref"), acc["read"].alias("read"), acc["prev"].alias("prev")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    elements = reads.withColumn("adaptor", adaptor_boundary(F.col("flag"), F.col("start"), F.col("mstart"), F.col("isize"))).withColumn("steps", steps)
-    elements = elements.select("read_id", "tid", "flag", "seq", "qual", "adaptor", "steps", F.posexplode("steps").alias("at", "c"))
-    following = F.coalesce(F.get("steps", F.col("at") + 1)["op"], F.lit(""))
-    used = elements.filter(F.col("c.op").isin("M", "=", "X", "D")).withColumn("next", following)
-    # high-quality soft-clipped bases of the neighbouring clip
-    clip = lambda e: F.size(F.filter(F.slice("qual", e["read"], e["len"]), lambda q: q > CLIP_QUALITY))
-    before, after = F.get("steps", F.col("at") - 1), F.get("steps", F.col("at") + 1)
-    used = used.withColumns({"clip_before": F.when(F.col("c.prev") == "S", clip(before)), "clip_after": F.when(F.col("next") == "S", clip(after))})
-    rows = used.select(
-        "tid", "flag", "adaptor", "c.op", "c.prev", "next", "clip_before", "clip_after", F.col("c.len").alias("len"), F.col("c.ref").alias("ref"),
-        F.when(F.col("c.op") != "D", F.substring(F.col("seq"), F.col("c.read"), F.col("c.len"))).alias("part"),
-        F.when(F.col("c.op") != "D", F.slice("qual", F.col("c.read"), F.col("c.len"))).alias("quals"),
-    )
-    bases = F.when(F.col("op") == "D", F.array_repeat(F.lit(""), F.col("len"))).otherwise(F.split("part", ""))
-    quals = F.when(F.col("op") == "D", F.array_repeat(F.lit(DELETION_QUALITY), F.col("len"))).otherwise(F.col("quals"))
-    each = rows.select("tid", "flag", "adaptor", "op", "prev", "next", "clip_before", "clip_after", "len", "ref", F.posexplode(F.arrays_zip(bases.alias("base"), quals.alias("q"))).alias("i", "b"))
-    each = each.select("*", (F.col("ref") + F.col("i")).alias("pos"), F.col("b.base").alias("base"), F.col("b.q").alias("qual"))
-    reverse = F.col("flag").bitwiseAND(REVERSE) != 0
-    inside = F.col("adaptor").isNull() | F.when(reverse, F.col("pos") > F.col("adaptor")).otherwise(F.col("pos") < F.col("adaptor"))
-    each = each.filter(inside)
-    ref_bases = reference.select(F.col("tid").alias("r_tid"), F.col("start").alias("r_start"), F.posexplode(F.split("bases", "")).alias("r_i", "ref_base")).select("r_tid", (F.col("r_start") + F.col("r_i")).alias("r_pos"), "ref_base")
-    joined = each.join(ref_bases, (F.col("tid") == F.col("r_tid")) & (F.col("pos") == F.col("r_pos")))
-    first, last = F.col("i") == 0, F.col("i") == F.col("len") - 1
-    edge = (first & F.col("prev").isin("S", "I", "D")) | (last & F.col("next").isin("I", "D")) | (last & (F.col("len") > 1) & (F.col("next") == "S"))
-    variant = (F.col("op") == "D") | (F.col("base") != F.col("ref_base")) | edge
-    hq = F.when((F.col("op") != "D") & (F.col("qual") > 10), F.when(first & (F.col("prev") == "S"), F.col("clip_before")).when(last & (F.col("len") > 1) & (F.col("next") == "S"), F.col("clip_after")))
-    return joined.select("tid", F.col("pos").cast("int").alias("pos"), F.when(variant, 0).otherwise(1).alias("cls"), "qual", hq.alias("hq_clips"))
-
-
-def locus_activity(found: DataFrame) -> DataFrame:
-    """(tid, pos, value, extend): probability of a variant, and how far high-quality clips extend it."""
-    clips = found.groupBy("tid", "pos").agg(F.avg("hq_clips").alias("mean")).select("tid", "pos", F.when(F.col("mean") > CLIP_MEAN, F.least(F.lit(CLIP_MOST), F.floor("mean"))).otherwise(0).cast("int").alias("extend"))
-    histogram = rel.quality_histogram(found, ["tid", "pos"], F.col("cls"), F.col("qual"), LEAST_QUALITY)
-    lk = rel.site_likelihoods(histogram, ["tid", "pos"], LEAST_QUALITY)
-    return lk.select("tid", "pos", rel.activity(F.col("l0"), F.col("l1"), F.col("l2")).alias("value")).join(clips, ["tid", "pos"])
-
-
-def active_regions(activity: DataFrame, threshold: float = ACTIVE) -> DataFrame:
+    return pileup.evidence(reads, reference, adaptor_boundary(F.col("flag"), F.col("start"), F.col("mstart"), F.col("isize")))
+
+
+def locus_sums(found: DataFrame) -> DataFrame:
+    """Per-site sums of evidence for activity and for reference confidence, in one aggregation."""
+    return pileup.site_sums(found, LEAST_QUALITY, CONFIDENCE_QUALITY)
+
+
+def locus_activity(sums: DataFrame) -> DataFrame:
+    """(tid, pos, value, extend) from ``locus_sums``: probability of a variant, and how far high-quality clips extend it."""
+    extend = F.when(F.col("clips") > CLIP_MEAN, F.least(F.lit(CLIP_MOST), F.floor("clips"))).otherwise(0).cast("int")
+    return sums.filter("depth > 0").select("tid", "pos", rel.activity(F.col("l0"), F.col("l1"), F.col("l2")).alias("value"), extend.alias("extend"))
+
+
+def active_regions(activity: DataFrame, threshold: float = ACTIVE, width: int = binned.WIDTH) -> DataFrame:
     """(region_id, tid, start, end, active): smoothed activity in runs over the threshold, long runs cut at minima.
 
     Runs are independent of one another, so each is cut in its own group; only active runs reach Python.
     """
     weight = F.when(F.col("extend") > 0, 2 * F.col("extend") + 1).otherwise(1)
-    profile = rel.smoothed(activity, ["tid"], "pos", F.col("value") * weight).filter(F.col("profile") > threshold)
-    from .intervals import islands
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("tid").orderBy("pos")
-    numbered = islands(profile, ["tid"], ["pos"], F.coalesce(F.lag("pos").over(order), F.col("pos") - 2) != F.col("pos") - 1)
+    profile = stage(rel.smoothed(activity, ["tid"], "pos", F.col("value") * weight).filter(F.col("profile") > threshold), "profile")
+    numbered = binned.runs(profile, ["tid"], ["pos"], [], lambda before: before["pos"] == F.col("pos") - 1, width=width)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("pos")
         found = regioncut.cut(frame["pos"].tolist(), frame["profile"].tolist(), threshold)
         return pd.DataFrame([(frame["tid"].iloc[0], a, b, active) for a, b, active in found], columns=["tid", "start", "end", "active"])
 
-    cut = numbered.groupBy("tid", "island").applyInPandas(run, "tid int, start int, end int, active boolean")
+    cut = numbered.select("tid", "pos", "profile", F.col("island.pos").alias("run")).groupBy("tid", "run").applyInPandas(run, "tid int, start int, end int, active boolean")
     return cut.withColumn("region_id", F.col("tid").cast("long") * (1 << 32) + F.col("start")).select("region_id", "tid", "start", "end", "active")
 
 
@@ -136,28 +122,60 @@ def region_reads(regions: DataFrame, reads: DataFrame, pad: int = PAD) -> DataFr
     return overlap_join(reads, spans, ["tid"], ("start", "end"), ("p_start", "p_end"), width=4096)
 
 
+def step_arrays(tables: dict[str, DataFrame], size: int = 2) -> DataFrame:
+    """(rg, base, context, cycle, reach): a read group's steps as arrays that a base's covariates index.
+
+    ``base`` by quality; ``context`` by quality and the context's code; ``cycle`` by quality and cycle, ``reach``
+    being the greatest cycle.  A read group's entries are bounded by a report's columns.
+    """
+    one = F.lit(None).cast("int")
+    code = F.conv(F.translate("key", "ACGT", "0123"), 4, 10).cast("int")
+    rows = tables["base"].select("rg", F.lit(0).alias("kind"), F.col("q").cast("int").alias("q"), one.alias("k"), F.col("value").cast("double").alias("value"))
+    rows = rows.unionByName(tables["context"].filter(F.col("key").rlike(r"^[ACGT]+\z") & (F.length("key") == size)).select("rg", F.lit(1).alias("kind"), F.col("q").cast("int").alias("q"), code.alias("k"), F.col("value").cast("double").alias("value")))
+    rows = rows.unionByName(tables["cycle"].select("rg", F.lit(2).alias("kind"), F.col("q").cast("int").alias("q"), F.col("key").cast("int").alias("k"), F.col("value").cast("double").alias("value")))
+
+    def laid(frame: pd.DataFrame) -> pd.DataFrame:
+        base, context = np.full(QUALITIES, np.nan), np.zeros((QUALITIES, 4**size))
+        part = frame[frame["kind"] == 2]
+        reach = int(part["k"].abs().max()) if len(part) else 0
+        cycle = np.zeros((QUALITIES, 2 * reach + 1))
+        cycle[part["q"].to_numpy(int), part["k"].to_numpy(int) + reach] = part["value"]
+        part = frame[frame["kind"] == 1]
+        context[part["q"].to_numpy(int), part["k"].to_numpy(int)] = part["value"]
+        part = frame[frame["kind"] == 0]
+        base[part["q"].to_numpy(int)] = part["value"]
+        return pd.DataFrame({"rg": [frame["rg"].iloc[0]], "base": [base], "context": [context.ravel()], "cycle": [cycle.ravel()], "reach": [reach]})
+
+    return rows.groupBy("rg").applyInPandas(laid, "rg string, base array<double>, context array<double>, cycle array<double>, reach int")
+
+
 def recalibrated(reads: DataFrame, tables: dict[str, DataFrame], size: int = 2) -> DataFrame:
     """Qualities replaced by report quality plus the steps of read group, quality, context and cycle.
 
     ``tables`` hold precomputed steps, as every datum has one possible prior: ``base`` (rg, q, value),
     ``context`` (rg, q, key, value) and ``cycle`` (rg, q, key, value).  Qualities under 6 stay; results lie in 1..93.
+    A read meets its read group's steps once and its bases look them up in place: no base is shuffled.
     """
+    steps = stage(step_arrays(tables, size), "steps")
+    small = steps.count() <= MOST_BROADCAST_GROUPS
+    names = [F.col("rg").alias("__rg"), F.col("base").alias("__base"), F.col("context").alias("__context"), F.col("cycle").alias("__cycle"), F.col("reach").alias("__reach")]
+    steps = steps.select(*names)
+    met = reads.join(F.broadcast(steps) if small else steps, F.col("rg") == F.col("__rg"), "left")
     reverse, second = F.col("flag").bitwiseAND(REVERSE) != 0, F.col("flag").bitwiseAND(0x80) != 0
     strand = F.when(reverse, F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(F.col("seq"))
-    quals = F.when(reverse, F.reverse("qual")).otherwise(F.col("qual"))
-    each = reads.select("read_id", "rg", "flag", F.size("qual").alias("n"), strand.alias("s"), F.posexplode(quals).alias("i", "q")).withColumn("cycle", F.when(second, -(F.col("i") + 1)).otherwise(F.col("i") + 1))
-    part = F.substring("s", F.col("i") - size + 2, F.lit(size))
-    each = each.withColumn("context", F.when((F.col("i") >= size - 1) & part.rlike(r"^[ACGT]+\z"), part))
-    base = tables["base"].select(F.col("rg").alias("b_rg"), F.col("q").alias("b_q"), F.col("value").alias("b_value"))
-    ctx = tables["context"].select(F.col("rg").alias("c_rg"), F.col("q").alias("c_q"), F.col("key").alias("c_key"), F.col("value").alias("c_value"))
-    cyc = tables["cycle"].select(F.col("rg").alias("y_rg"), F.col("q").alias("y_q"), F.col("key").alias("y_key"), F.col("value").alias("y_value"))
-    joined = (
-        each.join(base, (F.col("rg") == F.col("b_rg")) & (F.col("q") == F.col("b_q")), "left")
-        .join(ctx, (F.col("rg") == F.col("c_rg")) & (F.col("q") == F.col("c_q")) & (F.col("context") == F.col("c_key")), "left")
-        .join(cyc, (F.col("rg") == F.col("y_rg")) & (F.col("q") == F.col("y_q")) & (F.col("cycle") == F.col("y_key")), "left")
-    )
-    new = F.floor(F.coalesce("b_value", F.col("q").cast("double")) + F.coalesce("c_value", F.lit(0.0)) + F.coalesce("y_value", F.lit(0.0)) + 0.5)
-    new = F.when(F.col("q") < 6, F.col("q")).otherwise(F.least(F.lit(93), F.greatest(F.lit(1), new))).cast("int")
-    place = F.when(reverse, F.col("n") - 1 - F.col("i")).otherwise(F.col("i"))
-    quals = joined.groupBy("read_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("i"), new.alias("q")))), lambda x: x["q"]).alias("__qual"))
-    return reads.join(quals.withColumnRenamed("read_id", "__id"), F.col("read_id") == F.col("__id"), "left").withColumn("qual", F.coalesce("__qual", "qual")).drop("__id", "__qual")
+    early = F.array_repeat(F.lit(None).cast("string"), F.least(F.length("seq"), F.lit(size - 1)))
+    parts = F.concat(early, rel.kmer_array(strand, size))
+    codes = F.transform(parts, lambda k: F.when(k.rlike(r"^[ACGT]+\z"), F.conv(F.translate(k, "ACGT", "0123"), 4, 10).cast("int")))
+    met = met.withColumns({"__q": F.when(reverse, F.reverse("qual")).otherwise(F.col("qual")), "__codes": codes, "__second": second})
+
+    def new(x: Column, i: Column) -> Column:
+        q = x["q"]
+        cycle = F.when(F.col("__second"), -(i + 1)).otherwise(i + 1)
+        seen = F.abs(cycle) <= F.col("__reach")
+        by_cycle = F.when(seen, F.get("__cycle", q * (2 * F.col("__reach") + 1) + cycle + F.col("__reach")))
+        by_context = F.when(x["c"].isNotNull(), F.get("__context", q * 4**size + x["c"]))
+        value = F.coalesce(F.nanvl(F.get("__base", q), q.cast("double")), q.cast("double")) + F.coalesce(by_context, F.lit(0.0)) + F.coalesce(by_cycle, F.lit(0.0))
+        return F.when(q < 6, q).otherwise(F.least(F.lit(93), F.greatest(F.lit(1), F.floor(value + 0.5)))).cast("int")
+
+    changed = F.transform(F.arrays_zip(F.col("__q").alias("q"), F.slice("__codes", F.lit(1), F.size("__q")).alias("c")), new)
+    return met.withColumn("qual", F.when(reverse, F.reverse(changed)).otherwise(changed)).select(*reads.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import phred
+from . import binned
 
 LOG10_E = math.log10(math.e)
 
@@ -110,13 +111,11 @@ def smoothed(df: DataFrame, keys: list[str], pos: str, value: Column, reach: int
     return out.groupBy(*keys, pos).agg(F.sum(F.col("__value") * F.col("__w")).alias("profile"))
 
 
-def threshold_sessions(df: DataFrame, keys: list[str], pos: str, value: str, over: float) -> DataFrame:
+def threshold_sessions(df: DataFrame, keys: list[str], pos: str, value: str, over: float, width: int = binned.WIDTH) -> DataFrame:
     """Maximal runs of adjacent positions on one side of a threshold."""
-    order = Window.partitionBy(*keys).orderBy(pos)
-    state = (F.col(value) > over).cast("int")
-    change = (F.coalesce(F.lag("__state").over(order), F.lit(-1)) != F.col("__state")) | (F.coalesce(F.lag(pos).over(order), F.col(pos) - 1) != F.col(pos) - 1)
-    marked = df.withColumn("__state", state).withColumn("__new", change.cast("int")).withColumn("__island", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy(*keys, "__island", F.col("__state").alias("active")).agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.max(value).alias("peak")).drop("__island")
+    marked = df.withColumn("__state", (F.col(value) > over).cast("int"))
+    found = binned.runs(marked, keys, [pos], ["__state"], lambda x: (x["__state"] == F.col("__state")) & (x[pos] == F.col(pos) - 1), "__island", width)
+    return found.groupBy(*keys, "__island", F.col("__state").alias("active")).agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.max(value).alias("peak")).drop("__island")
 
 
 # -- reference-confidence bands --------------------------------------------------------------------------------
@@ -131,24 +130,26 @@ def band(quality: Column, bounds: tuple[int, ...] = BANDS) -> Column:
     return F.array_max(F.filter(F.array(F.lit(0), *[F.lit(b) for b in bounds]), lambda b: b <= q))
 
 
-def banded(df: DataFrame, keys: list[str], start: str, end: str, quality: str, depth: str, pl: list[str] = [], extra: Column | None = None, bounds: tuple[int, ...] = BANDS) -> DataFrame:  # noqa: B006
+def banded(df: DataFrame, keys: list[str], start: str, end: str, quality: str, depth: str, pl: list[str] = [], extra: Column | None = None, bounds: tuple[int, ...] = BANDS, width: int = binned.WIDTH) -> DataFrame:  # noqa: B006
     """Runs of contiguous sites of one band as blocks: END, least quality, median and least depth, least PLs.
 
-    ``extra`` is a further column that must agree within a block (say ploidy or contig of a second kind).
+    ``extra`` is a further column that must agree within a block (say ploidy or contig of a second kind).  A row may
+    span several sites; it counts as often in the median.
     """
-    order = Window.partitionBy(*keys).orderBy(start)
-    own = band(F.col(quality), bounds)
-    marked = df.withColumn("__band", own).withColumn("__extra", extra if extra is not None else F.lit(0))
-    same = (F.lag("__band").over(order) == F.col("__band")) & (F.lag("__extra").over(order) == F.col("__extra")) & (F.col(start) - F.lag(end).over(order) <= 1)
-    marked = marked.withColumn("__new", F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).withColumn("__block", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = df.withColumn("__band", band(F.col(quality), bounds)).withColumn("__extra", extra if extra is not None else F.lit(0))
+
+    def same(x: Column) -> Column:
+        return (x["__band"] == F.col("__band")) & (x["__extra"] == F.col("__extra")) & (F.col(start) - x[end] <= 1)
+
+    marked = binned.runs(marked, keys, [start], [end, "__band", "__extra"], same, "__block", width)
     return (
         marked.groupBy(*keys, "__block", F.col("__band").alias("band"))
         .agg(
             F.min(start).alias("start"),
             F.max(end).alias("end"),
-            F.count("*").alias("n_sites"),
+            F.sum(F.col(end) - F.col(start) + 1).alias("n_sites"),
             F.min(quality).alias("min_gq"),
-            F.floor(F.percentile(depth, F.lit(0.5)) + 0.5).cast("long").alias("median_dp"),
+            F.floor(F.percentile(depth, F.lit(0.5), (F.col(end) - F.col(start) + 1).cast("long")) + 0.5).cast("long").alias("median_dp"),
             F.min(depth).alias("min_dp"),
             *[F.min(p).alias(p) for p in pl],
         )

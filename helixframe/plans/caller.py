@@ -13,17 +13,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..kernels import assembly, cigar as cg, events as ev, pairhmm, stats
+from ..kernels.align import READ, smith_waterman
 from ..kernels.reads import mates_reconciled
 from ..operators import reads as rd
+from ..operators.intervals import overlap_join
 from ..operators.relational import FISHER_LIMIT
-from ..schemas import CALLS
+from ..schemas import CALLS, HAPLOTYPES
+from ..staging import stage
 
 REFERENCE_PAD, LEAST_LENGTH, CONFIDENCE = 100, 10, 30.0
-FLOOR, MOST_ALTS, NO_CALL = 4.5, 6, -0.1
+FLOOR, MOST_ALTS, MOST_ALLELES, NO_CALL = 4.5, 6, 50, -0.1
+#: Padding around substitutions and around indels; how far beyond the intervals reads can matter for what is called inside.
+SNP_PAD, INDEL_PAD, INTERVAL_REACH = 20, 75, 500
 
 
-def _prepared(row, left: int, right: int) -> tuple[str, list[int], int] | None:
-    """A read's bases, qualities and start, clipped to the padded region with poor ends cut; None if little is left."""
+def _prepared(row, left: int, right: int) -> tuple[str, list[int], int, int] | None:
+    """A read's bases, qualities, start and the bases cut from its left, clipped to a span with poor ends cut; None if little is left."""
     parts = [(x["op"], x["len"]) for x in row["cigar"]]
     seq, qual, start = row["seq"], list(row["qual"]), row["start"]
     core, start = cg.soft_clips_reverted(parts, start) if row["isize"] else (cg.soft_clips_hardened(parts), start)
@@ -45,7 +50,7 @@ def _prepared(row, left: int, right: int) -> tuple[str, list[int], int] | None:
         b -= min(over, b - a)
     if b - a < LEAST_LENGTH:
         return None
-    return seq[a:b], qual[a:b], at
+    return seq[a:b], qual[a:b], at, a
 
 
 def _without_adaptor(row, a: int, b: int, at: int) -> tuple[int, int, int]:
@@ -86,30 +91,96 @@ def _odds(table: list[int]) -> float:
     return math.log(r + 1 / r) + math.log(min(a, b) / max(a, b)) - math.log(min(c, d) / max(c, d))
 
 
-def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence: float = CONFIDENCE, gvcf: bool = False, model: str = "conservative") -> list[dict]:
+def variant_span(events: list[ev.Event], first: int, last: int, window: str, window_start: int) -> tuple[int, int] | None:
+    """The span of the events over first..last with its padding, inside the window: more around indels, and over the repeats they stand in."""
+    here = [e for e in events if e[0] <= last and e[1] >= first]
+    if not here:
+        return None
+    pad = SNP_PAD
+    for start, _, was, now in here:
+        if len(was) != len(now):
+            moved = was[len(now) :] or now[len(was) :]
+            unit = ev.repeat_unit(moved)
+            times = ev.repetitions(unit, window[start + 1 - window_start :])
+            pad = max(pad, INDEL_PAD + (len(unit) * times if times > 1 else 0))
+    return max(window_start, min(e[0] for e in here) - pad), min(window_start + len(window) - 1, max(e[1] for e in here) + pad)
+
+
+def trimmed_haplotypes(haps: list[assembly.Haplotype], a: int, b: int) -> list[assembly.Haplotype]:
+    """Haplotypes cut to offsets a..b of the reference window, the reference first, each sequence once; without those that have no base at an end."""
+    out: dict[str, assembly.Haplotype] = {}
+    for h in sorted(haps, key=lambda h: not h.is_ref):
+        bases = cg.bases_covering(h.bases, h.cigar, a, b)
+        cigar = cg.trimmed(h.cigar, a, b, True)[0] if bases else []
+        if bases and cg.read_length(cigar) == len(bases) and bases not in out:
+            out[bases] = assembly.Haplotype(bases, cigar, h.score, h.k, h.is_ref)
+    return list(out.values())
+
+
+def realigned(seq: str, at: int, hap: assembly.Haplotype, window: str, window_start: int) -> tuple[int, cg.Cigar]:
+    """A read's start and CIGAR on the reference by way of the haplotype that it fits best, indels left-aligned."""
+    plain = at, [("M", len(seq))]
+    offset, found = smith_waterman(hap.bases, seq, READ)
+    core = [x for x in found if x[0] != "S"]
+    if not any(op in cg.ALIGNED for op, _ in core):
+        return plain
+    lead, trail = (n if op == "S" else 0 for op, n in (found[0], found[-1]))
+    r = q = 0
+    for op, n in hap.cigar:
+        if op in cg.ON_READ and q + n > offset:
+            r += offset - q if op in cg.ON_REF else 0
+            break
+        q, r = q + (n if op in cg.ON_READ else 0), r + (n if op in cg.ON_REF else 0)
+    try:
+        part, skipped, _ = cg.trimmed(hap.cigar, offset, offset + cg.ref_length(core) - 1, False)
+        out, cut, _ = cg.built(cg.composed(core, part))
+    except ValueError:
+        return plain
+    start = window_start + r + skipped + cut
+    out = cg.left_aligned(window, seq[lead : len(seq) - trail], out, start - window_start)
+    return start, cg.merged([("S", lead), *out, ("S", trail)])
+
+
+def _passes(row) -> bool:
+    """Whether a read counts for likelihoods; others count in depth only."""
+    placed = row["flag"] & rd.PAIRED and not row["flag"] & rd.MATE_UNMAPPED and row["mtid"] >= 0
+    return not placed or row["mtid"] == row["tid"]
+
+
+def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence: float = CONFIDENCE, gvcf: bool = False, model: str = "conservative", floor: int = pairhmm.QUALITY_FLOOR) -> list[dict]:
     """Calls of one region from its reads and its padded reference window."""
     frame = frame.sort_values(["start", "qname", "flag", "read_id"])
     first, last = int(frame["r_start"].iloc[0]), int(frame["r_end"].iloc[0])
-    right = window_start + len(window) - 1
-    usable = []
-    for row in frame.to_dict("records"):
-        got = _prepared(row, window_start, right)
-        if got is not None:
-            usable.append((row, *got))
-    fixed = mates_reconciled([(row["qname"], seq, qual, at) for row, seq, qual, at in usable])
-    usable = [(row, seq, qual, at) for (row, seq, _, at), qual in zip(usable, fixed, strict=True)]
-    haps = assembly.assemble(window, [(seq, qual) for _, seq, qual, _ in usable])
+    records = frame.to_dict("records")
+    aside = [row for row in records if not _passes(row)]
+
+    def within(left: int, right: int) -> list[tuple]:
+        usable = [(row, *got) for row in records if _passes(row) and (got := _prepared(row, left, right)) is not None]
+        fixed = mates_reconciled([(row["qname"], seq, qual, at) for row, seq, qual, at, _ in usable])
+        return [(row, seq, qual, at, skip) for (row, seq, _, at, skip), qual in zip(usable, fixed, strict=True)]
+
+    usable = within(window_start, window_start + len(window) - 1)
+    haps = assembly.assemble(window, [(seq, qual) for _, seq, qual, _, _ in usable])
+    # region, haplotypes and reads are trimmed to the variation and its padding
+    span = variant_span([e for h in haps for e in ev.haplotype_events(h.bases, h.cigar, window, window_start)], first, last, window, window_start)
+    if len(haps) < 2 or not usable or span is None:
+        return []
+    a, b = span
+    haps = trimmed_haplotypes(haps, a - window_start, b - window_start)
+    window, window_start = window[a - window_start : b - window_start + 1], a
+    usable = within(a, b)
     if len(haps) < 2 or not usable:
         return []
     events = [ev.haplotype_events(h.bases, h.cigar, window, window_start) for h in haps]
-    # likelihoods: floored near the best, reads that fit nothing dropped
+    # likelihoods: floored near the best, reads that fit nothing dropped; each read is then laid along its best haplotype
     kept, matrix = [], []
-    for row, seq, qual, at in usable:
-        q = pairhmm.model_qualities(np.array(qual), int(row["mapq"]))
+    for row, seq, qual, at, skip in usable:
+        q = pairhmm.model_qualities(np.array(qual), int(row["mapq"]), floor)
         lk = pairhmm.likelihoods(seq, q, [h.bases for h in haps], pairhmm.gap_penalties(seq, model))
         if lk.max() < -4.0 * min(2.0, np.ceil(0.02 * len(seq))):
             continue
-        kept.append((row, seq, qual, at))
+        start, cigar = realigned(seq, at, haps[int(lk.argmax())], window, window_start)
+        kept.append((row, qual, start, cigar, start + cg.ref_length(cigar) - 1, skip))
         matrix.append(np.maximum(lk, lk.max() - FLOOR))
     if not kept:
         return []
@@ -130,8 +201,8 @@ def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence:
 
         owner = np.array([allele_of(h) for h in range(len(haps))])
         stop = locus + len(ref) - 1
-        near = [i for i, (_, seq, _, at) in enumerate(kept) if at <= stop + 2 and at + len(seq) - 1 >= locus - 2]
-        if not near:
+        near = [i for i, (_, _, start, _, end, _) in enumerate(kept) if start <= stop + 2 and end >= locus - 2]
+        if not near or len(alleles) > MOST_ALLELES:
             continue
         lk = np.stack([matrix[near][:, owner == a].max(axis=1) if (owner == a).any() else np.full(len(near), -1e3) for a in range(len(alleles))], axis=1)
         if len(alleles) > MOST_ALTS + 1:
@@ -176,14 +247,15 @@ def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence:
         rows = [kept[i] for i in near]
         strand = [0, 0, 0, 0]
         base_q, map_q, ends = ([], []), ([], []), ([], [])
-        for pick, (row, seq, quals, at) in zip(picks, rows, strict=True):
+        for pick, (row, quals, start, cigar, _, skip) in zip(picks, rows, strict=True):
             if pick < 0:
                 continue
             side = 1 if pick else 0
             strand[2 * side + (1 if row["flag"] & rd.REVERSE else 0)] += 1
-            offset = locus - at
-            if 0 <= offset < len(seq):
-                base_q[side].append(float(quals[offset])), ends[side].append(float(min(offset, len(seq) - 1 - offset)))
+            place = cg.read_index(cigar, start, locus)
+            if place is not None and place[0] < len(quals):
+                base_q[side].append(float(quals[place[0]]))
+                ends[side].append(float(min(skip + place[0], len(row["seq"]) - 1 - skip - place[0])))
             map_q[side].append(float(row["mapq"]))
         lead, short = ev.trimmed_alleles(names)
         depth = sum(ad)
@@ -199,7 +271,7 @@ def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence:
         mapqs = [r[0]["mapq"] for r in rows if r[0]["mapq"] != 255]
         calls.append({
             "region_id": int(frame["region_id"].iloc[0]), "tid": int(frame["tid"].iloc[0]), "start": locus + lead, "stop": locus + lead + len(short[0]) - 1, "alleles": short, "qual": float(qual),
-            "ac": ac, "af": [a / an if an else 0.0 for a in ac], "an": an, "dp": len(rows), "fs": _log10_fisher(strand), "sor": _odds(strand), "mq": float(np.sqrt(np.mean(np.square(mapqs)))) if mapqs else None,
+            "ac": ac, "af": [a / an if an else 0.0 for a in ac], "an": an, "dp": len(rows) + sum(r["start"] <= stop and r["end"] >= locus for r in aside), "fs": _log10_fisher(strand), "sor": _odds(strand), "mq": float(np.sqrt(np.mean(np.square(mapqs)))) if mapqs else None,
             "qd": min(35.0, float(qual) / depth) if depth else None, "mleac": mle, "mleaf": [min(1.0, m / an) if an else 0.0 for m in mle], "baseq_ranksum": z[0], "mq_ranksum": z[1], "readpos_ranksum": z[2],
             "excess_het": stats.excess_het(*het) if an else None, "gt": gt, "ad": ad, "gq": min(99, order[1] - order[0]), "pl": pl, "sb": strand, "pid": None, "pgt": None, "ps": None, "__name": name,
         })
@@ -207,7 +279,8 @@ def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence:
             if len(alleles[i]) < len(ref):
                 reach = max(reach, stop)
     if gvcf:
-        groups = ev.phase_groups(phase_of, len(haps))
+        # of the assembled haplotypes only those that carry a called variant were called
+        groups = ev.phase_groups(phase_of, len(frozenset().union(*[x for _, x in phase_of])))
         for c in calls:
             if c["__name"] in groups:
                 group, phase = groups[c["__name"]]
@@ -219,11 +292,9 @@ def call_region(frame: pd.DataFrame, window: str, window_start: int, confidence:
     return calls
 
 
-def windows(regions: DataFrame, reference: DataFrame, pad: int = REFERENCE_PAD) -> DataFrame:
+def windows(regions: DataFrame, reference: DataFrame, left: int = REFERENCE_PAD, right: int = REFERENCE_PAD) -> DataFrame:
     """(region_id, w_start, w_bases): each region's padded reference, from chunks by a join on bins."""
-    from ..operators.intervals import overlap_join
-
-    spans = regions.select("region_id", "tid", F.greatest(F.lit(1), F.col("start") - pad).alias("w_start"), (F.col("end") + pad).alias("w_end"))
+    spans = regions.select("region_id", "tid", F.greatest(F.lit(1), F.col("start") - left).alias("w_start"), (F.col("end") + right).alias("w_end"))
     chunks = reference.select(F.col("tid"), F.col("start").alias("c_start"), (F.col("start") + F.length("bases") - 1).alias("c_end"), "bases")
     met = overlap_join(spans, chunks, ["tid"], ("w_start", "w_end"), ("c_start", "c_end"), width=4096)
     begin = F.greatest(F.col("w_start"), F.col("c_start"))
@@ -242,51 +313,68 @@ def selected(reads: DataFrame, depth: int, seed: int, recal: dict[str, DataFrame
 
 
 def haplotypes(reads: DataFrame, reference: DataFrame, depth: int = 50, seed: int = 0) -> DataFrame:
-    """The assembled haplotypes of each active region in the schema of ``schemas.HAPLOTYPES``, for inspection."""
-    from ..schemas import HAPLOTYPES
-
-    used = rd.downsampled(rd.filtered(reads), depth, seed)
-    regions = rd.active_regions(rd.locus_activity(rd.evidence(used, reference))).filter("active")
+    """The assembled haplotypes of each active region in the schema of ``schemas.HAPLOTYPES``, with each graph as DOT, for inspection."""
+    used, sums = prepared(reads, reference, depth=depth, seed=seed)
+    regions = rd.active_regions(rd.locus_activity(sums)).filter("active")
     joined = rd.region_reads(regions, used).join(windows(regions, reference), "region_id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         window, start = frame["w_bases"].iloc[0], int(frame["w_start"].iloc[0])
         frame = frame.sort_values(["start", "qname", "flag", "read_id"])
         parts = [p for row in frame.to_dict("records") if (p := _prepared(row, start, start + len(window) - 1)) is not None]
-        found = assembly.assemble(window, [(seq, qual) for seq, qual, _ in parts])
-        rows = [(int(frame["region_id"].iloc[0]), i, h.is_ref, h.bases, [{"op": op, "len": n} for op, n in h.cigar], None if h.is_ref else h.score, h.k, start) for i, h in enumerate(found)]
-        return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in "region_id, hap_id, is_ref, bases, cigar, score, kmer, ref_start".split(", ")])
+        graphs: dict[int, str] = {}
+        found = assembly.assemble(window, [(seq, qual) for seq, qual, _, _ in parts], graphs=graphs)
+        rows = [(int(frame["region_id"].iloc[0]), i, h.is_ref, h.bases, [{"op": op, "len": n} for op, n in h.cigar], None if h.is_ref else h.score, h.k, start, graphs.get(h.k)) for i, h in enumerate(found)]
+        return pd.DataFrame(rows, columns=[*"region_id hap_id is_ref bases cigar score kmer ref_start".split(), "graph"])
 
-    return joined.groupBy("region_id").applyInPandas(run, HAPLOTYPES)
+    return joined.groupBy("region_id").applyInPandas(run, HAPLOTYPES + ", graph string")
 
 
-def call(reads: DataFrame, reference: DataFrame, intervals: DataFrame | None = None, dbsnp: DataFrame | None = None, mode: str = "VCF", depth: int = 50, confidence: float | None = None, pcr_indel_model: str = "conservative", seed: int = 0, recal: dict[str, DataFrame] | None = None, inspect: DataFrame | None = None) -> DataFrame:
-    """Variant calls in the schema of ``schemas.CALLS`` (with ``ids`` if ``dbsnp`` is given).
+def near_intervals(reads: DataFrame, intervals: DataFrame, reach: int = INTERVAL_REACH) -> DataFrame:
+    """The reads that can matter for what is called inside the intervals."""
+    spans = intervals.select("tid", (F.col("start") - reach).alias("i_start"), (F.col("end") + reach).alias("i_end"))
+    return overlap_join(reads, spans, ["tid"], ("start", "end"), ("i_start", "i_end"), how="left_semi")
 
-    ``reads`` as in ``schemas.READS``; ``reference`` (tid, start, bases) in chunks; ``intervals`` (tid, start, end)
-    restrict where regions are looked for; ``dbsnp`` (tid, start, id, ref, alts, filter); ``recal`` the steps of
-    ``operators.recal.steps``; ``inspect`` contigs against which reads must be well-formed, with good CIGARs.
-    """
-    gvcf = mode.upper() == "GVCF"
-    limit = confidence if confidence is not None else (0.0 if gvcf else CONFIDENCE)
-    used = selected(reads, depth, seed, recal, inspect)
+
+def prepared(reads: DataFrame, reference: DataFrame, intervals: DataFrame | None = None, depth: int = 50, seed: int = 0, recal: dict[str, DataFrame] | None = None, inspect: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(reads that count, per-site sums of their evidence), both written once as each is used twice."""
+    if intervals is not None:
+        reads = near_intervals(reads, intervals)
+    used = stage(selected(reads, depth, seed, recal, inspect), "reads")
     found = rd.evidence(used, reference)
     if intervals is not None:
-        from ..operators.intervals import overlap_join
-
         found = overlap_join(found, intervals.select("tid", F.col("start").alias("i_start"), F.col("end").alias("i_end")), ["tid"], ("pos", "pos"), ("i_start", "i_end"), how="left_semi")
-    regions = rd.active_regions(rd.locus_activity(found)).filter("active")
+    return used, stage(rd.locus_sums(found), "sums")
+
+
+def call_sites(used: DataFrame, sums: DataFrame, reference: DataFrame, dbsnp: DataFrame | None = None, mode: str = "VCF", confidence: float | None = None, pcr_indel_model: str = "conservative", quality_floor: int = pairhmm.QUALITY_FLOOR) -> DataFrame:
+    """Calls from what ``prepared`` returns."""
+    gvcf = mode.upper() == "GVCF"
+    limit = confidence if confidence is not None else (0.0 if gvcf else CONFIDENCE)
+    regions = rd.active_regions(rd.locus_activity(sums)).filter("active")
     joined = rd.region_reads(regions, used).join(windows(regions, reference), "region_id")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         columns = [c.split()[0] for c in CALLS.split(", ")]
-        rows = call_region(frame, frame["w_bases"].iloc[0], int(frame["w_start"].iloc[0]), limit, gvcf, pcr_indel_model)
+        rows = call_region(frame, frame["w_bases"].iloc[0], int(frame["w_start"].iloc[0]), limit, gvcf, pcr_indel_model, quality_floor)
         return pd.DataFrame(rows, columns=columns)
 
     calls = joined.groupBy("region_id").applyInPandas(run, CALLS)
     return annotated(calls, dbsnp) if dbsnp is not None else calls
 
 
+def call(reads: DataFrame, reference: DataFrame, intervals: DataFrame | None = None, dbsnp: DataFrame | None = None, mode: str = "VCF", depth: int = 50, confidence: float | None = None, pcr_indel_model: str = "conservative", seed: int = 0, recal: dict[str, DataFrame] | None = None, inspect: DataFrame | None = None, quality_floor: int = pairhmm.QUALITY_FLOOR) -> DataFrame:
+    """Variant calls in the schema of ``schemas.CALLS`` (with ``ids`` if ``dbsnp`` is given).
+
+    ``reads`` as in ``schemas.READS``; ``reference`` (tid, start, bases) in chunks; ``intervals`` (tid, start, end)
+    restrict where regions are looked for; ``dbsnp`` (tid, start, id, ref, alts, filter); ``recal`` the steps of
+    ``operators.recal.steps``; ``inspect`` contigs against which reads must be well-formed, with good CIGARs;
+    base qualities under ``quality_floor`` count as the lowest.
+    """
+    used, sums = prepared(reads, reference, intervals, depth, seed, recal, inspect)
+    return call_sites(used, sums, reference, dbsnp, mode, confidence, pcr_indel_model, quality_floor)
+
+
 def _trimmed(df: DataFrame, start: str, ref: str, alt: str) -> DataFrame:
     """With (k_start, k_ref, k_alt): the pair without common last, then common first bases; one base stays of each."""
     least = lambda a, b: f"greatest(0, least(length({a}), length({b})) - 1)"
@@ -329,13 +417,13 @@ def vcf_lines(calls: DataFrame, contigs: DataFrame, gvcf: bool = False) -> DataF
     plain = F.concat_ws(":", *fields, joined("pl"), *([joined("sb")] if gvcf else []))
     full = F.concat_ws(":", *fields, "pgt", "pid", joined("pl"), F.col("ps").cast("string"), joined("sb"))
     ids = F.coalesce("ids", F.lit(".")) if "ids" in calls.columns else F.lit(".")
-    known = F.broadcast(contigs.select(F.col("tid").alias("__t"), "name"))
+    known = contigs.select(F.col("tid").alias("__t"), "name")
     line = F.concat_ws("\t", "name", F.col("start").cast("string"), ids, F.col("alleles")[0], F.array_join(F.slice("alleles", 2, F.size("alleles")), ","), num("qual", 2), F.lit("."), info, names, F.when(phased, full).otherwise(plain))
     return calls.join(known, F.col("tid") == F.col("__t")).select("tid", "start", line.alias("line"))
 
 
 HEADER = """##fileformat=VCFv4.2
-##ALT=<ID=NON_REF,Description="Represents any possible alternative allele at this location">
+##ALT=<ID=NON_REF,Description="Any allele other than those called">
 ##FILTER=<ID=LowQual,Description="Low quality">
 ##FORMAT=<ID=AD,Number=R,Type=Integer,Description="Allelic depths">
 ##FORMAT=<ID=DP,Number=1,Type=Integer,Description="Read depth">
@@ -371,12 +459,24 @@ def header_lines(contigs: DataFrame, sample: str, bands: tuple[int, ...] = ()) -
     return [*HEADER.split("\n"), *blocks, *names, "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\t" + sample]
 
 
-def write_vcf(calls: DataFrame, contigs: DataFrame, path: str, sample: str = "sample", gvcf: bool = False, bands: tuple[int, ...] = ()) -> None:
-    """A folder of text parts in genome order: the header comes first, and reading the parts by name gives the file.
+def write_lines(spark, lines: DataFrame, header: list[str], path: str, style: dict | None = None) -> None:
+    """Header and lines (tid, start, line) in genome order as a folder of text parts, whose reading by name gives the file.
 
-    Lines are sorted by range partitioning, so no task holds the whole output; ``.gz`` paths are compressed.
+    Lines are sorted by range partitioning, so no task holds the whole output.  ``.gz`` paths are compressed in blocks
+    that tools can seek in where ``style`` asks for one ``whole`` file (with ``level``, ``index`` and ``md5`` as in ``sources.bgzf``).
     """
-    spark = calls.sparkSession
-    head = spark.createDataFrame([(-1, i, x) for i, x in enumerate(header_lines(contigs, sample, bands))], "tid int, start int, line string")
-    ordered = head.unionByName(vcf_lines(calls, contigs, gvcf)).orderBy("tid", "start", "line").select("line")
-    ordered.write.mode("overwrite").option("compression", "gzip" if path.endswith(".gz") else "none").text(path)
+    head = spark.createDataFrame([(-1, i, x) for i, x in enumerate(header)], "tid int, start int, line string")
+    body = head.unionByName(lines.select("tid", F.col("start").cast("int").alias("start"), "line"))
+    ordered = body.orderBy("tid", "start", "line")
+    style = dict(style or {})
+    if not style.pop("whole", False):
+        ordered.select("line").write.mode("overwrite").option("compression", "gzip" if path.endswith(".gz") else "none").text(path)
+        return
+    from ..sources import bgzf
+
+    bgzf.write_whole(ordered.select("line"), path, **style)
+
+
+def write_vcf(calls: DataFrame, contigs: DataFrame, path: str, sample: str = "sample", gvcf: bool = False, bands: tuple[int, ...] = (), style: dict | None = None) -> None:
+    """Calls as a VCF in genome order."""
+    write_lines(calls.sparkSession, vcf_lines(calls, contigs, gvcf), header_lines(contigs, sample, bands), path, style)

@@ -68,7 +68,7 @@ SELECT user_id, min(s) AS s, max(e) AS e, count(*) AS n_merged FROM i GROUP BY u
 def interval_coalescing(spark, sf_dir):
     """Half-open intervals merged where they overlap."""
     df = events(spark, sf_dir).select("user_id", F.col("sec").alias("s"), (F.col("sec") + 3600).alias("e"))
-    return iv.coalesced(df, ["user_id"], "s", "e")
+    return iv.coalesced(df, ["user_id"], "s", "e", width=21_600)
 
 
 @query(f"""
@@ -151,7 +151,7 @@ SELECT user_id, active, min(pos) AS start, max(pos) AS "end", round(max(profile)
 def active_sessions(spark, sf_dir):
     """Runs of adjacent positions on one side of the activity threshold."""
     profile = rel.smoothed(_hourly(spark, sf_dir), ["user_id"], "pos", F.col("v"), reach=8, sigma=3.0).withColumn("pos", F.col("pos").cast("long"))
-    return rel.threshold_sessions(profile, ["user_id"], "pos", "profile", 0.02).withColumn("peak", F.round("peak", 9))
+    return rel.threshold_sessions(profile, ["user_id"], "pos", "profile", 0.02, width=24).withColumn("peak", F.round("peak", 9))
 
 
 @query(f"""
@@ -164,7 +164,7 @@ SELECT user_id, band, min(site) AS start, max(site) AS "end", count(*) AS n_site
 def gvcf_banding(spark, sf_dir):
     """Contiguous sites of one quality band as blocks."""
     sites = events(spark, sf_dir).groupBy("user_id", F.floor(F.col("sec") / 43200).cast("long").alias("site")).agg(F.min("gq").alias("gq"), F.count("*").alias("dp"), F.min("event_id").alias("pl"))
-    return rel.banded(sites.withColumn("stop", F.col("site")), ["user_id"], "site", "stop", "gq", "dp", ["pl"], bounds=(20, 40, 60))
+    return rel.banded(sites.withColumn("stop", F.col("site")), ["user_id"], "site", "stop", "gq", "dp", ["pl"], bounds=(20, 40, 60), width=5)
 
 
 @query("SELECT l_partkey, l_suppkey % 7 AS allele, max(l_discount * -10 - l_tax) AS lk FROM lineitem GROUP BY 1, 2")
@@ -211,7 +211,7 @@ def top_alleles(spark, sf_dir):
 
 
 @query(f"""
-WITH a AS (SELECT l_orderkey AS site, l_linenumber AS rd, x.j, -0.1 * (l_quantity + 3 * x.j) AS lk FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem WHERE l_orderkey % 10 < 10 GROUP BY 1, 2), (SELECT unnest([0, 1, 2]) AS j) x),
+WITH a AS (SELECT l_orderkey AS site, l_linenumber AS rd, x.j, -0.1 * (l_quantity + 3 * x.j) AS lk FROM (SELECT l_orderkey, l_linenumber, max(l_quantity) AS l_quantity FROM lineitem GROUP BY 1, 2), (SELECT unnest([0, 1, 2]) AS j) x),
 p AS (SELECT a.site, a.j, b.j AS k, CASE WHEN a.j = b.j THEN a.lk + log10(2.0) ELSE {JLS.format(a='a.lk', b='b.lk')} END - log10(2.0) AS one FROM a JOIN a b ON a.site = b.site AND a.rd = b.rd AND a.j <= b.j)
 SELECT site, j, k, (k * (k + 1) / 2 + j)::INT AS genotype, count(*) AS n_reads, round(sum(one), 6) AS gl FROM p GROUP BY site, j, k""")
 def genotype_likelihoods(spark, sf_dir):
@@ -355,7 +355,7 @@ SELECT event_id, user_id, CASE WHEN del THEN s ELSE greatest(s, coalesce(reach,
 def deletion_overlap_repair(spark, sf_dir):
     """Blocks behind deletions dropped or cut."""
     df = events(spark, sf_dir).select("event_id", "user_id", F.col("sec").alias("s"), (F.col("sec") + 1800 + F.col("event_id") % 5400).alias("e"), (F.col("event_type") == "error").alias("del"))
-    return iv.repaired(df, ["user_id"], "s", "e", F.col("del"), ["s", "event_id"]).drop("del")
+    return iv.repaired(df, ["user_id"], "s", "e", F.col("del"), ["s", "event_id"], width=21_600).drop("del")
 
 
 @query(f"""
@@ -365,7 +365,7 @@ SELECT user_id, s AS gap_start, least(s + 7199, b) AS gap_end FROM t""")
 def gap_tiling(spark, sf_dir):
     """Uncovered stretches cut into tiles."""
     df = events(spark, sf_dir).select("user_id", F.col("sec").alias("start"), F.col("sec").alias("end"))
-    return iv.tiled(iv.gaps(df, ["user_id"]), 7200, "gap_start", "gap_end")
+    return iv.tiled(iv.gaps(df, ["user_id"], width=21_600), 7200, "gap_start", "gap_end")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.k IS NOT NULL AS in_a, b.k IS NOT NULL AS in_b FROM (SELECT n_nationkey AS k, n_regionkey AS r FROM nation) a FULL JOIN (SELECT s_nationkey AS k, (min(s_suppkey) % 5)::INT AS r FROM supplier GROUP BY 1) b ON a.k = b.k WHERE a.r IS DISTINCT FROM b.r")
@@ -407,9 +407,9 @@ WITH e AS (SELECT user_id, event_id, sec AS pos, CASE WHEN event_type = 'error'
 SELECT user_id, event_id, pos, coalesce(max(del_end) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= pos, false) AS covered FROM e""")
 def upstream_deletions(spark, sf_dir):
     """Whether a deletion that began before still covers a site."""
-    ev = events(spark, sf_dir)
-    reach = iv.upstream_end(["user_id"], ["sec", "event_id"], F.when(F.col("event_type") == "error", F.col("sec") + F.col("event_id") % 20000))
-    return ev.select("user_id", "event_id", F.col("sec").alias("pos"), F.coalesce(reach >= F.col("sec"), F.lit(False)).alias("covered"))
+    far = F.when(F.col("event_type") == "error", F.col("sec") + F.col("event_id") % 20000)
+    ev = iv.upstream_end(events(spark, sf_dir), ["user_id"], ["sec", "event_id"], far, "reach", width=21_600)
+    return ev.select("user_id", "event_id", F.col("sec").alias("pos"), F.coalesce(F.col("reach") >= F.col("sec"), F.lit(False)).alias("covered"))
 
 
 @query("SELECT o_custkey, count(*) AS n, min(o_orderkey) - 20 AS trim_start, max(o_orderkey) + 20 AS trim_end FROM orders GROUP BY 1")

@@ -85,8 +85,10 @@ def record(data: bytes, number: int) -> tuple:
 
 
 class Split(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """A byte range of a file; ``chunk`` is a range of virtual places that an index gave in its stead."""
+
+    def __init__(self, path: str, start: int, end: int, chunk: tuple[int, int] | None = None):
+        self.path, self.start, self.end, self.chunk = path, start, end, chunk
 
 
 def _open(path: str):
@@ -96,19 +98,124 @@ def _open(path: str):
     return system, inner
 
 
+def head_of(system, inner: str) -> tuple[str, list[tuple[str, int]], int] | None:
+    """(text, contigs, length of the header in bytes) of a file."""
+    with system.open_input_file(inner) as f:
+        data = b""
+        for _, content in blocks(f, 0, f.size()):
+            data += content
+            if (known := header(data)) is not None:
+                return known
+    return None
+
+
+def index_path(system, inner: str) -> str | None:
+    """Where a file's index lies: beside it, with its suffix added or in place of the file's."""
+    for name in (inner + ".bai", inner.removesuffix(".bam") + ".bai"):
+        if system.get_file_info(name).is_file:
+            return name
+    return None
+
+
+def make_index(path: str) -> None:
+    """Writes the index of a sorted BAM file beside it."""
+    from . import bai
+
+    system, inner = _open(path)
+    known = head_of(system, inner)
+    found = []
+    with system.open_input_file(inner) as f:
+        buffer, places = b"", []  # bytes not yet used, and (offset in the buffer, place) of each block in it
+        skip = known[2]
+        for place, content in blocks(f, 0, f.size()):
+            places.append((len(buffer), place))
+            buffer += content
+            at = 0
+            if skip:
+                at = min(skip, len(buffer))
+                skip -= at
+            while len(buffer) - at >= 4 and len(buffer) - at >= 4 + (n := struct.unpack("<i", buffer[at : at + 4])[0]):
+                body = buffer[at + 4 : at + 4 + n]
+                tid, pos, name_size, _, _, ops = struct.unpack("<iiBBHH", body[:14])
+                cigar = struct.unpack(f"<{ops}I", body[32 + name_size : 32 + name_size + 4 * ops])
+                used = sum(x >> 4 for x in cigar if OPS[x & 15] in "MDN=X")
+                begin, end = _virtual(places, at), _virtual(places, at + 4 + n - 1) + 1
+                found.append((tid, pos, pos + max(used, 1), begin, end))
+                at += 4 + n
+            buffer = buffer[at:]
+            places = [(max(0, o - at), p) if o > at else (o - at, p) for o, p in places if o + 65536 * 4 > at]
+    with system.open_output_stream(inner + ".bai") as sink:
+        sink.write(bai.made(len(known[1]), found))
+
+
+def _virtual(places: list[tuple[int, int]], at: int) -> int:
+    offset, place = next(x for x in reversed(places) if x[0] <= at)
+    return place << 16 | at - offset
+
+
 class BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], split: int):
-        self.paths, self.split = paths, split
+    """Splits by byte ranges; with regions and an index by the index's chunks, so that other blocks are never read."""
+
+    def __init__(self, paths: list[str], split: int, regions: list[tuple[str | int, int, int]] | None = None):
+        self.paths, self.split, self.regions = paths, split, regions
+
+    def _spans(self, contigs: list[tuple[str, int]]) -> list[tuple[int, int, int]]:
+        """Regions as (tid, start, end), 0-based and half-open."""
+        number = {name: i for i, (name, _) in enumerate(contigs)}
+        return [(c if isinstance(c, int) else number.get(c, -1), max(0, a - 1), b) for c, a, b in self.regions or []]
 
     def partitions(self) -> list[InputPartition]:
-        out = []
+        from . import bai
+
+        out: list[InputPartition] = []
         for path in self.paths:
             system, inner = _open(path)
-            size = system.get_file_info(inner).size
-            out += [Split(path, a, min(size, a + self.split)) for a in range(0, size, self.split)]
-        return out
+            info = system.get_file_info(inner)
+            if not info.is_file:
+                raise FileNotFoundError(path)
+            index = index_path(system, inner) if self.regions is not None else None
+            if index is not None and (known := head_of(system, inner)) is not None:
+                with system.open_input_file(index) as f:
+                    chunks = bai.search(bai.parse(f.read()), self._spans(known[1]))
+                out += [Split(path, a >> 16, b >> 16, (a, b)) for a, b in chunks]
+            else:
+                out += [Split(path, a, min(info.size, a + self.split)) for a in range(0, info.size, self.split)]
+        return out or [Split(self.paths[0], 0, 0)]
 
     def read(self, part: Split) -> Iterator[tuple]:
+        rows = self._chunk(part) if part.chunk else self._range(part) if part.end > part.start else iter(())
+        if self.regions is None:
+            yield from rows
+            return
+        system, inner = _open(part.path)
+        known = head_of(system, inner)
+        spans = self._spans(known[1]) if known else []
+        for r in rows:  # a read that meets several regions is given once
+            if any(t == r[3] and r[4] - 1 < b and r[5] > a for t, a, b in spans):
+                yield r
+
+    def _chunk(self, part: Split) -> Iterator[tuple]:
+        """The records that begin between two virtual places."""
+        begin, stop = part.chunk
+        system, inner = _open(part.path)
+        with system.open_input_file(inner) as f:
+            buffer, places, at, number = b"", [], begin & 0xFFFF, begin
+            for place, content in blocks(f, begin >> 16, f.size()):
+                places.append((len(buffer), place))
+                buffer += content
+                while len(buffer) - at >= 4 and len(buffer) - at >= 4 + (n := struct.unpack("<i", buffer[at : at + 4])[0]):
+                    if _virtual(places, at) >= stop:
+                        return
+                    yield record(buffer[at + 4 : at + 4 + n], number)
+                    number += 1
+                    at += 4 + n
+                if place << 16 >= stop and len(buffer) - at == 0:
+                    return
+                keep = [x for x in places if x[0] <= at][-1:] + [x for x in places if x[0] > at]
+                cut = min(at, keep[0][0]) if keep else 0
+                buffer, at, places = buffer[cut:], at - cut, [(o - cut, p) for o, p in keep]
+
+    def _range(self, part: Split) -> Iterator[tuple]:
         """Records whose first byte lies in a block that begins in the split."""
         system, inner = _open(part.path)
         with system.open_input_file(inner) as f:
@@ -163,6 +270,27 @@ class BamReader(DataSourceReader):
                 at += 4 + n
 
 
+class PushdownReader(BamReader):
+    """A reader that takes filters on ``tid``, ``start`` and ``end`` as a region; Spark must have ``spark.sql.python.filterPushdown.enabled``."""
+
+    def pushFilters(self, filters):
+        """Takes a contig's number and bounds of the start as a region; all filters are still applied behind the scan."""
+        from pyspark.sql.datasource import EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual
+
+        tid, least, most = None, 1, 1 << 29
+        for f in filters:
+            name = getattr(f, "attribute", None)
+            if name == ("tid",) and isinstance(f, EqualTo):
+                tid = f.value
+            elif name == ("start",) and isinstance(f, (LessThan, LessThanOrEqual, EqualTo)):
+                most = min(most, f.value)
+            elif name in (("end",), ("start",)) and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                least = max(least, f.value)
+            yield f
+        if tid is not None and tid >= 0 and self.regions is None and least <= most:
+            self.regions = [(int(tid), int(least), int(most))]
+
+
 def _first_record(data: bytes, contigs: int) -> int:
     """The first offset at which a chain of plausible records begins.  Writers start blocks at records, so this is mostly 0."""
 
@@ -193,4 +321,10 @@ class BamSource(DataSource):
         return READS
 
     def reader(self, schema) -> DataSourceReader:
-        return BamReader(self.options["path"].split(","), int(self.options.get("split", 64 << 20)))
+        """Options: ``path`` (several by commas), ``split`` bytes, ``regions`` as name:start-end by semicolons, 1-based and closed; ``pushdown`` true."""
+        text = self.options.get("regions")
+        regions = None
+        if text is not None:
+            regions = [(name, *map(int, span.split("-"))) for name, _, span in (x.rpartition(":") for x in text.split(";") if x)]
+        kind = PushdownReader if self.options.get("pushdown", "false").lower() == "true" else BamReader
+        return kind(self.options["path"].split(","), int(self.options.get("split", 64 << 20)), regions)

@@ -63,9 +63,34 @@ def cigar_read_length(cigar: Column) -> Column:
     return F.aggregate(cigar, F.lit(0), lambda acc, c: acc + F.when(c["op"].isin("M", "I", "S", "=", "X"), c["len"]).otherwise(0))
 
 
+def header_of(path: str, mark: str = "@", chars: int = 1 << 20) -> list[str] | None:
+    """The lines that begin with ``mark`` at a file's beginning, read no further; None where only Spark can open the path."""
+    from pyarrow import fs
+    from pyarrow.lib import ArrowInvalid
+
+    try:
+        system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        if not system.get_file_info(inner).is_file:
+            return None
+    except (ArrowInvalid, OSError):
+        return None
+    out, rest = [], b""
+    with system.open_input_stream(inner) as f:
+        while data := f.read(chars):
+            *lines, rest = (rest + data).split(b"\n")
+            for line in lines:
+                if not line.startswith(mark.encode()):
+                    return out
+                out.append(line.decode().rstrip("\r"))
+    return [*out, rest.decode()] if rest.startswith(mark.encode()) else out
+
+
 def sam_header(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(contigs, read groups) from the header lines."""
-    heads = [r["value"] for r in spark.read.text(path).filter(F.col("value").rlike("^@(SQ|RG)\t")).collect()]
+    known = header_of(path)
+    if known is None:  # a folder of parts, or a file system of Spark's own
+        known = [r["value"] for r in spark.read.text(path).filter(F.col("value").rlike("^@(SQ|RG)\t")).collect()]
+    heads = [h for h in known if h[:4] in ("@SQ\t", "@RG\t")]
     tags = [(h[1:3], dict(x.split(":", 1) for x in h.split("\t")[1:])) for h in heads]
     contigs = [(i, t["SN"], int(t["LN"])) for i, t in enumerate(t for kind, t in tags if kind == "SQ")]
     groups = [(i, t) for i, t in enumerate(t for kind, t in tags if kind == "RG")]
@@ -84,7 +109,7 @@ def sam(spark: SparkSession, path: str, contigs: DataFrame | None = None) -> Dat
     )
     names = known.select(F.col("name").alias("__n"), F.col("tid").alias("__t"))
     mates = known.select(F.col("name").alias("__m"), F.col("tid").alias("__mt"))
-    out = cut.join(F.broadcast(names), F.col("rname") == F.col("__n"), "left").join(F.broadcast(mates), F.col("rnext") == F.col("__m"), "left")
+    out = cut.join(names, F.col("rname") == F.col("__n"), "left").join(mates, F.col("rnext") == F.col("__m"), "left")
     quals = F.when(F.col("q") == "*", F.array_repeat(F.lit(0), F.length("seq"))).otherwise(F.transform(F.split("q", ""), lambda c: F.ascii(c) - 33))
     return out.select(
         F.monotonically_increasing_id().alias("read_id"), "qname", "flag", F.coalesce("__t", F.lit(-1)).alias("tid"), "start", (F.col("start") + cigar_ref_length(F.col("cigar")) - 1).cast("int").alias("end"),

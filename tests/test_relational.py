@@ -181,12 +181,15 @@ def test_report(spark, tmp_path):
 
 def test_reference_confidence(spark):
     rows = [(0, p, 1, 30, None) for p in range(1, 31) for _ in range(10)] + [(0, 15, 0, 30, None)] * 8
-    ev = spark.createDataFrame(rows, "tid int, pos int, cls int, qual int, hq_clips int")
-    sites = gvcf.site_confidence(ev).cache()
+    ev = spark.createDataFrame(rows, "tid int, pos int, cls int, qual int, hq_clips int").withColumn("bin", F.lit(0))
+    sites = gvcf.site_confidence(rd.locus_sums(ev)).cache()
     assert sites.filter("pos = 15").first()["gq"] == 0 and sites.filter("pos = 3").first()["dp"] == 10
     found = gvcf.blocks(sites).orderBy("start").collect()
     assert [(r["start"], r["end"]) for r in found] == [(1, 14), (15, 15), (16, 30)]
     calls = spark.createDataFrame([(0, 10, 19, ["ACGTACGTAC", "A"])], "tid int, start int, stop int, alleles array<string>")
-    cut = gvcf.stitched(gvcf.blocks(sites), calls).orderBy("start").collect()
-    assert [(r["start"], r["end"]) for r in cut] == [(1, 14), (10, 19), (20, 30)]
     assert [(r["start"], r["end"]) for r in gvcf.blocks(sites, calls).orderBy("start").collect()] == [(1, 9), (20, 30)]
+    # with targets each of their positions is in a block or a call, at any width of bins
+    targets = spark.createDataFrame([(0, 5, 40), (0, 60, 70)], "tid int, start int, end int")
+    for width in (7, 1 << 20):
+        whole = [(r["start"], r["end"], r["dp"]) for r in gvcf.blocks(sites.filter("pos between 5 and 28"), calls, targets=targets, width=width).orderBy("start").collect()]
+        assert whole == [(5, 9, 10), (20, 28, 10), (29, 40, 0), (60, 70, 0)]
