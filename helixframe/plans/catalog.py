@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import phred
+from ..operators import annotation
 from ..operators import intervals as iv
 from ..operators import relational as rel
 
@@ -263,9 +264,8 @@ def rank_sum(spark, sf_dir):
 def site_annotations(spark, sf_dir):
     """Depth, RMS mapping quality, quality by depth and chromosome counts."""
     dose = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
-    out = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("dp"), rel.rms(F.col("l_quantity")).alias("mq"), F.sum("l_discount").alias("d"), F.sum(dose).alias("ac"))
-    an = 2 * F.col("dp")
-    return out.select("l_suppkey", "dp", F.round("mq", 6).alias("mq"), F.round(rel.quality_by_depth(F.col("d") * 1000, F.col("dp")), 6).alias("qd"), an.alias("an"), "ac", F.round(F.col("ac") / an.cast("double"), 9).alias("af"))
+    out = annotation.site_annotations(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", F.col("l_discount") * 1000, dose)
+    return out.select("l_suppkey", "dp", F.round("mq", 6).alias("mq"), F.round("qd", 6).alias("qd"), "an", "ac", F.round("af", 9).alias("af"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, round(pow(10.0, -l_quantity / 10), 12) AS p_err, round(abs(-10 * log10(l_discount + 0.001)), 6) AS phred,
@@ -396,10 +396,8 @@ def mate_overlap_quality(spark, sf_dir):
     ev = events(spark, sf_dir).withColumn("name", F.floor(F.col("sec") / 600))
     a = ev.select("user_id", "name", F.col("event_id").alias("read_id"), F.col("event_type").alias("b1"), F.col("gq").alias("g1"))
     b = ev.select("user_id", "name", F.col("event_id").alias("mate_id"), F.col("event_type").alias("b2"), F.col("gq").alias("g2"))
-    same = F.col("b1") == F.col("b2")
-    zero = F.lit(0).cast("long")
-    cap = lambda g: F.when(same, F.least(F.col(g), F.lit(20).cast("long"))).otherwise(zero)
-    return a.join(b, ["user_id", "name"]).filter("read_id < mate_id").select("user_id", "read_id", "mate_id", cap("g1").alias("q1"), cap("g2").alias("q2"))
+    q1, q2 = annotation.mates_capped(F.col("b1"), F.col("b2"), F.col("g1"), F.col("g2"))
+    return a.join(b, ["user_id", "name"]).filter("read_id < mate_id").select("user_id", "read_id", "mate_id", q1.alias("q1"), q2.alias("q2"))
 
 
 @query(f"""
@@ -415,7 +413,7 @@ def upstream_deletions(spark, sf_dir):
 @query("SELECT o_custkey, count(*) AS n, min(o_orderkey) - 20 AS trim_start, max(o_orderkey) + 20 AS trim_end FROM orders GROUP BY 1")
 def trim_spans(spark, sf_dir):
     """Span of a region's events with its padding."""
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), (F.min("o_orderkey") - 20).alias("trim_start"), (F.max("o_orderkey") + 20).alias("trim_end"))
+    return annotation.trim_spans(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderkey", "o_orderkey", F.lit(20))
 
 
 @query("""
