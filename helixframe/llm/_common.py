@@ -3,39 +3,20 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import shared_dir, stage  # noqa: F401 (the operators take them from here)
+
 #: Rows in one Arrow batch.  Texts can be very long, so the library keeps batches short.
 ARROW_ROWS = 1000
 ARROW_BYTES = 4 << 20
+#: Characters that are held as lists of words at once.
 CHARS_AT_ONCE = 500_000
-
-
 #: Keys with more than this share of all rows are joined by broadcast: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 0.001
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir).
-
-    Where it is unset a temporary folder is chosen, but only for a local master: on a cluster
-    a machine-local folder would be invisible to the other executors.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-    return _local[app]
 
 
 def keyed(rows: DataFrame, answers: DataFrame, row_key: str, answer_key: str, weight: str) -> DataFrame:
@@ -51,21 +32,6 @@ def keyed(rows: DataFrame, answers: DataFrame, row_key: str, answer_key: str, we
     return met.filter(F.col(answer_key).isNotNull()).unionByName(cold.join(answers.filter(F.col(weight) <= F.lit(HOT_SHARE * total)), F.col(row_key) == F.col(answer_key)))
 
 
-def stage(df: DataFrame, what: str = "stage") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    This cuts lineage in files that survive the loss of any executor.  The files are removed
-    when the session's file system closes.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def short_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound an Arrow batch in rows and bytes, so that a Python worker never holds thousands of long texts.
 

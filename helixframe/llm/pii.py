@@ -25,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._arrays import before, ends, let, running
+from ..functions.arrays import before, ends, let, running
 from ._common import documents, stage
 
 KINDS = ("email", "ip", "card", "phone")

@@ -171,6 +171,18 @@ def test_packing_is_exact(docs, none):
     assert packing.pack(none, tokenizer()).count() == 0
 
 
+def test_fast_encoder_on_every_character():
+    # the second encoder against the tokenizer on all characters that a text can hold, alone, doubled and beside letters
+    from tokenizers import Tokenizer
+
+    plain, cache = Tokenizer.from_file(tokenizer()), packing.WordCache(tokenizer())
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x3400 or c % 7 == 0 or 0xA000 <= c < 0x20000 and c % 2 == 0)]
+    for k in range(0, len(points), 4000):
+        words = [w for c in points[k : k + 4000] for ch in [chr(c)] for w in (ch, f"a{ch}b{ch}{ch}") if w.strip(" ") == w and w]
+        texts = [f"x {w} y" for w in words]
+        assert cache.encode(texts) == [np.asarray(e.ids, "<u4").tobytes() for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 def test_word_cache_equals_tokenizer():
     cache = packing.WordCache(tokenizer(), kept=50)
     r = random.Random(1)
