@@ -90,7 +90,7 @@ def model_qualities(spark, sf_dir):
 
 
 @query("""
-WITH q AS (SELECT l_orderkey, array_agg((l_quantity / 2.5)::INT ORDER BY l_linenumber, l_partkey, l_suppkey) AS q FROM lineitem GROUP BY 1)
+WITH q AS (SELECT l_orderkey, array_agg((l_quantity / 2.5)::INT ORDER BY l_linenumber, l_partkey, l_suppkey, (l_quantity / 2.5)::INT) AS q FROM lineitem GROUP BY 1)
 SELECT l_orderkey, list_min(list_filter(range(0, len(q)), lambda i: q[i + 1] > 9))::INT AS "first", list_max(list_filter(range(0, len(q)), lambda i: q[i + 1] > 9))::INT AS "last" FROM q""")
 def poor_ends(spark, sf_dir):
     """What is left of a read once ends of poor quality are cut."""

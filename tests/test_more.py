@@ -9,7 +9,7 @@ from helixframe import cli
 from helixframe.kernels.reads import mates_reconciled, rules_out_indels
 from helixframe.operators import relational as rel
 from helixframe.operators.recal import steps
-from helixframe.streaming.activity import site_likelihood_stream
+from helixframe.streaming import activity
 
 from . import simulate
 
@@ -43,11 +43,11 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         df.filter(f"pos % 3 = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = site_likelihood_stream(stream, "sites")
+    query = activity.keep_histogram(stream, str(tmp_path / "out"), str(tmp_path / "state"))
     query.processAllAvailable()
     query.stop()
     want = rel.quality_histogram(df, ["tid", "pos"], df["cls"], df["qual"], 11)
-    assert sorted(spark.table("sites").collect()) == sorted(want.collect())
+    assert sorted(activity.kept_histogram(spark, str(tmp_path / "out")).select(*want.columns).collect()) == sorted(want.collect())
 
 
 @pytest.mark.parametrize("mode", ["NONE", "GVCF"])
@@ -70,6 +70,28 @@ def test_command_line(spark, tmp_path, mode):
         assert len(spans) > 3 and all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False))
 
 
+def test_targets_flags_and_whole_output(spark, tmp_path):
+    ref = simulate.genome(1300, 11)
+    truth = simulate.plant(ref, 4)
+    (tmp_path / "r.fa").write_text(">c1\n" + "\n".join(ref[i : i + 60] for i in range(0, len(ref), 60)) + "\n")
+    (tmp_path / "r.fa.fai").write_text(f"c1\t{len(ref)}\t4\t60\t61\n")
+    body = ["\t".join([r[1], str(r[2]), "c1", str(r[4]), "60", "".join(f"{n}{op}" for op, n in r[7]), "*", "0", "0", r[11], "".join(chr(q + 33) for q in r[12]), "RG:Z:rg1"]) for r in simulate.reads(ref, truth)]
+    (tmp_path / "r.sam").write_text("\n".join(["@SQ\tSN:c1\tLN:1300", *body]) + "\n")
+    out = tmp_path / "o.vcf.gz"
+    start = truth[0][0]
+    args = ["-I", str(tmp_path / "r.sam"), "-R", str(tmp_path / "r.fa"), "-O", str(out), "-T", f"c1:{start - 30}-{start + 30}", "--whole", "--md5", "-Q", "20", "--assemble-output", str(tmp_path / "haps")]
+    cli.run(spark, cli.parser().parse_args(args))
+    import gzip
+
+    lines = [x for x in gzip.decompress(out.read_bytes()).decode().splitlines() if not x.startswith("#")]
+    assert {int(x.split("\t")[1]) for x in lines} == {start}
+    assert (tmp_path / "o.vcf.gz.tbi").exists() and (tmp_path / "o.vcf.gz.md5").exists()
+    assert spark.read.parquet(str(tmp_path / "haps")).filter("graph like 'digraph%'").count() >= 1
+    (tmp_path / "w.sam").write_text("\n".join(["@SQ\tSN:c1\tLN:1301", *body]) + "\n")
+    with pytest.raises(ValueError, match="contigs"):
+        cli.run(spark, cli.parser().parse_args(["-I", str(tmp_path / "w.sam"), *args[2:]]))
+
+
 def test_arguments():
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["-I", "a", "-R", "b", "-O", "c", "-D", "-1"])
