@@ -28,6 +28,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,9 @@ from ._common import documents, short_batches, slices
 
 ORDER = 5
 SAMPLE_ROWS = 2000
-WORDS_KEPT = 100_000
+WORDS_KEPT = 150_000
+#: Models whose arrays are searched together.
+MODELS_AT_ONCE = 4
 BEGIN, END = "^", "$"
 NONE = "und"
 #: Of a text's letters so many count towards certainty: beyond them, evidence is taken as repeated.
@@ -136,45 +139,64 @@ def kneser_ney(grams: dict[str, int]) -> Model:
     return Model(flat[order], np.concatenate(logs)[order].astype(np.float32), float(np.log(1.0 / alphabet)))
 
 
-def _find(model: Model, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(model.keys, keys), len(model.keys) - 1)
-    hit = model.keys[at] == keys
-    return hit, np.where(hit, model.logs[at], 0.0)
+class Tables:
+    """The sorted hash arrays of a few models as one: a row of logarithms for each hash, NaN where a model lacks it."""
 
+    def __init__(self, models: list[Model]):
+        self.keys = np.unique(np.concatenate([m.keys for m in models]))
+        self.logs = np.full((len(self.keys), len(models)), np.nan, np.float32)
+        for j, m in enumerate(models):
+            self.logs[np.searchsorted(self.keys, m.keys), j] = m.logs
+        self.unseen = np.array([m.unseen for m in models])
 
-def score_words(words: list[str], models: list[Model]) -> np.ndarray:
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where((self.keys[at] == hashes)[:, None], self.logs[at], np.nan)
+
+    def score(self, hashes: list[np.ndarray], place: np.ndarray) -> np.ndarray:
+        """A row of log-probabilities for each character but the first of a run; ``hashes`` by the n-gram's length."""
+        log = np.zeros((len(place), len(self.unseen)))
+        open_ = np.repeat((place > 0)[:, None], len(self.unseen), axis=1)  # of which models a shorter n-gram is still looked for
+        for k in range(ORDER, 0, -1):
+            rows = np.flatnonzero((place >= max(1, k - 1)) & open_.any(axis=1))
+            values, wanted = self.find(hashes[k][rows]), open_[rows]
+            missed = wanted & np.isnan(values)
+            log[rows] += np.where(wanted & ~missed, values, 0.0)
+            short = missed.any(axis=1)
+            again = rows[short]
+            contexts = hashes[k - 1][again - 1] if k > 1 else np.zeros(len(again), np.uint64)
+            log[again] += np.where(missed[short], np.nan_to_num(self.find(contexts ^ CONTEXT)), 0.0)
+            open_[rows] = missed
+        return log + open_ * self.unseen
+
+
+def tables(models: list[Model]) -> list[Tables]:
+    return [Tables(models[k : k + MODELS_AT_ONCE]) for k in range(0, len(models), MODELS_AT_ONCE)]
+
+
+def score_words(words: list[str], known: list[Tables]) -> np.ndarray:
     """For each word: log-probabilities summed, a column for each model, and last the number of characters."""
     runs, owner = [], []
     for i, w in enumerate(words):
         for p in parts(w):
             runs.append(BEGIN + p + END), owner.append(i)
-    out = np.zeros((len(words), len(models) + 1))
+    out = np.zeros((len(words), sum(len(t.unseen) for t in known) + 1))
     if not runs:
         return out
     sizes = np.fromiter(map(len, runs), np.int64, len(runs))
     chars = np.frombuffer("".join(runs).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(chars)) - start
+    place = np.arange(len(chars)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     hashes = [np.zeros(len(chars), np.uint64)]
     for _ in range(ORDER):
         before = np.concatenate((np.zeros(1, np.uint64), hashes[-1][:-1]))
         hashes.append(before * MULTIPLIER + chars)
     who = np.repeat(np.array(owner), sizes)
-    scored = place > 0
-    for m, model in enumerate(models):
-        log = np.zeros(len(chars))
-        open_ = np.flatnonzero(scored)
-        for k in range(ORDER, 0, -1):
-            can = open_[place[open_] >= k - 1]
-            hit, value = _find(model, hashes[k][can])
-            log[can] += value
-            missed = can[~hit]
-            context = hashes[k - 1][missed - 1] if k > 1 else np.zeros(len(missed), np.uint64)
-            log[missed] += _find(model, context ^ CONTEXT)[1]
-            open_ = np.concatenate((open_[place[open_] < k - 1], missed))
-        log[open_] += model.unseen
-        out[:, m] = np.bincount(who, weights=log, minlength=len(words))
-    out[:, -1] = np.bincount(who, weights=scored, minlength=len(words))
+    column = 0
+    for t in known:
+        for logs in t.score(hashes, place).T:
+            out[:, column] = np.bincount(who, weights=logs, minlength=len(words))
+            column += 1
+    out[:, -1] = np.bincount(who, weights=place > 0, minlength=len(words))
     return out
 
 
@@ -182,20 +204,17 @@ class Scorer:
     """Cross-entropies of texts, with a bounded cache of words."""
 
     def __init__(self, models: list[Model], kept: int = WORDS_KEPT):
-        self.models, self.kept = models, kept
-        self.clear()
-
-    def clear(self):
+        self.models, self.kept = tables(models), kept
         self.place: dict[str, int] = {}
-        self.table = np.zeros((self.kept // 8, len(self.models) + 1))
+        self.table = np.zeros((kept // 8, len(models) + 1))
 
     def totals(self, texts: list[str]) -> np.ndarray:
         """One row a text: the sums of log-probabilities and the number of characters."""
-        return np.concatenate([np.zeros((0, len(self.models) + 1)), *map(self._totals, slices(texts))])
+        return np.concatenate([np.zeros((0, self.table.shape[1])), *map(self._totals, slices(texts))])
 
     def _totals(self, texts: list[str]) -> np.ndarray:
         if len(self.place) > self.kept:
-            self.clear()
+            self.place = dict(islice(self.place.items(), self.kept // 2))  # the oldest words are the most frequent ones
         cut = [t.lower().split() for t in texts]
         new = set()
         for words in cut:
@@ -210,7 +229,7 @@ class Scorer:
                 self.table[base + k : base + k + len(some)] = score_words(some, self.models)
             self.place.update(zip(fresh, range(base, base + len(fresh)), strict=True))
         get = self.place.__getitem__
-        out = np.zeros((len(texts), len(self.models) + 1))
+        out = np.zeros((len(texts), self.table.shape[1]))
         for i, words in enumerate(cut):
             if words:
                 at = np.fromiter(map(get, words), np.int64, len(words))
