@@ -236,3 +236,28 @@ def embedding_components(vectors: DataFrame, cosine: float = COSINE, id_col: str
 
 def op2_query(spark, sf_dir: str) -> DataFrame:
     return embedding_components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: The same rows by all pairs of a label; rows are numbered by id, so that the least number reachable names a component.
+OP2_SQL = f"""
+WITH RECURSIVE numbered AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS k, vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+), good AS MATERIALIZED (
+  SELECT k, label, len(v) AS dims, v FROM numbered
+  WHERE label IS NOT NULL AND len(v) > 0
+    AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), links AS MATERIALIZED (
+  SELECT a.k AS a, b.k AS b FROM good a JOIN good b ON a.label = b.label AND a.dims = b.dims AND a.k <> b.k
+  WHERE CASE WHEN a.dims = b.dims THEN list_cosine_similarity(a.v, b.v) >= {COSINE} END
+), reach(k, root) AS (
+  SELECT k, k FROM good
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.k WHERE r.root < l.b
+), named AS (
+  SELECT k, min(root) AS root FROM reach GROUP BY k
+), counted AS (
+  SELECT a AS k, count(*) AS n FROM links GROUP BY a
+)
+SELECT t.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, o.vec_id::BIGINT AS component_id, coalesce(t.vec_id = o.vec_id, false) AS kept
+FROM numbered t LEFT JOIN counted c ON c.k = t.k LEFT JOIN named m ON m.k = t.k JOIN numbered o ON o.k = coalesce(m.root, t.k)
+"""

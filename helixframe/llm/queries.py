@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .embeddings import op2_query
+from .embeddings import OP2_SQL, op2_query
 from .gif import op9_query
 from .language_id import op4_query
 from .licenses import op7_query
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_anchors": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_pareto_mix": OP1_SQL, "op2_pivot_join": OP2_SQL}

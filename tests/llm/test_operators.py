@@ -133,9 +133,22 @@ def test_embeddings_against_brute_force(spark, cell, homes, fan):
     got = [tuple(x) for x in embeddings.embedding_components(df, cell=cell, cell_homes=homes, fan=fan).collect()]
     check_vectors(table, got)
     if cell > 20:
+        check_vectors(table, by_sql(table))
         assert embeddings.embedding_components(df.limit(0)).count() == 0
 
 
+def by_sql(table):
+    """The rows that the query's SQL gives for a table of (id, vector, label)."""
+    import duckdb
+    import pyarrow as pa
+
+    columns = zip(*table, strict=True)
+    types = {"vec_id": pa.int64(), "embedding": pa.list_(pa.float32()), "label": pa.int32()}
+    with duckdb.connect() as db:
+        db.register("embeddings", pa.table({name: pa.array(list(c), t) for c, (name, t) in zip(columns, types.items(), strict=True)}))
+        return db.execute(embeddings.OP2_SQL).fetchall()
+
+
 # -- packing ---------------------------------------------------------------------------------------------
 
 
