@@ -6,6 +6,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from helixframe.functions import special
 from helixframe.kernels import kmers as kmer_kernel
 from helixframe.operators import relational as rel
 
@@ -94,3 +95,13 @@ def test_kmers_of_any_number_of_letters():
         want = Counter(t[p : p + 6] for t in texts for p in range(len(t) - 5))
         assert dict(zip(*(list(x) for x in kmer_kernel.totals(texts, 6)), strict=True)) == want
         assert dict(zip(*(list(x) for x in kmer_kernel.repeated(texts, 6)[:2]), strict=True))["abcdef"] == 1
+
+
+def test_special_functions_have_no_series_of_structs(spark):
+    xs = [-7.0, -2.9, -1.3, -0.9, -1e-9, 0.0, 0.3, 0.84375, 1.0, 1.25, 2.0, 2.86, 3.5, 5.9, 6.0, 40.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", special.erf(F.col("x")).alias("e"), special.erf_inverse(special.erf(F.col("x"))).alias("i"))
+    assert "aggregate(" not in plan(got)
+    for r in got.collect():
+        assert abs(r["e"] - math.erf(r["x"])) < 1e-15
+        assert abs(r["x"]) > 3 or abs(r["i"] - r["x"]) < 1e-11
