@@ -93,14 +93,8 @@ def stirling_error(n: Column) -> Column:
 
 def deviance(x: Column, mean: Column) -> Column:
     """x ln(x / mean) + mean - x, by a series where x and the mean are close."""
-    v = (x - mean) / (x + mean)
-
-    def step(acc: Column, j: Column) -> Column:
-        e = acc["e"] * acc["v"] * acc["v"]
-        return F.struct(e.alias("e"), acc["v"].alias("v"), (acc["s"] + e / (2.0 * j + 1.0)).alias("s"))
-
-    start = F.struct((2.0 * x * v).alias("e"), v.alias("v"), ((x - mean) * v).alias("s"))
-    near = F.aggregate(F.sequence(F.lit(1), F.lit(DEVIANCE_TERMS)), start, step, lambda acc: acc["s"])
+    series = [1.0 / (2 * j + 1) for j in range(1, DEVIANCE_TERMS + 1)]
+    near = let((x - mean) / (x + mean), lambda v: (x - mean) * v + 2.0 * x * v * let(v * v, lambda w: w * polynomial(series, w)))
     return F.when(F.abs(x - mean) < 0.1 * (x + mean), near).when(x == 0, mean).otherwise(x * F.log(x / mean) + mean - x)
 
 

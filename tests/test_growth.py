@@ -105,3 +105,8 @@ def test_special_functions_have_no_series_of_structs(spark):
     for r in got.collect():
         assert abs(r["e"] - math.erf(r["x"])) < 1e-15
         assert abs(r["x"]) > 3 or abs(r["i"] - r["x"]) < 1e-11
+    pairs = df.crossJoin(df.select(F.col("x").alias("m"))).filter("x >= 0 and m > 0.2").select("x", "m", special.deviance(F.col("x"), F.col("m")).alias("d"))
+    assert "aggregate(" not in plan(pairs)
+    for r in pairs.collect():
+        want = (r["x"] * math.log(r["x"] / r["m"]) if r["x"] else 0) + r["m"] - r["x"]
+        assert abs(r["d"] - want) < 1e-12 * max(1, r["m"], r["x"])
