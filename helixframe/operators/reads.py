@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..kernels import regioncut
+from ..kernels import recalibration, regioncut
 from ..sources.text import cigar_read_length, cigar_ref_length
 from ..staging import stage
 from . import binned, pileup
@@ -21,6 +23,8 @@ CLIP_MEAN, CLIP_MOST = 6, 100
 PAD, LEAST_LENGTH = 100, 10
 #: A quality is below this; so many read groups at most have their steps broadcast (about a megabyte each).
 QUALITIES, MOST_BROADCAST_GROUPS = 94, 64
+#: Bases whose qualities are worked out at once.
+SLICE = 1 << 20
 
 
 def filtered(reads: DataFrame) -> DataFrame:
@@ -149,18 +153,48 @@ def step_arrays(tables: dict[str, DataFrame], size: int = 2) -> DataFrame:
     return rows.groupBy("rg").applyInPandas(laid, "rg string, base array<double>, context array<double>, cycle array<double>, reach int")
 
 
+def _by_slice(steps: DataFrame, size: int):
+    """A function of (rg, flag, seq, qual) that gives new qualities, with the steps of all read groups."""
+    rows = steps.toArrow().to_pydict()
+    held = recalibration.Steps(rows["rg"], rows["base"], rows["context"], rows["cycle"], rows["reach"], QUALITIES)
+
+    @F.arrow_udf("array<int>")
+    def new(rg: pa.Array, flag: pa.Array, seq: pa.Array, qual: pa.Array) -> pa.Array:
+        lengths = pc.fill_null(pc.list_value_length(qual), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = qual.flatten()
+        missing = pc.is_null(flat).to_numpy(zero_copy_only=False)
+        quals = pc.fill_null(flat, QUALITIES).to_numpy(zero_copy_only=False).astype(np.int64)
+        groups, flags = rg.to_pylist(), pc.fill_null(flag, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        texts = [s or "" for s in seq.to_pylist()]
+        stops = np.cumsum(lengths)
+        parts, begin = [np.empty(0, np.int32)], 0
+        while begin < len(texts):
+            low = int(stops[begin] - lengths[begin])
+            end = max(begin + 1, int(np.searchsorted(stops, low + SLICE, "right")))
+            parts.append(recalibration.recalibrated(held, groups[begin:end], flags[begin:end], texts[begin:end], lengths[begin:end], quals[low : stops[end - 1]], size))
+            begin = end
+        found = np.concatenate(parts)
+        found[missing] = 1  # the least quality, as a null takes none of the steps
+        offsets = np.concatenate([[0], stops]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(found), mask=pc.is_null(qual))
+
+    return new
+
+
 def recalibrated(reads: DataFrame, tables: dict[str, DataFrame], size: int = 2) -> DataFrame:
     """Qualities replaced by report quality plus the steps of read group, quality, context and cycle.
 
     ``tables`` hold precomputed steps, as every datum has one possible prior: ``base`` (rg, q, value),
     ``context`` (rg, q, key, value) and ``cycle`` (rg, q, key, value).  Qualities under 6 stay; results lie in 1..93.
-    A read meets its read group's steps once and its bases look them up in place: no base is shuffled.
+    A read meets its read group's steps once and its bases look them up in place: no base is shuffled.  The steps
+    of few read groups go to all workers, which look up a slice of reads at a time; those of more are joined.
     """
     steps = stage(step_arrays(tables, size), "steps")
-    small = steps.count() <= MOST_BROADCAST_GROUPS
+    if steps.count() <= MOST_BROADCAST_GROUPS:
+        return reads.withColumn("qual", _by_slice(steps, size)("rg", "flag", "seq", "qual")).select(*reads.columns)
     names = [F.col("rg").alias("__rg"), F.col("base").alias("__base"), F.col("context").alias("__context"), F.col("cycle").alias("__cycle"), F.col("reach").alias("__reach")]
     steps = steps.select(*names)
-    met = reads.join(F.broadcast(steps) if small else steps, F.col("rg") == F.col("__rg"), "left")
+    met = reads.join(steps, F.col("rg") == F.col("__rg"), "left")
     reverse, second = F.col("flag").bitwiseAND(REVERSE) != 0, F.col("flag").bitwiseAND(0x80) != 0
     strand = F.when(reverse, F.reverse(F.translate("seq", "ACGT", "TGCA"))).otherwise(F.col("seq"))
     early = F.array_repeat(F.lit(None).cast("string"), F.least(F.length("seq"), F.lit(size - 1)))

@@ -305,8 +305,8 @@ def recalibrated_quality(spark, sf_dir):
         "cycle": cyc.select("rg", "q", "key", (F.col("key") / 10.0).alias("value")),
     }
     new = rd.recalibrated(reads, tables)
-    total = lambda by: F.aggregate(F.transform("qual", by), F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return new.select("doc_id", total(lambda x, i: x.cast("long")).alias("total"), total(lambda x, i: (x * (i + 1)).cast("long")).alias("mark"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    return new.select("doc_id", total("qual").alias("total"), total(F.transform("qual", lambda x, i: x.cast("long") * (i + 1))).alias("mark"))
 
 
 @query(f"""SELECT {KEYS}, round(-0.5772156649015329 + coalesce(list_sum(list_transform(range(1, l_quantity::INT), lambda k: 1.0 / k)), 0), 8) AS digamma,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import special
 from helixframe.kernels import kmers as kmer_kernel
+from helixframe.operators import reads as rd
 from helixframe.operators import relational as rel
 
 
@@ -110,3 +111,21 @@ def test_special_functions_have_no_series_of_structs(spark):
     for r in pairs.collect():
         want = (r["x"] * math.log(r["x"] / r["m"]) if r["x"] else 0) + r["m"] - r["x"]
         assert abs(r["d"] - want) < 1e-12 * max(1, r["m"], r["x"])
+
+
+def test_recalibration_by_slices_is_that_by_joins(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, r.choice(["g", "h", "none", None]), r.choice([0, 16, 128, 144, None]), "".join(r.choice("ACGTNé") for _ in range(n)), [r.choice([3, 5, 6, 30, 93, 94, 120, None]) for _ in range(max(0, n + d))]) for i, (n, d) in enumerate((r.randrange(0, 30), r.choice([0, 0, 0, -2, 3])) for _ in range(200))]
+    rows += [(900, "g", 0, None, [30]), (901, "g", 0, "AC", None)]
+    reads = spark.createDataFrame(rows, "read_id long, rg string, flag int, seq string, qual array<int>")
+    kept = [6, 30, 93]
+    tables = {
+        "base": spark.createDataFrame([(g, q, q - 1.5 - x) for x, g in enumerate("gh") for q in kept[1:]], "rg string, q int, value double"),
+        "context": spark.createDataFrame([(g, q, a + b, r.uniform(-3, 3)) for g in "gh" for q in kept for a in "ACGT" for b in "ACGT"], "rg string, q int, key string, value double"),
+        "cycle": spark.createDataFrame([(g, q, c, r.uniform(-3, 3)) for g, n in (("g", 9), ("h", 4)) for q in kept for c in range(-n, n + 1) if c], "rg string, q int, key int, value double"),
+    }
+    monkeypatch.setattr(rd, "SLICE", 100)
+    quick = rd.recalibrated(reads, tables)
+    assert "ArrowEvalPython" in plan(quick)  # no array expression a base
+    monkeypatch.setattr(rd, "MOST_BROADCAST_GROUPS", 0)
+    assert {x["read_id"]: x["qual"] for x in quick.collect()} == {x["read_id"]: x["qual"] for x in rd.recalibrated(reads, tables).collect()}
