@@ -247,11 +247,11 @@ def reference_confidence(spark, sf_dir):
 BASES = "regexp_replace(translate(text, 'etaoinsrhl', '{to}'), '[^ACGT]', 'N', 'g')"
 
 
-def _pieces(df, step: int, size: int, block: int = 6000):
-    """(tid, at, piece): pieces of a text ``b`` from every ``step``-th offset; cut from blocks, as Spark counts characters from a string's beginning."""
-    blocks = df.select("tid", "b", F.explode(F.sequence(F.lit(0), F.length("b"), F.lit(block))).alias("o")).select("tid", "o", F.substring("b", F.col("o") + 1, F.lit(block + size)).alias("part"))
-    each = blocks.select("tid", "o", "part", F.explode(F.sequence(F.lit(0), F.lit(block - step), F.lit(step))).alias("k")).filter(F.col("k") < F.length("part"))
-    return each.select("tid", (F.col("o") + F.col("k")).alias("at"), F.substring("part", F.col("k") + 1, F.lit(size)).alias("piece"))
+def _pieces(df, step: int, size: int, *more: str):
+    """(tid, at, piece, *more): pieces of a text ``b`` of ASCII from every ``step``-th offset; cut from bytes, as Spark counts characters from a string's beginning."""
+    whole = df.select("tid", *more, F.col("b").cast("binary").alias("b"))
+    each = whole.select("tid", *more, "b", F.explode(F.sequence(F.lit(0), F.length("b"), F.lit(step))).alias("at")).filter(F.col("at") < F.length("b"))
+    return each.select("tid", "at", F.substring("b", F.col("at") + 1, F.lit(size)).cast("string").alias("piece"), *more)
 
 
 @query(f"""
@@ -274,10 +274,9 @@ def pileup_histogram(spark, sf_dir):
     chunks = _pieces(whole, 30, 30).select("tid", (F.col("at") + 1).alias("start"), F.col("piece").alias("bases")).filter(F.length("bases") > 0)
     cigar = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("len")) for op, n in (("S", 5), ("M", 20), ("D", 3), ("M", 20))])
     quals = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: (8 + (F.col("doc_id") + 7 * i) % 35).cast("int"))
-    laid = _pieces(docs.select(F.col("doc_id").alias("tid"), bases("ACGTACGTCA").alias("b")), 40, 54).filter(F.length("piece") == 54).withColumn("doc_id", F.col("tid"))
-    reads = laid.select("tid", F.lit(0).alias("flag"), (F.col("at") + 12).alias("start"), F.substring("piece", 7, 45).alias("seq"), quals.alias("qual"), cigar.alias("cigar"))
-    found = pileup.evidence(reads, chunks, F.lit(None).cast("int"), width=256)
-    return found.groupBy("tid", "cls", "qual").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.sum("hq_clips").alias("hq"))
+    laid = _pieces(docs.select(F.col("doc_id").alias("tid"), bases("ACGTACGTCA").alias("b"), quals.alias("qual")), 40, 54, "qual").filter(F.length("piece") == 54)
+    reads = laid.select("tid", F.lit(0).alias("flag"), (F.col("at") + 12).alias("start"), F.substring("piece", 7, 45).alias("seq"), "qual", cigar.alias("cigar"))
+    return pileup.histogram(reads, chunks, F.lit(None).cast("int"), width=256)
 
 
 @query(f"""

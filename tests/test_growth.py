@@ -6,8 +6,10 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from helixframe.functions import special
 from helixframe.kernels import kmers as kmer_kernel
+from helixframe.operators import pileup
 from helixframe.operators import reads as rd
 from helixframe.operators import relational as rel
 
@@ -129,3 +131,55 @@ def test_recalibration_by_slices_is_that_by_joins(spark, monkeypatch):
     assert "ArrowEvalPython" in plan(quick)  # no array expression a base
     monkeypatch.setattr(rd, "MOST_BROADCAST_GROUPS", 0)
     assert {x["read_id"]: x["qual"] for x in quick.collect()} == {x["read_id"]: x["qual"] for x in rd.recalibrated(reads, tables).collect()}
+
+
+def odd_reads(seed: int, n: int = 600) -> list[tuple]:
+    """(tid, flag, start, seq, qual, cigar, adaptor) of any shape: introns, no bases, null and great qualities, letters beyond ASCII."""
+    r = random.Random(seed)
+    out = []
+    for _ in range(n):
+        cigar = [(r.choice("MIDNSHP=X"), r.choice([0, 1, 1, 2, 5, 9, 30])) for _ in range(r.randint(0, 6))] + ([("N", r.choice([3, 200])), ("M", 4)] if r.random() < 0.3 else [])
+        size = sum(k for op, k in cigar if op in "MIS=X")
+        seq = "".join(r.choice("ACGTé\U0001f600 ") if r.random() < 0.1 else r.choice("ACGT") for _ in range(size))
+        qual = [r.choice([None, 0, 254, 255, 300, -1]) if r.random() < 0.02 else r.randint(2, 40) for _ in range(size)]
+        out.append((r.choice([0, 1, 2, 3, None]), r.choice([0, 16, None]), r.choice([None, -3, *range(-40, 700)]), r.choice([seq] * 9 + [None]), r.choice([qual] * 9 + [None]), r.choice([cigar] * 20 + [None]), None if r.random() < 0.6 else r.randint(-20, 600)))
+    return out
+
+
+READ = "tid int, flag int, start int, seq string, qual array<int>, cigar array<struct<op:string,len:int>>, adaptor int"
+
+
+def test_pileups_are_counted_without_a_row_a_base(spark, monkeypatch):
+    r = random.Random(5)
+    chunks = [(t, s, "".join(r.choice("ACGTN é"[: 5 if t else 7]) for _ in range(r.choice([1, 20, 37])))) for t in (0, 1, 2) for s in range(-30, 600, 37)]
+    chunks += [(0, 7, "ACGTACGTAC"), (0, 7, "ACG"), (0, 7, "ACGTACGTAC"), (1, 12, ""), (1, 50, None), (None, 7, "ACGT"), (4, 1, "ACGT")]
+    reference = spark.createDataFrame(chunks, "tid int, start int, bases string").repartition(3)
+    reads = spark.createDataFrame(odd_reads(6), READ).repartition(3)
+    for width, block, packed in ((16, 64, 2), (16, 16, 64), (1024, 1 << 16, 64)):
+        monkeypatch.setattr(pileup, "BLOCK", block)
+        monkeypatch.setattr(pileup, "PACKED", packed)
+        got = pileup.histogram(reads, reference, F.col("adaptor"), width)
+        assert "Generate" not in plan(got) and "Join" not in plan(got)
+        want = pileup.evidence(reads, reference, F.col("adaptor"), width).groupBy("tid", "cls", "qual").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.sum("hq_clips").alias("hq"))
+        found = {tuple(x) for x in got.collect()}
+        assert found == {tuple(x) for x in want.collect()} and sum(x[3] for x in found) > 1000
+        assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in want.schema]
+
+
+def test_pileup_of_many_batches(spark):
+    whole = "ACGTTGCATC" * 2000
+    reference = spark.createDataFrame([("c", 1 + s, whole[s : s + 900]) for s in range(0, len(whole), 900)] + [("d", 1, "A" * 90)], "tid string, start int, bases string")
+    cigar = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("len")) for op, n in (("S", 2), ("M", 8), ("D", 1), ("M", 7))])
+    reads = spark.range(0, 50_000, 1, 3).select(F.lit("c").alias("tid"), F.lit(0).alias("flag"), (1 + 10 * (F.col("id") % 1900)).cast("int").alias("start"), F.lit("NNACGTTGCACACGTTG").alias("seq"), F.array_repeat(F.lit(30), 17).alias("qual"), cigar.alias("cigar"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = {(x["tid"], x["cls"], x["qual"]): (x["n"], x["hq"]) for x in pileup.histogram(reads, reference, F.lit(None).cast("int")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sum(n for n, _ in got.values()) == 50_000 * 16 and set(got) == {("c", 0, 30), ("c", 1, 30)}
+    assert got["c", 0, 30][1] == 2 * 50_000  # a clip of two good bases at each read's beginning
+
+
+def test_query_of_pileups_makes_no_row_a_base(spark):
+    got = plan(__spark_entry__.queries()["pileup_histogram"](spark, "/root/testdata/sf0.001"))
+    assert got.count("Generate") == 2 and "Join" not in got  # of the reads and of the chunks
