@@ -99,11 +99,6 @@ class Reads:
             i = j
 
 
-def narrow(quals: np.ndarray) -> bool:
-    """Whether qualities fit a byte, 255 standing for null."""
-    return not len(quals) or bool(((quals == NONE) | ((quals >= 0) & (quals < 255))).all())
-
-
 def counted(r: Reads, levels: np.ndarray, origin: np.ndarray, per: int, keys: np.ndarray, laid: np.ndarray, width: int, clip_quality: int, clip_least: int, deletion_quality: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(group, cls, qual, n, places, hq, n_hq) of reads' bases over the tiles, a slice of bases at a time.
 

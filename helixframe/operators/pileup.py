@@ -130,7 +130,7 @@ def _changes(*columns: pa.Array) -> np.ndarray:
 def _packed(kind: int, tid: pa.Array, block: np.ndarray, rows: dict[str, np.ndarray], texts: np.ndarray, quals: np.ndarray | None, names: list[str]) -> pa.RecordBatch:
     """Neighbouring rows of a block as one row."""
     begin = np.flatnonzero(_changes(tid, pa.array(block)) | (np.arange(len(block)) % PACKED == 0))
-    wide = quals is not None and not kernel.narrow(quals)
+    wide = quals is not None and quals.dtype != np.uint8
     sums = {x: np.concatenate([[0], np.cumsum(np.maximum(rows[x], 0))]) for x in ("n_seq", "n_qual", "n_cigar")}
     each = np.arange(len(block) + 1)
 
@@ -144,15 +144,15 @@ def _packed(kind: int, tid: pa.Array, block: np.ndarray, rows: dict[str, np.ndar
     else:
         edges = np.append(sums["n_seq"][begin], sums["n_seq"][-1])
         out["seq"] = pa.array([kernel.utf8(texts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
-    quals = np.empty(0, np.int64) if quals is None else quals
-    out["qual"] = binary(quals if wide else np.where(quals == kernel.NONE, 255, quals).astype(np.uint8), sums["n_qual"])
+    out["qual"] = binary(np.empty(0, np.uint8) if quals is None else quals, sums["n_qual"])
     columns = [tid.take(pa.array(begin)), pa.array(block[begin]), pa.array(np.full(len(begin), kind, np.int32)), pa.array(np.full(len(begin), wide)), *[out[n] for n in FLAT]]
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _valid(batch: pa.RecordBatch, *names: str) -> pa.RecordBatch:
     for name in names:
-        batch = batch.filter(pc.is_valid(batch[name]))
+        if batch[name].null_count:
+            batch = batch.filter(pc.is_valid(batch[name]))
     return batch
 
 
@@ -171,6 +171,13 @@ def _pack_reference(width: int, per: int, names: list[str]):
     return pack
 
 
+def _bytes_if_narrow(quals: pa.Array) -> np.ndarray:
+    """Qualities as bytes, 255 for null, or where some don't fit as 8 bytes each, ``NONE`` for null."""
+    ends = pc.min_max(quals)
+    fit = not ends["min"].is_valid or (ends["min"].as_py() >= 0 and ends["max"].as_py() < 255)
+    return pc.fill_null(quals.cast(pa.uint8()), 255).to_numpy(zero_copy_only=False) if fit else _numbers(quals, kernel.NONE)
+
+
 def _pack_reads(width: int, per: int, names: list[str]):
     def cigars(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ops = pc.index_in(batch["ops"].flatten(), value_set=pa.array(list(kernel.LETTERS)))
@@ -180,15 +187,16 @@ def _pack_reads(width: int, per: int, names: list[str]):
         for batch in batches:
             batch = _valid(batch, "tid", "start", "ops", "lens")
             start = _numbers(batch["start"], 0)
-            row, block, _, _ = kernel.cut(start, kernel.span(start, *cigars(batch)), width * per)
-            if len(row) != len(start) or (row != np.arange(len(row))).any():
-                batch = batch.take(pa.array(row))
             n_cigar, ops, lens = cigars(batch)
+            row, block, _, _ = kernel.cut(start, kernel.span(start, n_cigar, ops, lens), width * per)
+            if not np.array_equal(row, np.arange(len(start))):
+                batch = batch.take(pa.array(row))
+                n_cigar, ops, lens = cigars(batch)
             rows = {
                 "start": _numbers(batch["start"], 0), "low": _numbers(batch["low"], -(1 << 62)), "high": _numbers(batch["high"], 1 << 62),
                 "n_seq": _lengths(batch["seq"], pc.utf8_length), "n_qual": _lengths(batch["qual"], pc.list_value_length), "n_cigar": n_cigar, "ops": ops, "lens": lens,
             }
-            yield _packed(1, batch["tid"], block, rows, _text(batch["seq"]), _numbers(batch["qual"].flatten(), kernel.NONE), names)
+            yield _packed(1, batch["tid"], block, rows, _text(batch["seq"]), _bytes_if_narrow(batch["qual"].flatten()), names)
 
     return pack
 

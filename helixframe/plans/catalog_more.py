@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..functions import phred, special
@@ -247,10 +250,28 @@ def reference_confidence(spark, sf_dir):
 BASES = "regexp_replace(translate(text, 'etaoinsrhl', '{to}'), '[^ACGT]', 'N', 'g')"
 
 
-def _pieces(df, step: int, size: int, *more: str):
-    """(tid, at, piece, *more): pieces of a text ``b`` of ASCII from every ``step``-th offset; cut from bytes, as Spark counts characters from a string's beginning."""
+def _bases(to: str):
+    """Texts as ``BASES`` spells them: a byte a character, taken from a table."""
+    table = np.full(256, ord("N"), np.uint8)
+    table[[ord(c) for c in "ACGT" + "etaoinsrhl"]] = [ord(c) for c in "ACGT" + to]
+
+    @F.arrow_udf("string")
+    def spelled(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        found = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+        first = found & 0xC0 != 0x80  # of a character's bytes
+        ends = np.concatenate([[0], np.cumsum(first)])[offsets - offsets[0]].astype(np.int32)
+        out = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(table[found[first]])])
+        return pc.if_else(pc.is_valid(texts), out, pa.scalar(None, pa.string())) if texts.null_count else out
+
+    return spelled
+
+
+def _pieces(df, step: int, size: int, least: int, *more: str):
+    """(tid, at, piece, *more): pieces of a text ``b`` of ASCII from every ``step``-th offset that leaves ``least`` characters; cut from bytes, as Spark counts characters from a string's beginning."""
     whole = df.select("tid", *more, F.col("b").cast("binary").alias("b"))
-    each = whole.select("tid", *more, "b", F.explode(F.sequence(F.lit(0), F.length("b"), F.lit(step))).alias("at")).filter(F.col("at") < F.length("b"))
+    each = whole.filter(F.length("b") >= least).select("tid", *more, "b", F.explode(F.sequence(F.lit(0), F.length("b") - least, F.lit(step))).alias("at"))
     return each.select("tid", "at", F.substring("b", F.col("at") + 1, F.lit(size)).cast("string").alias("piece"), *more)
 
 
@@ -265,16 +286,12 @@ g AS (SELECT *, CASE WHEN k = 0 AND qual > 10 THEN len(list_filter(range(0, 5),
 SELECT doc_id AS tid, cls, qual::INT AS qual, count(*) AS n, sum(pos)::BIGINT AS places, sum(hq)::BIGINT AS hq FROM g GROUP BY 1, 2, 3""")
 def pileup_histogram(spark, sf_dir):
     """Reads with a clip and a deletion, laid along each text, against a reference in chunks: counts by contig, class and quality."""
-
-    def bases(to: str):
-        return F.regexp_replace(F.translate("text", "etaoinsrhl", to), "[^ACGT]", "N")
-
     docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 54)
-    whole = docs.select(F.col("doc_id").alias("tid"), bases("ACGTACGTAC").alias("b"))
-    chunks = _pieces(whole, 30, 30).select("tid", (F.col("at") + 1).alias("start"), F.col("piece").alias("bases")).filter(F.length("bases") > 0)
+    whole = docs.select(F.col("doc_id").alias("tid"), _bases("ACGTACGTAC")("text").alias("b"))
+    chunks = _pieces(whole, 30, 30, 1).select("tid", (F.col("at") + 1).alias("start"), F.col("piece").alias("bases"))
     cigar = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(n).alias("len")) for op, n in (("S", 5), ("M", 20), ("D", 3), ("M", 20))])
     quals = F.transform(F.sequence(F.lit(0), F.lit(44)), lambda i: (8 + (F.col("doc_id") + 7 * i) % 35).cast("int"))
-    laid = _pieces(docs.select(F.col("doc_id").alias("tid"), bases("ACGTACGTCA").alias("b"), quals.alias("qual")), 40, 54, "qual").filter(F.length("piece") == 54)
+    laid = _pieces(docs.select(F.col("doc_id").alias("tid"), _bases("ACGTACGTCA")("text").alias("b"), quals.alias("qual")), 40, 54, 54, "qual")
     reads = laid.select("tid", F.lit(0).alias("flag"), (F.col("at") + 12).alias("start"), F.substring("piece", 7, 45).alias("seq"), "qual", cigar.alias("cigar"))
     return pileup.histogram(reads, chunks, F.lit(None).cast("int"), width=256)
 

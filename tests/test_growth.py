@@ -12,6 +12,7 @@ from helixframe.kernels import kmers as kmer_kernel
 from helixframe.operators import pileup
 from helixframe.operators import reads as rd
 from helixframe.operators import relational as rel
+from helixframe.plans import catalog_more
 
 
 def plan(df) -> str:
@@ -183,3 +184,10 @@ def test_pileup_of_many_batches(spark):
 def test_query_of_pileups_makes_no_row_a_base(spark):
     got = plan(__spark_entry__.queries()["pileup_histogram"](spark, "/root/testdata/sf0.001"))
     assert got.count("Generate") == 2 and "Join" not in got  # of the reads and of the chunks
+
+
+def test_bases_are_spelled_as_in_sql(spark):
+    texts = ["", None, "Teén \U0001f600ACGT\nx", "aeiou", "é", None, "", "\x00hl\xa0rs" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").coalesce(1)
+    got = df.select("i", catalog_more._bases("ACGTACGTCA")("text").alias("b"), F.regexp_replace(F.translate("text", "etaoinsrhl", "ACGTACGTCA"), "[^ACGT]", "N").alias("want")).collect()
+    assert len(got) == len(texts) and all(x["b"] == x["want"] for x in got)
