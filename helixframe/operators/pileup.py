@@ -89,7 +89,8 @@ def evidence(reads: DataFrame, reference: DataFrame, adaptor: Column, width: int
     first, last = F.col("i") == 0, F.col("i") == F.col("len") - 1
     by_clip = last & (F.col("len") > 1) & (F.col("next") == "S")
     edge = (first & F.col("prev").isin("S", "I", "D")) | (last & F.col("next").isin("I", "D")) | by_clip
-    variant = deleted | (F.col("x.b") != F.col("x.u")) | edge
+    # a base that the read lacks is not the reference's
+    variant = deleted | F.coalesce(F.col("x.b") != F.col("x.u"), F.lit(True)) | edge
     clips = F.when(~deleted & (F.col("x.q") >= CLIP_LEAST), F.when(first & (F.col("prev") == "S"), F.col("clip_before")).when(by_clip, F.col("clip_after")))
     return each.select("tid", "bin", "pos", F.when(variant, 0).otherwise(1).alias("cls"), F.col("x.q").alias("qual"), clips.alias("hq_clips"))
 

@@ -143,7 +143,7 @@ def odd_reads(seed: int, n: int = 600) -> list[tuple]:
         size = sum(k for op, k in cigar if op in "MIS=X")
         seq = "".join(r.choice("ACGTé\U0001f600 ") if r.random() < 0.1 else r.choice("ACGT") for _ in range(size))
         qual = [r.choice([None, 0, 254, 255, 300, -1]) if r.random() < 0.02 else r.randint(2, 40) for _ in range(size)]
-        out.append((r.choice([0, 1, 2, 3, None]), r.choice([0, 16, None]), r.choice([None, -3, *range(-40, 700)]), r.choice([seq] * 9 + [None]), r.choice([qual] * 9 + [None]), r.choice([cigar] * 20 + [None]), None if r.random() < 0.6 else r.randint(-20, 600)))
+        out.append((r.choice([0, 1, 2, 3, None]), r.choice([0, 16, None]), r.choice([None, -3, *range(-40, 700)]), r.choice([seq] * 9 + [None, seq[: size // 2], ""]), r.choice([qual] * 9 + [None, qual[: size // 2], []]), r.choice([cigar] * 20 + [None]), None if r.random() < 0.6 else r.randint(-20, 600)))
     return out
 
 
