@@ -26,8 +26,8 @@ WIDTH = 1024
 DELETION_QUALITY, CLIP_QUALITY, CLIP_LEAST = 30, 28, 11
 REVERSE = 0x10
 ALIGNED = ("M", "=", "X")
-#: Places of a contig that are laid together; rows that are packed into one at most.
-BLOCK, PACKED = 1 << 16, 64
+#: Places of a contig that are laid together; rows that are packed into one at most; packed rows that are laid at once.
+BLOCK, PACKED, HELD = 1 << 16, 64, 1024
 
 
 def tiles(reference: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -224,9 +224,7 @@ def _count(width: int, per: int, names: list[str]):
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # (tid, block) of the last block, its pieces' places, lengths and characters
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (whole.slice(at, HELD) for whole in batches for at in range(0, whole.num_rows, HELD)):
             new = _changes(batch["tid"], batch["block"])
             group = np.cumsum(new) - 1
             tids = batch["tid"].filter(pa.array(new))

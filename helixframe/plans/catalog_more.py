@@ -260,9 +260,9 @@ def _bases(to: str):
         texts = texts.cast(pa.string())
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         found = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        first = found & 0xC0 != 0x80  # of a character's bytes
-        ends = np.concatenate([[0], np.cumsum(first)])[offsets - offsets[0]].astype(np.int32)
-        out = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends), pa.py_buffer(table[found[first]])])
+        later = np.flatnonzero(found & 0xC0 == 0x80)  # a character's bytes after its first
+        ends = offsets - offsets[0] - np.searchsorted(later, offsets - offsets[0])
+        out = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.delete(table[found], later))])
         return pc.if_else(pc.is_valid(texts), out, pa.scalar(None, pa.string())) if texts.null_count else out
 
     return spelled
@@ -271,7 +271,9 @@ def _bases(to: str):
 def _pieces(df, step: int, size: int, least: int, *more: str):
     """(tid, at, piece, *more): pieces of a text ``b`` of ASCII from every ``step``-th offset that leaves ``least`` characters; cut from bytes, as Spark counts characters from a string's beginning."""
     whole = df.select("tid", *more, F.col("b").cast("binary").alias("b"))
-    each = whole.filter(F.length("b") >= least).select("tid", *more, "b", F.explode(F.sequence(F.lit(0), F.length("b") - least, F.lit(step))).alias("at"))
+    # no filter, which would work out the text once more below it
+    offsets = F.when(F.length("b") >= least, F.sequence(F.lit(0), F.greatest(F.length("b") - least, F.lit(0)), F.lit(step)))
+    each = whole.select("tid", *more, "b", F.explode(offsets).alias("at"))
     return each.select("tid", "at", F.substring("b", F.col("at") + 1, F.lit(size)).cast("string").alias("piece"), *more)
 
 
