@@ -254,7 +254,7 @@ def histogram(reads: DataFrame, reference: DataFrame, adaptor: Column, width: in
     """(tid, cls, qual, n, places, hq): counts and sums of ``pos`` and ``hq_clips`` of the ``evidence`` of contigs, without its rows.
 
     What is shuffled are reads and reference, packed in a few rows a block of about ``BLOCK`` places, and the sums of blocks.
-    A task holds a batch and the reference of one block.
+    A task holds a batch and the reference of one block, all of whose reads it lays.
     """
     per = max(1, BLOCK // width)
     tid = reads.schema["tid"].dataType.simpleString()

@@ -156,9 +156,10 @@ def test_pileups_are_counted_without_a_row_a_base(spark, monkeypatch):
     chunks += [(0, 7, "ACGTACGTAC"), (0, 7, "ACG"), (0, 7, "ACGTACGTAC"), (1, 12, ""), (1, 50, None), (None, 7, "ACGT"), (4, 1, "ACGT")]
     reference = spark.createDataFrame(chunks, "tid int, start int, bases string").repartition(3)
     reads = spark.createDataFrame(odd_reads(6), READ).repartition(3)
-    for width, block, packed in ((16, 64, 2), (16, 16, 64), (1024, 1 << 16, 64)):
+    for width, block, packed, held in ((16, 64, 2, 3), (16, 16, 64, 1), (1024, 1 << 16, 64, 1024)):
         monkeypatch.setattr(pileup, "BLOCK", block)
         monkeypatch.setattr(pileup, "PACKED", packed)
+        monkeypatch.setattr(pileup, "HELD", held)
         got = pileup.histogram(reads, reference, F.col("adaptor"), width)
         assert "Generate" not in plan(got) and "Join" not in plan(got)
         want = pileup.evidence(reads, reference, F.col("adaptor"), width).groupBy("tid", "cls", "qual").agg(F.count("*").alias("n"), F.sum("pos").alias("places"), F.sum("hq_clips").alias("hq"))
